@@ -56,35 +56,46 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans of a byte array: equal bytes, equal hashes."""
+    up, down = _power_tables(len(data) + 1)
+    sums = np.empty(len(data) + 1, dtype=U64)
+    sums[0] = 0
+    np.cumsum(_BYTES[data] * up[: len(data)], out=sums[1:])
+    with np.errstate(over="ignore"):
+        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+
+
 def _hash_block(raw: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and starts of the words of one block."""
-    space = _SPACE[raw]
-    edge = np.diff(space.view(np.int8), prepend=np.int8(1), append=np.int8(1))
+    edge = np.diff(_SPACE[raw].view(np.int8), prepend=np.int8(1), append=np.int8(1))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(starts):
         return np.zeros(0, dtype=U64), starts
-    up, down = _power_tables(len(raw) + 1)
-    sums = np.empty(len(raw) + 1, dtype=U64)
-    sums[0] = 0
-    np.cumsum(_BYTES[_LOWER[raw] if lower else raw] * up[: len(raw)], out=sums[1:])
-    with np.errstate(over="ignore"):
-        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64)), starts
+    return span_hashes(_LOWER[raw] if lower else raw, starts, ends), starts
 
 
-def word_hashes(raw: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of a byte array, and where each starts; in blocks, so memory stays bounded by the longest word."""
-    if len(raw) <= 2 * BLOCK:
-        return _hash_block(raw, lower)
-    hashes, starts, at = [], [], 0
+def word_blocks(raw: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of blocks that end where words do; a block exceeds BLOCK by at most one word."""
+    at = 0
     while at < len(raw):
         end = min(len(raw), at + BLOCK)
         while end < len(raw) and not _SPACE[raw[end]]:
             more = np.flatnonzero(_SPACE[raw[end : end + BLOCK]])
             end = end + int(more[0]) if len(more) else min(len(raw), end + BLOCK)
+        yield at, end
+        at = end
+
+
+def word_hashes(raw: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a byte array, and where each starts; in blocks, so memory stays bounded by the longest word."""
+    if len(raw) <= 2 * BLOCK:
+        return _hash_block(raw, lower)
+    hashes, starts = [], []
+    for at, end in word_blocks(raw):
         h, s = _hash_block(raw[at:end], lower)
         hashes.append(h)
         starts.append(s + at)
-        at = end
     return np.concatenate(hashes), np.concatenate(starts)
 
 
@@ -120,17 +131,22 @@ def rows_of_words(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.searchsorted(starts, offsets)
 
 
+def separated(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A run of rows with a space after each."""
+    n = len(offsets) - 1
+    if n < 2:
+        return raw, offsets
+    out = np.full(len(raw) + n, 32, dtype=np.uint8)
+    out[np.arange(len(raw)) + np.repeat(np.arange(n), np.diff(offsets))] = raw
+    return out, offsets + np.arange(n + 1)
+
+
 def split_rows(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of a run of rows and each row's bounds among them.
 
     A separator is put between rows so that words never run across two of them.
     """
-    n = len(offsets) - 1
-    if n > 1:
-        out = np.full(len(raw) + n, 32, dtype=np.uint8)
-        row = np.repeat(np.arange(n), np.diff(offsets))
-        out[np.arange(len(raw)) + row] = raw
-        raw, offsets = out, offsets + np.arange(n + 1)
+    raw, offsets = separated(raw, offsets)
     h, s = word_hashes(raw, lower)
     return h, rows_of_words(s, offsets)
 

@@ -36,7 +36,7 @@ ROWS = 4
 WIDTH = 5
 PERCENT = 75
 #: UTF-8 bytes of text that one side of a block holds; a single longer text is a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 SALT_ROWS = 64
 
 

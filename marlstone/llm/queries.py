@@ -5,17 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marlstone.llm import minhash
-from marlstone.llm.common import read
+from marlstone.llm import minhash, packing, token_rollup
+from marlstone.llm.common import Scratch, read
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents arrive in two batches; a third takes the second's rows back and a fourth brings them again; batches that come twice count once."""
+    scratch = Scratch(spark, "rollup")
+    counts = scratch.keep(token_rollup.counted(read(spark, sf_dir, "documents")), "counts")
+    rollup = token_rollup.TokenRollup(spark, scratch.path("totals"))
+    late = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1, F.lit(False))
+    second = counts.where(late)
+    for batch, rows in (("1", counts.where(~late)), ("2", second), ("1", counts.where(~late)), ("3", second.withColumn("sign", F.lit(-1))), ("4", second), ("2", second)):
+        rollup.commit(batch, rows)
+    return rollup.totals()
+
+
+def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup,)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op5_token_rollup, op10_sum_of_squares_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
