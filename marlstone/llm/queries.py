@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import minhash, packing, quality_rules, substring, token_rollup
+from marlstone.llm import minhash, mixing, packing, quality_rules, substring, token_rollup
 from marlstone.llm.common import Scratch, read
 
 
@@ -15,6 +15,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op2_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
 def op4_line_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_runs(read(spark, sf_dir, "documents"))
 
@@ -41,9 +45,9 @@ def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_minhash_near_dedup, op4_line_hash_dedup, op5_token_rollup, op7_weak_supervision, op10_sum_of_squares_packing,
+        op1_minhash_near_dedup, op2_water_filling_mix, op4_line_hash_dedup, op5_token_rollup, op7_weak_supervision, op10_sum_of_squares_packing,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_water_filling_mix": mixing.SQL}
