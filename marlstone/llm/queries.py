@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import minhash, mixing, packing, quality_rules, substring, token_rollup
+from marlstone.llm import classifier, minhash, mixing, packing, quality_rules, substring, token_rollup
 from marlstone.llm.common import Scratch, read
 
 
@@ -19,6 +19,10 @@ def op2_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op3_nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_line_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_runs(read(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_minhash_near_dedup, op2_water_filling_mix, op4_line_hash_dedup, op5_token_rollup, op7_weak_supervision, op10_sum_of_squares_packing,
+        op1_minhash_near_dedup, op2_water_filling_mix, op3_nb_svm_quality, op4_line_hash_dedup, op5_token_rollup, op7_weak_supervision, op10_sum_of_squares_packing,
     )}
 
 
