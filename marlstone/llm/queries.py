@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import classifier, minhash, mixing, packing, quality_rules, substring, token_rollup
+from marlstone.llm import classifier, embeddings, minhash, mixing, packing, quality_rules, substring, token_rollup
 from marlstone.llm.common import Scratch, read
 
 
@@ -39,6 +39,10 @@ def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op6_cross_polytope_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op7_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"))
 
@@ -49,7 +53,8 @@ def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_minhash_near_dedup, op2_water_filling_mix, op3_nb_svm_quality, op4_line_hash_dedup, op5_token_rollup, op7_weak_supervision, op10_sum_of_squares_packing,
+        op1_minhash_near_dedup, op2_water_filling_mix, op3_nb_svm_quality, op4_line_hash_dedup, op5_token_rollup,
+        op6_cross_polytope_near_dedup, op7_weak_supervision, op10_sum_of_squares_packing,
     )}
 
 
