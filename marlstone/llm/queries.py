@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import classifier, embeddings, minhash, mixing, packing, quality_rules, substring, token_rollup
+from marlstone.llm import classifier, embeddings, html_text, minhash, mixing, packing, quality_rules, substring, token_rollup, warc
 from marlstone.llm.common import Scratch, read
 
 
@@ -47,6 +47,16 @@ def op7_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"))
 
 
+def op8_sharded_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = Scratch(spark, "archives").base
+    manifest = warc.write(read(spark, sf_dir, "pages"), folder)
+    return warc.read_back(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
 def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -54,9 +64,9 @@ def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_minhash_near_dedup, op2_water_filling_mix, op3_nb_svm_quality, op4_line_hash_dedup, op5_token_rollup,
-        op6_cross_polytope_near_dedup, op7_weak_supervision, op10_sum_of_squares_packing,
+        op6_cross_polytope_near_dedup, op7_weak_supervision, op8_sharded_warc, op9_html_layout, op10_sum_of_squares_packing,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_water_filling_mix": mixing.SQL}
+    return {"op2_water_filling_mix": mixing.SQL, "op8_sharded_warc": warc.SQL}
