@@ -51,22 +51,22 @@ def opened(folder: str):
     return fs.FileSystem.from_uri(folder if re.match(r"\w+:", folder) else f"file://{folder}")
 
 
-def record_id(page_id, digest: str, order: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE_ID, f'{page_id}/{digest}/{order}')}>"
+def record_id(page_id, digest: str, url: str | None) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_SPACE_ID, f'{page_id}/{digest}/{url}')}>"
 
 
 def base32(digest: str) -> str:
     return "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()
 
 
-def record(page_id, url: str | None, payload: bytes, digest: str, order: int, refers_to, refers_url: str | None, date: str = DATE) -> bytes:
+def record(page_id, url: str | None, payload: bytes, digest: str, refers_to, refers_url: str | None, date: str = DATE) -> bytes:
     """One WARC record; a revisit's block holds the HTTP headers only."""
     revisit = refers_to is not None
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
     clean = lambda s: re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", s)
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, digest, order)}", f"WARC-Date: {date}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, digest, url)}", f"WARC-Date: {date}",
         *([f"WARC-Target-URI: {clean(url)}"] if url else []), *([f"X-Page-ID: {page_id}"] if page_id is not None else []),
         *(["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers_to}"] if revisit else []),
         *([f"WARC-Refers-To-Target-URI: {clean(refers_url)}"] if revisit and refers_url else []),
@@ -115,7 +115,7 @@ class ShardWriter:
 
 
 def writer(folder: str, file_bytes: int):
-    """Rows sorted by (shard, page_id, order): shard, page_id, order, url, html, digest, refers_to, refers_url."""
+    """Rows sorted by (shard, page_id, digest, url, kind): kind 0 names what the pages of kind 1 after it refer to."""
 
     def run(batches):
         import pyarrow as pa
@@ -123,16 +123,21 @@ def writer(folder: str, file_bytes: int):
 
         context = TaskContext.get()
         attempt = f"{context.taskAttemptId()}" if context else "0"
-        out, now = [], None
+        out, now, note = [], None, None
         for batch in batches:
-            for shard, page_id, order, url, html, digest, refers_to, refers_url in zip(*(c.to_pylist() for c in batch.columns)):
+            for shard, page_id, digest, url, kind, html, refers_to, refers_url in zip(*(c.to_pylist() for c in batch.columns)):
+                key = (page_id, digest, url)
+                if kind == 0:
+                    note = (key, refers_to, refers_url)
+                    continue
+                refers_to, refers_url = note[1:] if note is not None and note[0] == key else (None, None)
                 if now is None or now.shard != shard:
                     if now is not None:
                         now.roll()
                         out += now.done
                     now = ShardWriter(folder, shard, attempt, file_bytes)
                 payload = (html or "").encode()
-                now.add(page_id, record(page_id, url, payload, digest, order, refers_to, refers_url))
+                now.add(page_id, record(page_id, url, payload, digest, refers_to, refers_url))
         if now is not None:
             now.roll()
             out += now.done
@@ -144,7 +149,7 @@ def writer(folder: str, file_bytes: int):
 
 
 def plan(pages: DataFrame, scratch: Scratch, min_revisit: int, shard_bytes: int) -> DataFrame:
-    """The rows to write, in columns of writer()."""
+    """The rows of writer()."""
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumns({"digest": F.sha1(F.col("html").cast("binary")), "size": F.octet_length("html").cast("long")})
     facts = scratch.keep(rows.select("page_id", "url", "digest", "size"), "facts")
@@ -160,11 +165,14 @@ def plan(pages: DataFrame, scratch: Scratch, min_revisit: int, shard_bytes: int)
     sums = facts.groupBy(slice_of.alias("slice")).agg(F.sum("size").alias("held"))
     shards = scratch.keep(sums.select("slice", F.floor(F.coalesce(F.sum("held").over(before), F.lit(0)) / F.lit(shard_bytes)).cast("int").alias("shard")), "shards")
 
-    rows = rows.drop("size").withColumn("slice", slice_of).join(F.broadcast(shards), "slice")
-    rows = rows.join(groups, rows.digest == groups.d, "left")
-    own = (F.col("page_id").eqNullSafe(F.col("top_id"))) & F.col("url").eqNullSafe(F.col("top_url"))
-    refers = F.when(F.col("d").isNotNull() & ~own, F.col("top_id"))
-    return rows.select("shard", "page_id", F.lit(0).alias("order"), "url", "html", "digest", refers.alias("refers_to"), F.when(refers.isNotNull(), F.col("top_url")).alias("refers_url"))
+    own = F.col("page_id").eqNullSafe(F.col("top_id")) & F.col("url").eqNullSafe(F.col("top_url"))
+    place = F.broadcast(shards)
+    columns = ["shard", "page_id", "digest", "url"]
+    # revisits stand before their pages, so that payloads are dealt out once and joined with nothing
+    notes = facts.join(groups, facts.digest == groups.d).where(~own).withColumn("slice", slice_of).join(place, "slice")
+    notes = notes.select(*columns, F.lit(0).alias("kind"), F.lit(None).cast("string").alias("html"), F.col("top_id").alias("refers_to"), F.col("top_url").alias("refers_url"))
+    full = rows.withColumn("slice", slice_of).join(place, "slice").select(*columns, F.lit(1).alias("kind"), "html", F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("refers_url"))
+    return notes.distinct().unionAll(full)
 
 
 def write(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -174,8 +182,8 @@ def write(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT, shard_b
     p = spark._jvm.org.apache.hadoop.fs.Path(folder)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(p)
     rows = plan(pages, scratch, min_revisit, shard_bytes)
-    rows = rows.repartition(partitions(spark), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "url", "digest")
-    done = rows.mapInArrow(writer(folder, file_bytes), MANIFEST)
+    rows = rows.repartition(partitions(spark), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "url", "kind")
+    done = scratch.keep(rows.mapInArrow(writer(folder, file_bytes), MANIFEST), "done")  # written apart, for one manifest file must not mean one task
     done.coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
