@@ -29,16 +29,25 @@ class Reader(HTMLParser):
         self.rows: list[list[str]] | None = None
 
     def flush(self) -> None:
-        for tag in reversed(self.open):
-            self.now.append(MARKS[tag])
-        self.open = []
+        while self.open:
+            self.close_mark(self.open[-1])
         text = "".join(self.now)
         text = text.strip("\n") if self.pre else re.sub(r"[ \t\r\f\v]*\n[ \t\r\f\v]*", "\n", re.sub(r"[ \t\r\f\v]+", " ", text)).strip()
-        text = re.sub(r"(\*\*|\*|`)\s*\1", "", text) if not self.pre else text
         if text:
             self.blocks.append(self.prefix + text)
         self.now, self.prefix = [], ""
 
+    def close_mark(self, tag: str) -> None:
+        """End an emphasis; one around nothing goes."""
+        self.open.remove(tag)
+        k = len(self.now)
+        while k and not self.now[k - 1].strip():
+            k -= 1
+        if k and self.now[k - 1] == MARKS[tag]:
+            del self.now[k - 1]
+        else:
+            self.now.append(MARKS[tag])
+
     def handle_starttag(self, tag, attrs):
         attrs = dict(attrs)
         if self.hidden:
@@ -47,8 +56,6 @@ class Reader(HTMLParser):
             return
         if tag in HIDDEN or "ad" in (attrs.get("class") or "").split():
             self.flush()
-            if tag == "head":
-                tag = "head"
             self.hidden.append(tag)
         elif re.fullmatch("h[1-6]", tag):
             self.flush()
@@ -103,8 +110,7 @@ class Reader(HTMLParser):
         elif tag == "a" and self.links:
             self.now.append(f"]({self.links.pop()})")
         elif tag in MARKS and tag in self.open:
-            self.open.remove(tag)
-            self.now.append(MARKS[tag])
+            self.close_mark(tag)
         elif tag == "pre":
             body = "".join(self.now).strip("\n")
             self.blocks.append(f"```\n{body}\n```")
