@@ -1,8 +1,10 @@
 """Substring dedup by hashing lines and the sentences in them.
 
-Texts are cut into units: a unit ends with its line, or after a word that ends
-in ``.``, ``!`` or ``?`` once it has MIN_UNIT words, so that a passage repeated
-in the middle of a line falls into the same units wherever it stands.  A unit
+Texts are cut into units: a unit ends with its line, or, once it has MIN_UNIT
+words, after a word that ends in ``.``, ``!`` or ``?``, before one with a
+capital, or after one whose hash is a multiple of MARK.  So a passage repeated
+in the middle of a line, or with changes around it, falls into the same units
+wherever it stands; whole lines alone would miss it.  A unit
 is normalised to its words in lower case with single spaces, and hashed to 128
 bits.  Over all documents, the earliest occurrence of a digest by (doc_id, place
 in the text) stays; later ones are repeats.  Repeats that follow one another in
@@ -28,6 +30,7 @@ from marlstone.llm.hashing import _SPACE, U64, mix, rows_of_words, separated, st
 
 MIN_UNIT = 4
 MIN_RUN = 20
+MARK = 16
 UNITS = "hi long, lo long, doc_id long, unit int, start int, end int, n_words int"
 LAST = (1 << 63) - 1
 
@@ -59,7 +62,12 @@ def block_units(raw: np.ndarray, offsets: np.ndarray, min_unit: int = MIN_UNIT)
     breaks = np.concatenate([[0], np.cumsum(raw == 10)])
     line_end = np.ones(len(words), dtype=bool)
     line_end[:-1] = (breaks[starts[1:]] > breaks[ends[:-1]]) | (row[1:] != row[:-1])
-    last = unit_ends(_STOP[raw[ends - 1]], line_end, min_unit)
+    head, second = raw[starts], raw[np.minimum(starts + 1, len(raw) - 1)]
+    capital = ((head >= 65) & (head <= 90)) | ((head == 0xC3) & (second >= 0x80) & (second <= 0x9E))
+    stop = _STOP[raw[ends - 1]]
+    stop |= words % U64(MARK) == 0
+    stop[:-1] |= capital[1:]
+    last = unit_ends(stop, line_end, min_unit)
     first = np.append(0, last[:-1] + 1)
     n_words = last - first + 1
     place = (np.arange(len(words)) - np.repeat(first, n_words)).astype(U64)
