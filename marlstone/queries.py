@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone import patterns as p
 from marlstone.functions import text as t
-from marlstone.operators import deletions, diagnostics, figures, guards, quality, routing, sections, transcripts
+from marlstone.operators import deletions, diagnostics, figures, guards, layout, quality, routing, sections, transcripts
 from marlstone.operators import lines as ln
 from marlstone.plans import cleaning
 from marlstone.plans.noisy import noisy, noisy_sql
@@ -583,6 +583,38 @@ def route_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.route(rows).select("path", "route")
 
 
+# --- page geometry ---------------------------------------------------------------------------
+def glyph_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Turns as pages: a running header, the text in lines of forty characters, and a page number."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page"), F.translate("text", "\n", " ").alias("text"))
+    body = turns.select("doc_id", "page", F.posexplode(F.split("text", "")).alias("pos", "ch"))
+    body = body.select("doc_id", "page", "ch", (72 + 6 * (F.col("pos") % 40)).alias("x0"), (700 - 14 * F.floor(F.col("pos") / 40)).alias("y0"), (F.col("pos") + 100).alias("idx"))
+    line = lambda text, y, first: turns.select("doc_id", "page", F.posexplode(F.split(text, "")).alias("pos", "ch")).select("doc_id", "page", "ch", (72 + 6 * F.col("pos")).alias("x0"), F.lit(y).alias("y0"), (F.col("pos") + first).alias("idx"))
+    head, foot = line(F.lit("Collected Conversations"), 980, 0), line((F.col("page") + 1).cast("string"), 20, 1_000_000)
+    rows = head.unionByName(body).unionByName(foot).where("ch <> ''")
+    space = F.lag("ch").over(Window.partitionBy("doc_id", "page").orderBy("idx")) == " "
+    rows = rows.withColumn("space_before", F.coalesce(space, F.lit(False))).where("ch <> ' '")
+    glyphs = rows.select("doc_id", "page", F.col("idx").cast("int").alias("idx"), F.lit(1).alias("obj"), "ch", F.col("x0").cast("double").alias("x0"), F.col("y0").cast("double").alias("y0"), (F.col("x0") + 5.5).cast("double").alias("x1"), (F.col("y0") + 10).cast("double").alias("y1"), F.lit(0).alias("quad"), F.lit(False).alias("mono"), "space_before", F.lit(False).alias("break_before"))
+    pages = turns.select("doc_id", "page", F.lit(0).alias("quad"), *[F.lit(v).alias(k) for k, v in (("clip_x0", 0.0), ("clip_y0", 0.0), ("clip_x1", 400.0), ("clip_y1", 1000.0))])
+    return glyphs, pages
+
+
+@query()
+def page_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.page_segments(*glyph_tables(spark, sf_dir))
+
+
+@query()
+def page_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    glyphs, pages = glyph_tables(spark, sf_dir)
+    return layout.furniture(layout.page_segments(glyphs, pages), pages)
+
+
+@query()
+def page_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.extract(*glyph_tables(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
