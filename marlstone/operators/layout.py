@@ -66,11 +66,13 @@ def page_segments(glyphs: DataFrame, pages: DataFrame) -> DataFrame:
     return by_page(rows, "idx").mapInArrow(run, SEGMENTS)
 
 
-def learnt_offset(folios: DataFrame, name: str, least) -> DataFrame:
-    """(doc_id, name): the difference of page and printed number that most pages have; the one seen first of equals."""
-    per = folios.groupBy("doc_id", "off").agg(F.count("*").alias("n"), F.min(F.struct("page", "seg")).alias("first"))
-    rank = Window.partitionBy("doc_id").orderBy(F.desc("n"), "first")
-    return per.withColumn("rn", F.row_number().over(rank)).where(F.col("rn") == 1).where(F.col("n") >= least).select("doc_id", F.col("off").alias(name))
+def learnt_offsets(folios: DataFrame, total: DataFrame) -> DataFrame:
+    """(doc_id, a_off, r_off): the difference of page and printed number that most pages have, in figures and in roman numerals; the one seen first of equals."""
+    per = folios.groupBy("doc_id", "arabic", "off").agg(F.count("*").alias("n"), F.min(F.struct("page", "seg")).alias("first"))
+    rank = Window.partitionBy("doc_id", "arabic").orderBy(F.desc("n"), "first")
+    top = per.withColumn("rn", F.row_number().over(rank)).where("rn = 1").join(total, "doc_id")
+    top = top.where(F.col("n") >= F.when(F.col("arabic"), F.greatest(F.lit(2.0), FOLIO_SHARE * F.col("total"))).otherwise(2.0))
+    return top.groupBy("doc_id").agg(F.max(F.when(F.col("arabic"), F.col("off"))).alias("a_off"), F.max(F.when(~F.col("arabic"), F.col("off"))).alias("r_off"))
 
 
 def furniture(segments: DataFrame, pages: DataFrame) -> DataFrame:
@@ -83,11 +85,7 @@ def furniture(segments: DataFrame, pages: DataFrame) -> DataFrame:
     recurring = edge.groupBy("doc_id", "key").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= FURNITURE_PAGES).where(F.regexp_count("key", F.lit("[A-Za-z]")) >= 2).select("doc_id", "key", F.lit(True).alias("recurs"))
     folios = edge.where("outermost and value is not null").withColumn("off", F.col("page") + 1 - F.col("value"))
     total = pages.groupBy("doc_id").agg((F.max("page") + 1).alias("total"))
-    first = learnt_offset(folios.where("arabic").join(total, "doc_id").select("doc_id", "off", "page", "seg", "total").withColumn("off", F.col("off")), "a_off", 2)
-    enough = folios.where("arabic").groupBy("doc_id", "off").agg(F.count("*").alias("n")).join(total, "doc_id").where(F.col("n") >= F.greatest(F.lit(2.0), FOLIO_SHARE * F.col("total")))
-    first = first.join(enough.select("doc_id", F.col("off").alias("a_off")), ["doc_id", "a_off"])
-    second = learnt_offset(folios.where("not arabic"), "r_off", 2)
-    rows = edge.join(recurring, ["doc_id", "key"], "left").join(first, "doc_id", "left").join(second, "doc_id", "left")
+    rows = edge.join(recurring, ["doc_id", "key"], "left").join(learnt_offsets(folios, total), "doc_id", "left")
     trimmed = t.strip(text)
     number = F.coalesce(F.nullif(F.regexp_extract(trimmed, r"^(\d{1,4})\b", 1), F.lit("")), F.nullif(F.regexp_extract(trimmed, r"\b(\d{1,4})$", 1), F.lit(""))).cast("int")
     here = F.col("page") + 1

@@ -16,7 +16,7 @@ from marlstone import patterns as p
 from marlstone.functions import text as t
 from marlstone.operators import deletions, diagnostics, figures, guards, layout, quality, routing, sections, transcripts
 from marlstone.operators import lines as ln
-from marlstone.plans import cleaning
+from marlstone.plans import cleaning, reading
 from marlstone.plans.noisy import noisy, noisy_sql
 from marlstone.sources import html, readers
 
@@ -35,8 +35,18 @@ def query(sql: str | None = None):
     return add
 
 
+#: Tables below this size may sit in one row group, and so in one task.
+SMALL_BYTES = 256 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; a small one of texts is dealt to all cores, which costs little and saves a lone task."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in ("documents", "pages", "conversations"):
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if size < SMALL_BYTES:
+            df = df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
 
 def docs(spark: SparkSession, sf_dir: str, *blocks: str) -> DataFrame:
@@ -285,8 +295,8 @@ def clean_score_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages to Markdown, cleaned, scored and cut into parts."""
     rows = html.pages_to_markdown(table(spark, sf_dir, "pages"))
     rows = cleaning.clean(rows.select(F.col("page_id").alias("doc_id"), F.col("markdown").alias("text"))).select("doc_id", F.col("cleaned").alias("text"))
-    scored = quality.assess(rows).select("doc_id", "score", "headings")
-    return sections.sections(rows, "ai", p.TARGETS["Local LLM"]).join(scored, "doc_id").select("doc_id", "section_no", "title", "est_tokens", "score", "headings")
+    parts = sections.sections(quality.assess(rows), "ai", p.TARGETS["Local LLM"], keep=("score", "headings"))
+    return parts.select("doc_id", "section_no", "title", "est_tokens", "score", "headings")
 
 
 @query(lines_sql("boilerplate", "fence") + f""", b AS (SELECT doc_id, line, count(*) AS n FROM lines WHERE regexp_matches(line, '\\S') GROUP BY ALL),
@@ -394,6 +404,41 @@ def title_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", t.source_prefix(first).alias("prefix"), t.title_case(first).alias("title"), t.sane_meta(first).alias("meta"), t.repair_title(first).alias("repaired"), t.furniture_key(first).alias("key"), t.roman_value(F.lower(F.substring("text", 1, 2))).alias("roman"), t.digit_share(first).alias("digits"), t.log_cell(F.col("text")).alias("cell"), t.sample(F.col("text")).alias("sample"))
 
 
+@query()
+def document_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.outlines(docs(spark, sf_dir, "chapters"), p.TARGETS["Local LLM"], "document")
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 2000 THEN substr(text, 1, 2000) || E'\n\n---\n\n_(Truncated at 2,000 of ' || format('{:,}', length(text)) || ' characters. Read the rest by sections.)_' ELSE text END AS markdown FROM documents")
+def truncated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.whole(table(spark, sf_dir, "documents").select("doc_id", "text"), 2000)
+
+
+@query("""WITH t AS (SELECT conv_id AS doc_id, turn, '<!-- page ' || CAST(turn + 1 AS VARCHAR) || ' (' || role || ') -->' || chr(10) || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS part FROM conversations)
+SELECT doc_id, md5(string_agg(part, chr(10) || chr(10) ORDER BY turn) || chr(10)) AS markdown_md5 FROM t GROUP BY doc_id""")
+def anchored_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text", F.col("role").alias("source"))
+    return reading.anchored_pages(pages, tagged=True).select("doc_id", F.md5(F.col("markdown").cast("binary")).alias("markdown_md5"))
+
+
+@query()
+def notebook_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = docs(spark, sf_dir, "chapters", "images").withColumns({"title": t.document_title(F.col("text"), F.lit("The Book: of things")), "author": F.lit("A"), "summary": F.lit("s")})
+    return reading.notebook_files(rows, p.NOTEBOOK_TOKENS)
+
+
+@query()
+def incident_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = incidents(spark, sf_dir).select("seq", "code", F.hex("seq").alias("ref"), "where", "detail", F.create_map(F.lit("k"), F.col("k").cast("string")).alias("context"))
+    rows = reading.incident_details(rows)
+    return rows.select("seq", "details", reading.incident_line(F.col("title"), F.col("next_step"), F.col("code"), F.col("ref")).alias("line"))
+
+
+@query()
+def code_guide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.code_guide(routing.catalog(spark))
+
+
 # --- model text --------------------------------------------------------------------------
 @query()
 def model_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -626,8 +671,8 @@ def oracle_sql() -> dict[str, str]:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outline of every document after cleaning: (doc_id, section_no, title, est_tokens, score)."""
     cleaned = cleaning.clean(docs(spark, sf_dir)).select("doc_id", F.col("cleaned").alias("text"))
-    parts = sections.sections(cleaned, "outline", p.TARGETS["Local LLM"])
-    return parts.join(quality.assess(cleaned).select("doc_id", "score"), "doc_id").select("doc_id", "section_no", "title", "est_tokens", "score")
+    parts = sections.sections(quality.assess(cleaned), "outline", p.TARGETS["Local LLM"], keep=("score",))
+    return parts.select("doc_id", "section_no", "title", "est_tokens", "score")
 
 
 QUERIES["clean_outline"] = flagship
