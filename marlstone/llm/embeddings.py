@@ -215,3 +215,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
     out = named.join(smallest, "root", "left").join(links, "rid", "left")
     own = F.coalesce("least", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("vec_id") == own, own.isNull()).alias("kept"))
+
+
+#: DuckDB's form of near_duplicates() with its default settings, by all pairs; for small tables of whole vectors.
+SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.95),
+r AS (SELECT vec_id AS id, vec_id AS reached FROM v UNION SELECT e.b, r.reached FROM r JOIN e ON r.id = e.a),
+c AS (SELECT id, min(reached) AS component_id FROM r GROUP BY id),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON vec_id = id LEFT JOIN n ON vec_id = a
+"""

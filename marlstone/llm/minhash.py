@@ -217,3 +217,23 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     scratch.drop("stars", "texts", "left", "more", "coarse-out", "sure")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+#: DuckDB's form of near_duplicates() with its default settings, by all pairs that share a shingle; for small tables.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+         ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingles
+  FROM w),
+n AS MATERIALIZED (SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles FROM s),
+x AS MATERIALIZED (SELECT doc_id, unnest(shingles) AS sh FROM s),
+o AS (SELECT sh FROM x GROUP BY sh HAVING count(*) > 1),
+y AS MATERIALIZED (SELECT doc_id, sh FROM x SEMI JOIN o USING (sh)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM y a JOIN y b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+h AS MATERIALIZED (SELECT p.a, p.b FROM p JOIN n u ON u.doc_id = p.a JOIN n v ON v.doc_id = p.b WHERE 100 * n_both >= 75 * (u.n_shingles + v.n_shingles - n_both)),
+e AS MATERIALIZED (SELECT a, b FROM h UNION ALL SELECT b, a FROM h),
+r AS (SELECT doc_id AS id, doc_id AS reached FROM n UNION SELECT e.b, r.reached FROM r JOIN e ON r.id = e.a)
+SELECT n.doc_id, n_shingles, min(reached) AS component_id, n.doc_id = min(reached) AS kept FROM n JOIN r ON n.doc_id = r.id GROUP BY n.doc_id, n_shingles
+"""

@@ -69,4 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_water_filling_mix": mixing.SQL, "op8_sharded_warc": warc.SQL}
+    return {
+        "op1_minhash_near_dedup": minhash.SQL, "op6_cross_polytope_near_dedup": embeddings.SQL,
+        "op2_water_filling_mix": mixing.SQL, "op8_sharded_warc": warc.SQL,
+    }

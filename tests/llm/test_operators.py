@@ -138,10 +138,10 @@ def test_mix(spark, docs, local, none):
     assert mixing.mix(none).count() == mixing.repeat(none).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op2_water_filling_mix", "op8_sharded_warc"])
+@pytest.mark.parametrize("name", sorted(q.oracle_sql()))
 def test_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     cur = con.execute(q.oracle_sql()[name])
     cols = [d[0] for d in cur.description]
