@@ -24,7 +24,7 @@ def op3_nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.repeated_runs(read(spark, sf_dir, "documents"))
+    return substring.repeats(read(spark, sf_dir, "documents"))
 
 
 def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
