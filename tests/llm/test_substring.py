@@ -18,3 +18,18 @@ def test_short_whole_lines_go(spark):
     assert texts(spark, rows) == Counter([(1, rows[0][1]), (2, "\nsecond here"), (3, "third here\n\nlast")])
     found = {(r.doc_id, r.start, r.end, r.n_words, r.first_doc_id, r.first_word) for r in substring.repeats(spark.createDataFrame(rows, DOCS)).collect()}
     assert found == {(2, 0, 27, 4, 1, 2), (3, 11, 21, 1, 1, 6), (4, 0, 11, 2, 3, 0)}
+
+
+def test_passages_without_sentence_ends_go(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    rows, passages = [], []
+    for k in range(150):
+        passage = [word() for _ in range(52)]
+        passages.append(set(passage))
+        rows += [(2 * k + j, " ".join([*(word() for _ in range(rng.randint(5, 40))), *passage, *(word() for _ in range(rng.randint(5, 40)))])) for j in range(2)]
+    left = dict(texts(spark, rows).keys())
+    gone = [52 - len(passages[i // 2] & set(left[i].split())) for i, _ in rows]
+    assert not any(gone[::2]) and min(gone[1::2]) >= substring.MIN_RUN and sum(gone[1::2]) > 0.7 * 52 * 150
+    for i, t in rows:
+        assert set(t.split()) - set(left[i].split()) <= passages[i // 2]
