@@ -33,3 +33,12 @@ def test_passages_without_sentence_ends_go(spark):
     assert not any(gone[::2]) and min(gone[1::2]) >= substring.MIN_RUN and sum(gone[1::2]) > 0.7 * 52 * 150
     for i, t in rows:
         assert set(t.split()) - set(left[i].split()) <= passages[i // 2]
+
+
+def test_lines_between_repeats_stay(spark):
+    head, foot = "a header of ten words that stands on every page", "and a footer of eleven words that stands there as well"
+    body = "roses\nare red\n7 8 9\n漢字\nviolets"
+    rows = [(1, f"{head}\nelse\n{foot}"), (2, f"{head}\n{body}\n{foot}")]
+    assert texts(spark, rows) == Counter([(1, rows[0][1]), (2, f"\n{body}\n")])
+    found = substring.repeats(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r.start, r.end, r.n_words) for r in found) == [(0, len(head), 10), (len(rows[1][1]) - len(foot), len(rows[1][1]), 11)]
