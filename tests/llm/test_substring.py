@@ -42,3 +42,13 @@ def test_lines_between_repeats_stay(spark):
     assert texts(spark, rows) == Counter([(1, rows[0][1]), (2, f"\n{body}\n")])
     found = substring.repeats(spark.createDataFrame(rows, DOCS)).collect()
     assert sorted((r.start, r.end, r.n_words) for r in found) == [(0, len(head), 10), (len(rows[1][1]) - len(foot), len(rows[1][1]), 11)]
+
+
+def test_rows_without_or_with_one_id_are_documents_of_their_own(spark):
+    line = "the line that all of these rows have in common"
+    rows = [(7, f"{line}\nseven a"), (7, f"{line}\nseven b"), (None, f"{line}\nnone a"), (None, f"{line}\nnone b"), (None, "clean text that is long enough to be cut by mistake, and has no copy"), (9, None)]
+    left = texts(spark, rows)
+    assert Counter(i for i, _ in left.elements()) == {7: 2, None: 3, 9: 1}
+    assert sum(line in (t or "") for _, t in left.elements()) == 1 == sum(line in t for i, t in left if i == 7)
+    assert {re.sub(f"^{line}|\n", "", t) for _, t in left if t} == {"seven a", "seven b", "none a", "none b", rows[4][1]}
+    assert Counter(r.doc_id for r in substring.repeats(spark.createDataFrame(rows, DOCS)).collect()) == {7: 1, None: 2}
