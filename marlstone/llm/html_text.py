@@ -5,7 +5,8 @@ end tags) drive a renderer.  Everything visible comes out: blocks on lines of
 their own, paragraphs and the like between blank lines, list items with
 markers and indents, table cells in aligned columns, preformatted text as it
 stands.  Heads, scripts, styles, comments, hidden and undisplayed elements and
-the closed part of details don't.
+the closed part of details don't.  Of svg, text elements and foreign objects come
+out; of math, everything but annotations.
 
 Work is linear in the page's length for pages of bounded depth; memory holds the
 open elements, the text, and the cells of open tables.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript textarea title".split())
-UNSEEN = frozenset("head script style template noscript noembed noframes iframe object svg math canvas audio video datalist title meta link base param source track".split())
+UNSEEN = frozenset("head script style template noscript noembed noframes iframe object canvas audio video datalist title meta link base param source track".split())
 #: Blocks with a blank line around them, and blocks with a line of their own.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dir dl blockquote pre listing xmp table figure hr fieldset".split())
 PLAIN = frozenset("html body address article aside center details dialog div dd dt figcaption footer form header hgroup legend li main nav optgroup option search section summary".split())
@@ -40,11 +41,21 @@ CLOSED_BY = {
     "tbody": (("td", "th", "tr", "tbody", "thead", "tfoot", "caption", "colgroup"), {"table"}), "thead": (("td", "th", "tr", "tbody", "thead", "tfoot", "caption", "colgroup"), {"table"}),
     "tfoot": (("td", "th", "tr", "tbody", "thead", "tfoot", "caption", "colgroup"), {"table"}), "caption": (("caption",), {"table"}),
 }
+#: Roots of foreign content; there, ``/>`` closes an element.
+FOREIGN = ("svg", "math")
+#: Elements of it that aren't rendered where they stand, those whose texts stand apart, and those with HTML inside.
+FOREIGN_UNSEEN = frozenset("defs desc symbol metadata clippath mask pattern marker annotation annotation-xml".split())
+APART = frozenset("text mtr mtd".split())
+INTEGRATION = frozenset("foreignobject mi mo mn ms mtext".split())
+#: HTML whose start tag ends foreign content.
+LEAVES_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 #: An end tag outside doesn't close anything beyond these.
 SCOPES = frozenset("table td th caption html template".split())
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_LETTER = re.compile("[a-zA-Z]")
+_BARE_END = re.compile(r"""=\s*[^\s"'>][^\s>]*/$""")
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""")
 _RAW_END = {k: re.compile(rf"</{k}(?=[\s/>])[^>]*>", re.IGNORECASE) for k in RAW}
 _BLANK = re.compile(r"[ \t\n\r\f]+")
@@ -176,6 +187,10 @@ class Renderer:
         while len(self.stack) > k:
             self.leave()
 
+    def foreign(self) -> int:
+        """Stack index of the svg or math element whose content is read, or -1 where that is HTML."""
+        return self.within(FOREIGN, INTEGRATION) if self.open["svg"] or self.open["math"] else -1
+
     def start(self, name: str, source: str) -> None:
         if name in ("html", "body", "head") and self.open[name]:
             return
@@ -212,6 +227,8 @@ class Renderer:
         if shown:
             if name in UNSEEN or "hidden" in attrs or style and _UNSHOWN.search(style) or name == "dialog" and "open" not in attrs:
                 shown = False
+            elif (name in FOREIGN_UNSEEN or attrs.get("display") == "none") and self.foreign() >= 0:
+                shown = False
             elif name != "summary" and self.stack and self.stack[-1][0] == "details" and self.stack[-1][3] == "closed":
                 shown = False
         if style and (m := _VISIBILITY.search(style)):
@@ -221,6 +238,8 @@ class Renderer:
         if shown:
             if name in BLOCKS:
                 flow.block(name in SPACED and not (name in LISTS and self.counts))
+            if name in APART and self.foreign() >= 0:
+                flow.write(" ")
             if name == "br":
                 flow.end_line(always=True)
             elif name == "details":
@@ -265,6 +284,8 @@ class Renderer:
         self.open[name] -= 1
         if not shown:
             return
+        if name in APART and self.foreign() >= 0:
+            self.flow.write(" ")
         if undo == "list":
             self.counts.pop()
         elif undo == "pre":
@@ -295,6 +316,8 @@ class Renderer:
             name, shown, visible, undo = self.stack[-1]
             if not shown or not visible or undo == "closed":
                 return
+        if self.open["svg"] and not self.open["text"] and not self.open["foreignobject"]:
+            return
         if "&" in data:
             data = unescape(data)
         if self.pre:
@@ -317,13 +340,18 @@ class Renderer:
                 at = n if end < 0 else end + 3
                 continue
             nxt = html[at + 1 : at + 2]
-            if nxt in ("!", "?") or nxt == "/" and not html[at + 2 : at + 3].isalpha():
+            if html.startswith("<![CDATA[", at) and (self.foreign() >= 0 or self.stack and self.stack[-1][0] in INTEGRATION and (self.open["svg"] or self.open["math"])):
+                end = html.find("]]>", at + 9)
+                self.text(html[at + 9 : n if end < 0 else end].replace("&", "&amp;"))
+                at = n if end < 0 else end + 3
+                continue
+            if nxt in ("!", "?") or nxt == "/" and not _LETTER.match(html, at + 2):
                 end = html.find(">", at + 2)
                 at = n if end < 0 else end + 1
                 continue
             m = _TAG.match(html, at) or _LOOSE.match(html, at)
             if not m:
-                if nxt.isalpha() or nxt == "/":  # a tag that never ends
+                if _LETTER.match(nxt) or nxt == "/":  # a tag that never ends
                     break
                 self.text("<")
                 at += 1
@@ -332,7 +360,15 @@ class Renderer:
             if m[1]:
                 self.end(name)
                 continue
+            root = self.foreign()
+            if root >= 0 and name in LEAVES_FOREIGN:
+                self.close_to(root)
+                root = -1
             self.start(name, m[3])
+            if (root >= 0 or name in FOREIGN) and m[3].endswith("/") and not _BARE_END.search(m[3]):
+                if name not in VOID:
+                    self.leave()
+                continue
             if name in RAW:
                 end = _RAW_END[name].search(html, at)
                 inner = html[at : end.start() if end else n]
