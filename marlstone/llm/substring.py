@@ -8,7 +8,8 @@ bits:
 * spans of at least SPAN words between cuts, wherever lines end.  A cut is the
   word with the least hash of any WINDOW words in a row, so every WINDOW words
   have one and cuts depend on nothing further away.  A passage repeated
-  anywhere therefore has the same cuts but for WINDOW - 1 words at either edge.
+  anywhere therefore has the same cuts but for up to WINDOW words at either edge,
+  and its last span may end SPAN - 1 words before the last of them.
 
 Over all rows, the earliest occurrence of a digest by (doc_id, row, place in
 the text) stays; later ones are repeats.  Repeated pieces that overlap or touch
