@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,30 +17,34 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Rows in one Arrow batch at most, so that long texts don't gather in a Python worker.
-BATCH_ROWS = 2000
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; a temporary one only where none is set."""
+    """The folder that driver and executors share, as the session names it.
+
+    Only a local master, which is one machine, gets a temporary one where none
+    is set; elsewhere a missing folder is an error.
+    """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="marlstone-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
         folder = sc.getCheckpointDir()
     return folder.rstrip("/")
 
 
 class Scratch:
-    """Tables written to the shared folder, so that lineage is cut and a lost executor loses nothing."""
+    """Tables written to the shared folder, so that lineage is cut and a lost executor loses nothing.
+
+    ``drop`` removes single tables, ``close`` the whole folder; what a result
+    still reads has to stay until the result has been used.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_dir(spark)}/marlstone-{name}-{uuid.uuid4().hex}"
@@ -49,43 +56,74 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def _remove(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
     def drop(self, *names: str) -> None:
         """Remove tables that nothing reads any more."""
-        jvm, jsc = self.spark._jvm, self.spark._jsc
         for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
+            self._remove(self.path(name))
+
+    def close(self) -> None:
+        """Remove all tables."""
+        self._remove(self.base)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of ``df`` has them in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+#: Rounds whose maps are composed in one plan.
+FOLDED = 4
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, name: str, seed: int = 1) -> DataFrame:
     """(node, root) of every node of ``edges(a, b)``; root is the smallest id reachable.
 
-    Each round maps every node to its smallest neighbour and contracts the
-    edges, so the number of nodes at least halves; the maps of the rounds are
-    then composed from the last to the first.  Each round's tables are written
-    to the shared folder.
+    Randomised contraction: in each round every node points to the neighbour,
+    or itself, that comes first in an order drawn anew for the round, and two
+    steps of these pointers give what it's contracted to.  Long chains shrink
+    like anything else, about to a third a round, so the rounds grow with the
+    logarithm of the nodes however ids are laid out.  The maps are then composed
+    from the last to the first, FOLDED of them at a time, and the smallest id of
+    each group is found at the end.  Every round's tables are written to the
+    shared folder, and no plan grows with the number of rounds.
     """
-    edges = edges.select("a", "b").where("a is not null and b is not null and a <> b")
+    edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b")
     edges = scratch.keep(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-e0")
-    maps, k = [], 0
-    while True:
-        both = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).unionAll(edges.select("b", "a"))
-        step = scratch.keep(both.groupBy("node").agg(F.least(F.col("node"), F.min("to")).alias("root")), f"{name}-m{k}")
+    maps = []
+    while not edges.isEmpty():
+        k = len(maps)
+        rank = F.struct(F.xxhash64("to", F.lit(seed), F.lit(k)).alias("h"), "to")
+        ends = edges.select(F.explode(F.array(*(F.struct(F.col(x).alias("node"), F.col(y).alias("to")) for x in "ab" for y in "ab"))).alias("e")).select("e.node", "e.to")
+        first = ends.groupBy("node").agg(F.min(rank)["to"].alias("to"))
+        first = scratch.keep(first, f"{name}-p{k}")
+        second = first.select(F.col("node").alias("to"), F.col("to").alias("root"))
+        step = scratch.keep(first.join(second, "to").select("node", "root"), f"{name}-m{k}")
+        of = lambda x: step.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))  # noqa: E731,B023
+        less = edges.join(of("a"), "a").join(of("b"), "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+        edges = scratch.keep(less, f"{name}-e{k + 1}")
+        scratch.drop(f"{name}-e{k}", f"{name}-p{k}")
         maps.append(step)
-        to_a = step.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-        to_b = step.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        less = edges.join(to_a, "a").join(to_b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        nxt = scratch.keep(less, f"{name}-e{k + 1}")
-        scratch.drop(f"{name}-e{k}")
-        edges, k = nxt, k + 1
-        if edges.isEmpty():
-            break
+    if not maps:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     out = maps[-1]
-    for step in reversed(maps[:-1]):
+    for k in reversed(range(len(maps) - 1)):
         later = out.select(F.col("node").alias("root"), F.col("root").alias("root2"))
-        out = step.join(later, "root", "left").select("node", F.coalesce("root2", "root").alias("root"))
-    out = scratch.keep(out, f"{name}-out")
-    scratch.drop(f"{name}-e{k}", *[f"{name}-m{i}" for i in range(len(maps))])
+        out = maps[k].join(later, "root", "left").select("node", F.coalesce("root2", "root").alias("root"))
+        if k and k % FOLDED == 0:
+            out = scratch.keep(out, f"{name}-c{k}")
+    groups = scratch.keep(out, f"{name}-groups")
+    least = groups.groupBy("root").agg(F.min("node").alias("least"))
+    out = scratch.keep(groups.join(least, "root").select("node", F.col("least").alias("root")), f"{name}-out")
+    scratch.drop(f"{name}-groups", f"{name}-e{len(maps)}", *[f"{name}-{x}{i}" for i in range(len(maps)) for x in "mc"])
     return out
 
 
