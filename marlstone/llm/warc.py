@@ -1,14 +1,16 @@
 """Deterministic sharded WARC writer, and its reader.
 
-Records are dealt into shards by ranges of page_id that hold about SHARD_BYTES
-of payload each; the ranges come from sums over at most SLICES equal id slices,
-so the same table gives the same shards whatever the partitions.  A task writes
-its shards' records in order of page_id, each a gzip member with headers and
-digests made anew, and begins a new file when the present one has reached
-FILE_BYTES compressed.  A file is written under a temporary name and renamed;
-its manifest row (name, records, bytes, digest) reaches the manifest only when
-its task has ended well, and readers open just the files that the manifest
-names.  A task that runs again writes the same bytes to the same names.
+Records are ordered by (page_id, digest, url) and dealt into shards at exact
+quantiles of their bytes: about SHARD_BYTES of payload each, at most MAX_SHARDS
+of them.  The quantiles come from a sorted table of ids, digests and sizes, so
+the same table gives the same shards whatever its partitions, and neither one
+far id nor many rows without any fill a shard.  A task writes its shards' records
+in order, each a gzip member with headers and digests made anew, and begins a
+new file when the present one has reached FILE_BYTES compressed.  A file is
+written under a temporary name and renamed; its manifest row (name, records,
+bytes, digest) reaches the manifest only when its task has ended well, and
+readers open just the files that the manifest names.  A task that runs again
+writes the same bytes to the same names.
 
 Of records with equal payloads of at least MIN_REVISIT bytes, the one with the
 largest page_id is the response and the others are revisits of it.
@@ -31,15 +33,19 @@ import re
 import uuid
 import zlib
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import Scratch, partitions
 
 MIN_REVISIT = 1000
-SHARD_BYTES = 8 << 20
-FILE_BYTES = 16 << 20
-SLICES = 1 << 14
+#: A shard holds several files, so that files end where their compressed size says.
+SHARD_BYTES = 16 << 20
+FILE_BYTES = 4 << 20
+#: Shards at most: their bounds are one broadcast value, of some 100 bytes each.
+MAX_SHARDS = 1 << 14
+#: What a record counts beside its payload.
+RECORD_BYTES = 512
 DATE = "2020-01-01T00:00:00Z"
 MANIFEST = "name string, first_page long, records long, bytes long, sha256 string"
 _SPACE_ID = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -148,6 +154,33 @@ def writer(folder: str, file_bytes: int):
     return run
 
 
+def shard_bounds(facts: DataFrame, scratch: Scratch, shard_bytes: int) -> DataFrame:
+    """One row, one array: the least (page_id, digest, url) of each shard but the first.
+
+    ``facts`` are put in order once, in ranges; sums within ranges and over the
+    ranges give each record's exact place in the whole.
+    """
+    keys = ["page_id", "digest", "url"]
+    ranged = facts.select(*keys, (F.col("size") + RECORD_BYTES).alias("size")).repartitionByRange(partitions(facts.sparkSession), *keys)
+    ranged = scratch.keep(ranged.withColumn("part", F.spark_partition_id()), "ranged")
+    parts = ranged.groupBy("part").agg(F.sum("size").alias("held"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("before"), F.sum("held").over(Window.partitionBy()).alias("whole"))
+    inside = Window.partitionBy("part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("at", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(F.broadcast(parts), "part")
+    n = F.least(F.ceil(F.col("whole") / F.lit(shard_bytes)), F.lit(MAX_SHARDS))
+    shard = F.floor((F.col("at") + F.col("before")) / F.ceil(F.col("whole") / n))
+    firsts = placed.groupBy(shard.alias("shard")).agg(F.min(F.struct(*keys)).alias("key")).where("shard > 0")
+    return firsts.agg(F.sort_array(F.collect_list("key")).alias("bounds"))
+
+
+def shard_of(key: Column, bounds: Column) -> Column:
+    """How many of the sorted bounds a key reaches, by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(MAX_SHARDS.bit_length()))])
+    reached = lambda lo, k: F.when(lo + k <= F.size(bounds), F.try_element_at(bounds, lo + k) <= key).otherwise(False)
+    return F.aggregate(steps, F.lit(0), lambda lo, k: F.when(reached(lo, k), lo + k).otherwise(lo))
+
+
 def plan(pages: DataFrame, scratch: Scratch, min_revisit: int, shard_bytes: int) -> DataFrame:
     """The rows of writer()."""
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
@@ -155,23 +188,16 @@ def plan(pages: DataFrame, scratch: Scratch, min_revisit: int, shard_bytes: int)
     facts = scratch.keep(rows.select("page_id", "url", "digest", "size"), "facts")
     groups = facts.where(F.col("size") >= min_revisit).groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("top"), F.count("*").alias("n")).where("n > 1 and top.page_id is not null")
     groups = groups.select(F.col("digest").alias("d"), F.col("top.page_id").alias("top_id"), F.col("top.url").alias("top_url"))
-
-    # id slices, their payload sums, and the shards that these make; at most SLICES rows
-    span = facts.agg(F.min("page_id").alias("low"), F.max("page_id").alias("high")).first()
-    low, high = span["low"] or 0, span["high"] or 0
-    step = max(1, -(-(high - low + 1) // SLICES))
-    slice_of = F.coalesce(F.floor((F.col("page_id") - F.lit(low)) / F.lit(step)).cast("long"), F.lit(-1))
-    before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    sums = facts.groupBy(slice_of.alias("slice")).agg(F.sum("size").alias("held"))
-    shards = scratch.keep(sums.select("slice", F.floor(F.coalesce(F.sum("held").over(before), F.lit(0)) / F.lit(shard_bytes)).cast("int").alias("shard")), "shards")
+    bounds = shard_bounds(facts, scratch, shard_bytes).select(F.to_json("bounds")).first()[0]
+    bounds = F.from_json(F.lit(bounds), "array<struct<page_id:bigint,digest:string,url:string>>")  # a constant
 
     own = F.col("page_id").eqNullSafe(F.col("top_id")) & F.col("url").eqNullSafe(F.col("top_url"))
-    place = F.broadcast(shards)
-    columns = ["shard", "page_id", "digest", "url"]
+    shard = shard_of(F.struct("page_id", "digest", "url"), bounds).alias("shard")
+    columns = [shard, "page_id", "digest", "url"]
     # revisits stand before their pages, so that payloads are dealt out once and joined with nothing
-    notes = facts.join(groups, facts.digest == groups.d).where(~own).withColumn("slice", slice_of).join(place, "slice")
+    notes = facts.join(groups, facts.digest == groups.d).where(~own)
     notes = notes.select(*columns, F.lit(0).alias("kind"), F.lit(None).cast("string").alias("html"), F.col("top_id").alias("refers_to"), F.col("top_url").alias("refers_url"))
-    full = rows.withColumn("slice", slice_of).join(place, "slice").select(*columns, F.lit(1).alias("kind"), "html", F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("refers_url"))
+    full = rows.select(*columns, F.lit(1).alias("kind"), "html", F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("refers_url"))
     return notes.distinct().unionAll(full)
 
 
@@ -183,8 +209,8 @@ def write(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT, shard_b
     p.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(p)
     rows = plan(pages, scratch, min_revisit, shard_bytes)
     rows = rows.repartition(partitions(spark), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "url", "kind")
-    done = scratch.keep(rows.mapInArrow(writer(folder, file_bytes), MANIFEST), "done")  # written apart, for one manifest file must not mean one task
-    done.coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")
+    rows.mapInArrow(writer(folder, file_bytes), MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
+    scratch.close()
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
