@@ -1,10 +1,17 @@
 """Sum-of-squares online packing of token sequences.
 
 A document's ids (its text's, then an end id) first fill whole windows; what is
-left is placed online: of all fill levels at which an open window takes it
-whole, and of a new window, the one is chosen that leaves the least sum of
-squared counts of open windows by level.  The counts stand in a level array, so
-a choice costs one vector operation however many windows are open.
+left is placed online: of all fill levels at which an open window takes it, and
+of a new window, the one is chosen that leaves the least sum of squared counts
+of open windows by level.  The counts stand in a level array, so a choice costs
+one vector operation however many windows are open.
+
+Levels are LEVELS steps of a window, not single tokens, for windows close along
+the way only if fills meet often.  A placement that reaches the last level
+closes its window: what a piece has too much is cut off and goes into windows
+that lack a little, or is placed like a document of its own.  So at any time
+less than a step is lacking in the windows that wait for such an end, and what
+is open in the others is some windows a level.
 
 Each input partition packs on its own, in one pass, with no shuffle.  Open
 windows are bounded: past the bound, and at the partition's end, they are
@@ -30,75 +37,97 @@ from marlstone.llm.tokens import VOCABULARY, piece_table
 WINDOW = 4096
 END_ID = 2
 MAX_OPEN = 1024
+LEVELS = 16
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Sequences of one partition that its number leaves room for.
 PER_PARTITION = 1 << 36
 
 
 class Packer:
-    """Packs the documents of one partition; finished pieces gather in ``out``."""
+    """Packs the documents of one partition; finished pieces gather in ``out``, tokens by what filled their windows in ``paths``."""
 
-    def __init__(self, first_sequence: int, window: int = WINDOW, max_open: int = MAX_OPEN):
+    def __init__(self, first_sequence: int, window: int = WINDOW, max_open: int = MAX_OPEN, levels: int = LEVELS):
         self.window, self.max_open, self.next = window, max_open, first_sequence
-        self.level = np.zeros(window + 1, dtype=np.int64)  # open windows by fill
-        self.open: list[list[list]] = [[] for _ in range(window + 1)]
+        self.n_levels = min(levels, window)
+        self.step = window // self.n_levels
+        self.level = np.zeros(self.n_levels + 1, dtype=np.int64)  # open windows by level
+        self.open: list[list[tuple[int, list]]] = [[] for _ in range(self.n_levels + 1)]  # (fill, pieces); the last are those that lack less than a step
         self.n_open = 0
         self.out: list[tuple] = []
+        self.paths = {"whole": 0, "placed": 0, "joined": 0}
 
-    def emit(self, pieces: list[tuple]) -> None:
+    def emit(self, pieces: list[tuple], path: str) -> None:
         at = 0
         for doc, start, ids, total in pieces:
             self.out.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, self.next, at))
             at += len(ids)
+        self.paths[path] += at
         self.next += 1
 
     def choose(self, size: int) -> int:
-        """The fill level to place a piece at; 0 opens a window."""
-        n = self.level[: self.window - size + 1]
-        cost = 2 * self.level[size : self.window + 1] + 1
-        cost[-1] = 0  # a full window is open no more
+        """The level to place a piece at; 0 opens a window."""
+        steps = min(self.n_levels, max(1, round(size / self.step)))
+        n = self.level[: self.n_levels - steps + 1]
+        cost = 2 * self.level[steps:] + 1
+        cost[-1] = 0  # at the last level a window is open no more
         cost[1:] += 1 - 2 * n[1:]
         cost[1:][n[1:] == 0] = np.iinfo(np.int64).max
         return len(cost) - 1 - int(np.argmin(cost[::-1]))
 
+    def put(self, fill: int, pieces: list, piece: tuple) -> tuple | None:
+        """Fill a window with a piece, and set it back or emit it; gives what didn't go in."""
+        doc, start, ids, total = piece
+        k = min(len(ids), self.window - fill)
+        pieces.append((doc, start, ids[:k], total))
+        fill += k
+        if fill == self.window:
+            self.emit(pieces, "placed")
+        else:
+            at = min(self.n_levels, -(-fill // self.step))
+            self.open[at].append((fill, pieces))
+            self.n_open += 1
+            if at < self.n_levels:
+                self.level[at] += 1
+        return (doc, start + k, ids[k:], total) if k < len(ids) else None
+
+    def take(self, at: int) -> tuple[int, list]:
+        self.n_open -= 1
+        if at < self.n_levels:
+            self.level[at] -= 1
+        return self.open[at].pop()
+
     def add(self, doc, ids: np.ndarray) -> None:
         total, at = len(ids), 0
         while total - at >= self.window:
-            self.emit([(doc, at, ids[at : at + self.window], total)])
+            self.emit([(doc, at, ids[at : at + self.window], total)], "whole")
             at += self.window
-        if at == total:
-            return
-        piece = (doc, at, ids[at:], total)
-        size = total - at
-        h = self.choose(size)
-        if h:
-            pieces = self.open[h].pop()
-            self.level[h] -= 1
-            self.n_open -= 1
-        else:
-            pieces = []
-        pieces.append(piece)
-        if h + size == self.window:
-            self.emit(pieces)
-            return
-        self.open[h + size].append(pieces)
-        self.level[h + size] += 1
-        self.n_open += 1
+        piece = (doc, at, ids[at:], total) if at < total else None
+        lacking, first = self.open[self.n_levels], True
+        while piece is not None:
+            # ends that were cut off go where little is lacking; if too many windows wait for one, so does a document's head
+            if lacking and (not first or len(lacking) > self.n_levels):
+                piece = self.put(*self.take(self.n_levels), piece)
+            else:
+                level = self.choose(len(piece[2]))
+                piece = self.put(*(self.take(level) if level else (0, [])), piece)
+            first = False
         if self.n_open > self.max_open:
             rest, fill = self.join()
             if rest:
-                self.open[fill].append(rest)
-                self.level[fill] += 1
+                level = min(self.n_levels, -(-fill // self.step))
+                self.open[level].append((fill, rest))
                 self.n_open = 1
+                if level < self.n_levels:
+                    self.level[level] = 1
 
     def join(self) -> tuple[list, int]:
         """Cut the open windows anew into full ones; gives what is left and its fill."""
         held, fill = [], 0
         for windows in self.open:
-            for doc, start, ids, total in (p for w in windows for p in w):
+            for doc, start, ids, total in (p for _, w in windows for p in w):
                 while fill + len(ids) >= self.window:
                     k = self.window - fill
-                    self.emit([*held, (doc, start, ids[:k], total)])
+                    self.emit([*held, (doc, start, ids[:k], total)], "joined")
                     held, fill, start, ids = [], 0, start + k, ids[k:]
                 if len(ids):
                     held.append((doc, start, ids, total))
@@ -120,7 +149,7 @@ class Packer:
                 if len(ids) > room:
                     rest.insert(0, (doc, start + room, ids[room:], total))
                 room -= min(room, len(ids))
-            self.emit(held)
+            self.emit(held, "joined")
 
 
 def packed(vocabulary: str, window: int, end_id: int, max_open: int):
