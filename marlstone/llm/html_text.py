@@ -12,14 +12,20 @@ Work is linear in the page's length for pages of bounded depth; memory holds the
 open elements, the text, and the cells of open tables.
 
 Defined cases: a null or empty html gives an empty text; broken markup is
-closed at the end; rows with equal or null page_id are pages of their own.
+closed at the end; a table cell keeps to its columns over the rows that it spans,
+within its row group, and wide characters take two columns; style sheets aren't
+read, only style attributes are, so what a sheet hides comes out; rows with equal or null page_id are pages of their own.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from html import unescape
+from itertools import accumulate
+from typing import NamedTuple
+from unicodedata import category, east_asian_width
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +47,9 @@ CLOSED_BY = {
     "tbody": (("td", "th", "tr", "tbody", "thead", "tfoot", "caption", "colgroup"), {"table"}), "thead": (("td", "th", "tr", "tbody", "thead", "tfoot", "caption", "colgroup"), {"table"}),
     "tfoot": (("td", "th", "tr", "tbody", "thead", "tfoot", "caption", "colgroup"), {"table"}), "caption": (("caption",), {"table"}),
 }
+#: Spans beyond these count as these, as HTML has it.
+MAX_COLUMNS, MAX_ROWS = 1000, 65534
+ROW_GROUPS = frozenset("tbody thead tfoot".split())
 #: Roots of foreign content; there, ``/>`` closes an element.
 FOREIGN = ("svg", "math")
 #: Elements of it that aren't rendered where they stand, those whose texts stand apart, and those with HTML inside.
@@ -58,6 +67,7 @@ _LETTER = re.compile("[a-zA-Z]")
 _BARE_END = re.compile(r"""=\s*[^\s"'>][^\s>]*/$""")
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""")
 _RAW_END = {k: re.compile(rf"</{k}(?=[\s/>])[^>]*>", re.IGNORECASE) for k in RAW}
+_SPAN = re.compile(r"\s*\+?(\d{1,9})")
 _BLANK = re.compile(r"[ \t\n\r\f]+")
 _UNSHOWN = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 _VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.IGNORECASE)
@@ -129,33 +139,79 @@ class Flow:
         return "\n".join(self.lines)
 
 
+def width(text: str) -> int:
+    """Columns that a text takes: wide characters two, combining ones and format characters none."""
+    if text.isascii():
+        return len(text)
+    return sum(2 if east_asian_width(c) in "WF" else 0 if category(c) in ("Mn", "Me", "Cf") else 1 for c in text)
+
+
+class Cell(NamedTuple):
+    lines: list[str]
+    columns: int
+    rows: int  # 0: to the end of its row group
+
+
 class Table:
     """Rows of cells of an open table."""
 
     def __init__(self):
-        self.rows: list[list[tuple[list[str], int]]] = []
+        self.rows: list[list[Cell]] = []
+        self.groups: list[int] = []  # rows at which a row group begins
         self.captions: list[str] = []
 
+    def grid(self) -> list[list[tuple[int, int, Cell]]]:
+        """Each row's cells with their first column and the row after their last: a cell takes the first columns that no cell from above reaches into."""
+        out, free = [], {}  # free: column -> row at which it's free again
+        ends = [*sorted({g for g in self.groups if 0 < g < len(self.rows)}), len(self.rows)]
+        for i, row in enumerate(self.rows):
+            end, at, placed = ends[bisect_right(ends, i)], 0, []
+            for cell in row:
+                while free.get(at, 0) > i:
+                    at += 1
+                to = min(end, i + cell.rows) if cell.rows else end
+                if to > i + 1:
+                    free.update(dict.fromkeys(range(at, at + cell.columns), to))
+                placed.append((at, to, cell))
+                at += cell.columns
+            out.append(placed)
+        return out
+
     def lines(self) -> list[str]:
-        """Cells in columns, each as wide as its widest line; a cell over several columns doesn't widen them."""
-        widths: Counter = Counter()
-        for row in self.rows:
-            at = 0
-            for cell, span in row:
-                if span == 1:
-                    widths[at] = max(widths[at], max(map(len, cell), default=0))
-                at += span
+        """Cells in columns, each as wide as its widest line; a cell over several columns doesn't widen them.
+
+        A row is as high as its highest cell of one row; a higher cell over
+        several rows adds to the last of them.  Cells without text take no room.
+        """
+        cells = [(i, at, to, cell) for i, row in enumerate(self.grid()) for at, to, cell in row if any(cell.lines)]
+        widths: dict[int, int] = {}
+        height = [0] * len(self.rows)
+        for i, at, to, cell in cells:
+            widths.setdefault(at, 0)
+            if cell.columns == 1:
+                widths[at] = max(widths[at], *map(width, cell.lines))
+            if to == i + 1:
+                height[i] = max(height[i], len(cell.lines))
+        for i, _, to, cell in sorted(cells, key=lambda x: x[2]):
+            if to > i + 1:
+                height[to - 1] += max(0, len(cell.lines) - sum(height[i:to]))
+        known = sorted(widths)
+        start = dict(zip(known, accumulate((widths[c] + 2 for c in known), initial=0)))
+        top = list(accumulate(height, initial=0))
+        rows: list[list[tuple[int, str]]] = [[] for _ in range(top[-1])]
+        for i, at, _, cell in cells:
+            for k, x in enumerate(cell.lines, top[i]):
+                if x:
+                    rows[k].append((start[at], x))
         out = []
-        for row in self.rows:
-            for k in range(max((len(cell) for cell, _ in row), default=0)):
-                at, line, parts = 0, 0, []
-                for cell, span in row:
-                    width = sum(widths[at + j] + 2 for j in range(min(span, 64)))
-                    part = cell[k] if k < len(cell) else ""
-                    parts.append(part.ljust(width - 2) + "  ")
-                    at, line = at + span, line + width
-                out.append("".join(parts).rstrip(" "))
-        return [x for x in out if x]
+        for row in rows:
+            parts, size = [], 0
+            for at, x in sorted(row):
+                pad = max(at - size, 2 if size else 0)
+                parts.append(" " * pad + x)
+                size += pad + width(x)
+            out.append("".join(parts).rstrip(" "))
+        return out
 
 
 class Renderer:
@@ -269,11 +325,13 @@ class Renderer:
                 undo = "table"
             elif name == "tr" and self.tables:
                 self.tables[-1].rows.append([])
+            elif name in ROW_GROUPS and self.tables:
+                self.tables[-1].groups.append(len(self.tables[-1].rows))
             elif name in ("td", "th", "caption") and self.tables:
                 self.flows.append(flow)
                 self.flow = Flow()
-                span = attrs.get("colspan", "1")
-                undo = ("cell", name, int(span) if re.fullmatch(r"[1-9]\d{0,2}", span) else 1)
+                columns, rows = (_SPAN.match(attrs.get(k, "")) for k in ("colspan", "rowspan"))
+                undo = ("cell", name, min(max(1, int(columns[1])), MAX_COLUMNS) if columns else 1, min(int(rows[1]), MAX_ROWS) if rows else 1)
             elif name == "input" and attrs.get("type", "").lower() in ("submit", "button", "reset") and visible:
                 flow.write(attrs.get("value", ""))
         self.stack.append((name, shown, visible, undo))
@@ -295,7 +353,9 @@ class Renderer:
             table = self.tables.pop()
             for line in [*table.captions, *table.lines()]:
                 self.flow.now.append(line)
-                self.flow.end_line()
+                self.flow.end_line(always=True)
+        elif name in ROW_GROUPS and self.tables:
+            self.tables[-1].groups.append(len(self.tables[-1].rows))
         elif isinstance(undo, tuple):
             lines = self.flow.text().split("\n")
             self.flow = self.flows.pop()
@@ -304,7 +364,7 @@ class Renderer:
             else:
                 if not self.tables[-1].rows:
                     self.tables[-1].rows.append([])
-                self.tables[-1].rows[-1].append((lines, undo[2]))
+                self.tables[-1].rows[-1].append(Cell(lines, undo[2], undo[3]))
         if name in BLOCKS:
             self.flow.block(name in SPACED and not (name in LISTS and self.counts))
         if undo == "indent":
