@@ -28,13 +28,21 @@ def op4_line_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents arrive in two batches; a third takes the second's rows back and a fourth brings them again; batches that come twice count once."""
+    """All documents arrive, some as drafts that say a word more; those are revised, some are taken back and brought again, and batches that come twice count once."""
     scratch = Scratch(spark, "rollup")
-    counts = scratch.keep(token_rollup.counted(read(spark, sf_dir, "documents")), "counts")
+    docs = read(spark, sf_dir, "documents")
+    part = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(3)), F.lit(0))
+    draft = F.concat_ws(" ", "text", F.lit("draft"))
+    both = F.array(F.struct(F.lit(False).alias("final"), draft.alias("t")), F.struct(F.lit(True).alias("final"), F.col("text").alias("t")))
+    texts = docs.withColumns({"part": part, "version": F.explode(F.when(part == 1, both).otherwise(F.slice(both, 2, 1)))})
+    texts = texts.select("doc_id", "source", "lang", F.col("version.t").alias("text"), F.struct("part", F.col("version.final").alias("final")).alias("tag"))
+    counts = scratch.keep(token_rollup.counted(texts, keep="tag"), "counts")
     rollup = token_rollup.TokenRollup(spark, scratch.path("totals"))
-    late = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1, F.lit(False))
-    second = counts.where(late)
-    for batch, rows in (("1", counts.where(~late)), ("2", second), ("1", counts.where(~late)), ("3", second.withColumn("sign", F.lit(-1))), ("4", second), ("2", second)):
+    signed = lambda rows, sign: rows.withColumn("sign", F.lit(sign))
+    drafts, finals, moved = counts.where("not tag.final"), counts.where("tag.part = 1 and tag.final"), counts.where("tag.part = 2")
+    first = counts.where("tag.part <> 1").unionAll(drafts)
+    revision = signed(drafts, -1).unionAll(finals)
+    for batch, rows in (("1", first), ("2", revision), ("1", first), ("3", signed(moved, -1)), ("4", moved), ("2", revision)):
         rollup.commit(batch, rows)
     return rollup.totals()
 

@@ -27,6 +27,8 @@ DELTA = "source string, lang string, tokenizer_version string, n_docs long, n_to
 
 
 def counter(vocabulary: str):
+    """Column 0, texts, becomes their numbers of ids."""
+
     def run(batches):
         import pyarrow as pa
 
@@ -37,14 +39,15 @@ def counter(vocabulary: str):
     return run
 
 
-def counted(changes: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Counts of each changed row by both tokenizers: bpe, words, and the row's doc_id, source, lang, sign."""
+def counted(changes: DataFrame, vocabulary: str = VOCABULARY, keep: str | None = None) -> DataFrame:
+    """Counts of each changed row by both tokenizers: bpe, words, and the row's doc_id, source, lang, sign, and one more column to ``keep``."""
     sign = F.col("sign").cast("int") if "sign" in changes.columns else F.lit(1)
     rows = changes.select(
         F.col("text").cast("string"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("words"),
-        F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("lang").cast("string"), F.coalesce(sign, F.lit(1)).alias("sign"),
+        F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("lang").cast("string"), F.coalesce(sign, F.lit(1)).alias("sign"), *([keep] if keep else []),
     )
-    return rows.mapInArrow(counter(vocabulary), "bpe long, words long, doc_id long, source string, lang string, sign int")
+    extra = f", {keep} {changes.schema[keep].dataType.simpleString()}" if keep else ""
+    return rows.mapInArrow(counter(vocabulary), f"bpe long, words long, doc_id long, source string, lang string, sign int{extra}")
 
 
 def deltas(counts: DataFrame) -> DataFrame:
@@ -82,7 +85,7 @@ class TokenRollup:
             raise ValueError("a batch id holds letters, digits, '.', '_' and '-'")
         if batch_id in self.batches():
             return False
-        deltas(counts).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/batch-{batch_id}")
+        deltas(counts).write.mode("overwrite").parquet(f"{self.folder}/batch-{batch_id}")
         return True
 
     def totals(self) -> DataFrame:
