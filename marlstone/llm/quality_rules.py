@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import Scratch
+from marlstone.llm.common import Scratch, fresh
 from marlstone.llm.hashing import _SPACE, BLOCK, U64, mix, rows_of_words, separated, span_hashes, stream, text_blocks, word_hashes
 
 MIN_WORDS = 50
@@ -118,7 +118,7 @@ def block_counts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.stack([out[k] for k in COUNTS])
 
 
-def counter(text_index: int):
+def counter(text_index: int, name: str):
     def run(batches):
         import pyarrow as pa
 
@@ -128,7 +128,7 @@ def counter(text_index: int):
                 continue
             table = np.concatenate(parts, axis=1)
             counts = pa.StructArray.from_arrays([pa.array(x) for x in table], names=list(COUNTS))
-            yield pa.RecordBatch.from_arrays([*batch.columns, counts], names=[*batch.schema.names, SIGNALS])
+            yield pa.RecordBatch.from_arrays([*batch.columns, counts], names=[*batch.schema.names, name])
 
     return run
 
@@ -136,25 +136,25 @@ def counter(text_index: int):
 SIGNALS = "__signals"
 
 
-def with_signals(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The named columns, ``text`` among them, and a struct of counts."""
+def with_signals(docs: DataFrame, columns: list[str], name: str = SIGNALS) -> DataFrame:
+    """The named columns, ``text`` among them, and a struct of counts called ``name``."""
     from pyspark.sql.types import LongType, StructField, StructType
 
-    rows = docs.select(*columns)
-    schema = StructType([*rows.schema.fields, StructField(SIGNALS, StructType([StructField(k, LongType()) for k in COUNTS]))])
-    return rows.mapInArrow(counter(columns.index("text")), schema)
+    rows = docs.select(*[F.col(f"`{c}`") for c in columns])
+    schema = StructType([*rows.schema.fields, StructField(name, StructType([StructField(k, LongType()) for k in COUNTS]))])
+    return rows.mapInArrow(counter(columns.index("text"), name), schema)
 
 
-def votes() -> list[Column]:
+def votes(signals: str = SIGNALS) -> list[Column]:
     """A vote column for each rule."""
     out = []
     for name, count, of, side, bad, good in RULES:
-        c = F.col(f"{SIGNALS}.{count}")
-        base = F.lit(1) if of is None else F.col(f"{SIGNALS}.{of}")
+        c = F.col(f"{signals}.{count}")
+        base = F.lit(1) if of is None else F.col(f"{signals}.{of}")
         x = c if of is None else c * 100
         low = x > base * bad if side == ">" else x < base * bad
         high = F.lit(False) if good is None else x <= base * good if side == ">" else x >= base * good
-        some = F.col(f"{SIGNALS}.n_words") > 0
+        some = F.col(f"{signals}.n_words") > 0
         out.append(F.when(some & low, -1).when(some & high, 1).otherwise(0).cast("int").alias(name))
     return out
 
@@ -189,19 +189,19 @@ def posterior(share: float, p: np.ndarray, columns: list[Column]) -> Column:
     return 1 / (1 + F.exp(-logit))
 
 
-def learn(signals: DataFrame) -> tuple[float, np.ndarray]:
+def learn(rows: DataFrame, signals: str = SIGNALS) -> tuple[float, np.ndarray]:
     """The fitted model; reads one count for each vote pattern."""
     names = [r[0] for r in RULES]
-    found = signals.select(*votes()).groupBy(*names).count().collect()
+    found = rows.select(*votes(signals)).groupBy(*names).count().collect()
     patterns = np.array([[row[k] for k in names] for row in found], dtype=np.int64).reshape(len(found), len(names))
     order = np.lexsort(patterns.T)
     return fit(patterns[order], np.array([row["count"] for row in found], dtype=float)[order])
 
 
-def verdict(model: tuple[float, np.ndarray], min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, threshold: float = THRESHOLD) -> dict[str, Column]:
-    s = lambda k: F.col(f"{SIGNALS}.{k}")
+def verdict(model: tuple[float, np.ndarray], min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, threshold: float = THRESHOLD, signals: str = SIGNALS) -> dict[str, Column]:
+    s = lambda k: F.col(f"{signals}.{k}")
     failed = (s("n_words") < min_words) | (100 * s("n_repeat_words") > max_repeat_percent * s("n_words"))
-    good = posterior(*model, votes())
+    good = posterior(*model, votes(signals))
     return {"base_failed": failed, "posterior": good, "kept": ~failed & (good >= threshold)}
 
 
@@ -215,6 +215,12 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
-    model = learn(with_signals(docs.select("text"), ["text"]))
-    return with_signals(docs, docs.columns).where(verdict(model)["kept"]).drop(SIGNALS)
+    """The rows of ``docs`` that are kept, with all their columns.
+
+    Texts are read and counted once: rows go to the shared folder beside their
+    counts, and from there to the model and to the result.
+    """
+    name = fresh(docs, SIGNALS)[0]
+    rows = Scratch(docs.sparkSession, "rules").keep(with_signals(docs, docs.columns, name), "signals")
+    model = learn(rows, name)
+    return rows.where(verdict(model, signals=name)["kept"]).drop(name)
