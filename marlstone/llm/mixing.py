@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import WORD, Scratch
+from marlstone.llm.common import WORD, Scratch, fresh
 
 WEIGHTS = (3, 1, 2)
 TOTAL_PERCENT = 150
@@ -97,10 +97,11 @@ def repeat(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total_percent: i
     """The rows of ``docs``, each as often as the mix takes it."""
     scratch = Scratch(docs.sparkSession, "mix")
     rows = docs.select(F.col("source").cast("string"), size_of(F.col("text")).alias("size"), ticket(seed).alias("ticket"))
-    made = plan(scratch.keep(rows, "sizes"), scratch, weights, total_percent, max_epochs).withColumnsRenamed({"source": "__source", "whole": "__whole", "cut": "__cut"})
-    rows = docs.join(made.select("__source", "__whole", "__cut"), F.col("source").cast("string").eqNullSafe(F.col("__source")))
-    n = F.col("__whole") + (ticket(seed) <= F.col("__cut")).cast("long")
-    rows = rows.withColumn("__times", n).where("__times > 0").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    source, whole, cut, times, k = fresh(docs, "source_", "whole", "cut", "times", "k")
+    made = plan(scratch.keep(rows, "sizes"), scratch, weights, total_percent, max_epochs).select(F.col("source").alias(source), F.col("whole").alias(whole), F.col("cut").alias(cut))
+    rows = docs.join(made, F.col("source").cast("string").eqNullSafe(F.col(source)))
+    n = F.col(whole) + (ticket(seed) <= F.col(cut)).cast("long")
+    rows = rows.withColumn(times, n).where(F.col(times) > 0).withColumn(k, F.explode(F.sequence(F.lit(1), F.col(times))))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
