@@ -16,17 +16,13 @@ the text) stays; later ones are repeats.  Repeated pieces that overlap or touch
 make a stretch, in which every word belongs to a repeated digest.  Stretches of
 at least MIN_RUN words go, and repeated whole lines always.
 
-A common piece is counted in each task before the shuffle, and the join that
-finds its repeats may be split, so none of them gathers in one task.
+A common piece is counted in each task before the shuffle, and the joins that
+find its repeats may be split, so none of them gathers in one task.
 
 Defined cases: null and empty texts have no pieces; every row is a document of
 its own, so that equal or null doc_ids decide rank only; rows without doc_id
 come last in rank, and rows of one rank stand in the order they are read in; a
 piece that overlaps its own first occurrence isn't a repeat.
-
-``repeated_runs`` and ``remove_repeats`` are an older form, on units of at least
-MIN_UNIT words between sentence ends and marked words, that sees rows of one
-doc_id as one document and leaves short lines; no query uses it.
 """
 
 from __future__ import annotations
@@ -35,120 +31,26 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import Scratch
+from marlstone.llm.common import Scratch, fresh
 from marlstone.llm.hashing import _SPACE, U64, _power_tables, mix, rows_of_words, separated, stream, text_blocks, word_hashes
 
-MIN_UNIT = 4
 MIN_RUN = 20
-MARK = 16
-UNITS = "hi long, lo long, doc_id long, unit int, start int, end int, n_words int"
 LAST = (1 << 63) - 1
 SPAN = 8
 WINDOW = 13
 PIECES = "hi long, lo int, key long, doc_id long, line boolean, at int, to int, start int, end int"
 
-_STOP = np.zeros(256, dtype=bool)
-_STOP[[33, 46, 63]] = True
-
-
-def unit_ends(stop: np.ndarray, line_end: np.ndarray, min_unit: int) -> np.ndarray:
-    """Indices of the words that end units."""
-    ends, last = [], -1
-    marks = np.flatnonzero(stop | line_end)
-    for w, forced in zip(marks.tolist(), line_end[marks].tolist()):
-        if forced or w - last >= min_unit:
-            ends.append(w)
-            last = w
-    return np.array(ends, dtype=np.int64)
-
-
-def block_units(raw: np.ndarray, offsets: np.ndarray, min_unit: int = MIN_UNIT) -> dict[str, np.ndarray]:
-    """Units of a block of rows: row, number in the row, digests, code point offsets in the row's text, words."""
-    raw, offsets = separated(raw, offsets)
-    words, starts = word_hashes(raw)
-    if not len(words):
-        return {}
-    edge = np.diff(_SPACE[raw].view(np.int8), append=np.int8(1))
-    ends = np.flatnonzero(edge == 1) + 1
-    bounds = rows_of_words(starts, offsets)
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
-    breaks = np.concatenate([[0], np.cumsum(raw == 10)])
-    line_end = np.ones(len(words), dtype=bool)
-    line_end[:-1] = (breaks[starts[1:]] > breaks[ends[:-1]]) | (row[1:] != row[:-1])
-    head, second = raw[starts], raw[np.minimum(starts + 1, len(raw) - 1)]
-    capital = ((head >= 65) & (head <= 90)) | ((head == 0xC3) & (second >= 0x80) & (second <= 0x9E))
-    stop = _STOP[raw[ends - 1]]
-    stop |= words % U64(MARK) == 0
-    stop[:-1] |= capital[1:]
-    last = unit_ends(stop, line_end, min_unit)
-    first = np.append(0, last[:-1] + 1)
-    n_words = last - first + 1
-    place = (np.arange(len(words)) - np.repeat(first, n_words)).astype(U64)
-    with np.errstate(over="ignore"):
-        lift = mix(place * stream(61, 1)[0] + U64(1)) | U64(1)
-        digests = []
-        for seed in (62, 63):
-            parts = mix(words ^ stream(seed, 1)[0]) * lift
-            digests.append(mix(np.add.reduceat(parts, first) + n_words.astype(U64)))
-    points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-    unit_row = row[first]
-    zero = points[offsets[unit_row]]
-    real = n_words >= min_unit
-    count = np.cumsum(real)
-    before = np.concatenate([[0], count])[np.searchsorted(unit_row, np.arange(len(offsets) - 1))]
-    out = {"row": unit_row, "unit": count - 1 - before[unit_row], "hi": digests[0], "lo": digests[1], "start": points[starts[first]] - zero, "end": points[ends[last]] - zero, "n_words": n_words}
-    return {k: v[real] for k, v in out.items()}
-
-
-def unit_finder(min_unit: int):
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            ids = batch.column(0)
-            for a, _, raw, offsets in text_blocks(batch.column(1)):
-                u = block_units(raw, offsets, min_unit)
-                if u:
-                    cols = [pa.array(u["hi"].view(np.int64)), pa.array(u["lo"].view(np.int64)), ids.take(pa.array(u["row"] + a)), *(pa.array(u[k].astype(np.int32)) for k in ("unit", "start", "end", "n_words"))]
-                    yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in UNITS.split(", ")])
-
-    return run
-
-
-def repeated_runs(docs: DataFrame, min_unit: int = MIN_UNIT, min_run: int = MIN_RUN) -> DataFrame:
-    """Runs to remove: doc_id, start, end (code points, end excluded), n_units, n_words, and where the first unit stands first (first_doc_id, first_unit)."""
-    scratch = Scratch(docs.sparkSession, "substring")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string"))
-    units = scratch.keep(rows.mapInArrow(unit_finder(min_unit), UNITS), "units")
-    firsts = units.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "unit")).alias("f"), F.max(F.struct("doc_id", "unit")).alias("l")).where("f <> l")
-    firsts = firsts.select("hi", "lo", F.col("f.doc_id").alias("first_doc_id"), F.col("f.unit").alias("first_unit"))
-    repeats = units.join(firsts, ["hi", "lo"]).where("doc_id <> first_doc_id or unit <> first_unit").drop("hi", "lo").distinct()
-    by_place = Window.partitionBy("doc_id").orderBy("unit")
-    repeats = repeats.withColumn("island", F.col("unit") - F.dense_rank().over(by_place))
-    runs = repeats.groupBy("doc_id", "island").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_units"), F.sum("n_words").alias("n_words"),
-        F.min(F.struct("unit", "first_doc_id", "first_unit")).alias("f"),
-    )
-    return runs.where(F.col("n_words") >= min_run).select("doc_id", "start", "end", "n_units", "n_words", F.col("f.first_doc_id").alias("first_doc_id"), F.col("f.first_unit").alias("first_unit"))
-
-
-def without_cuts(rows: DataFrame, names: list[str]) -> DataFrame:
-    """Columns ``names`` of ``rows``, their texts without the spans in ``__cuts``."""
+def without_cuts(rows: DataFrame, names: list[str], cuts: str) -> DataFrame:
+    """Columns ``names`` of ``rows``, their texts without the spans in the column ``cuts``."""
     kept = F.aggregate(
-        "__cuts",
+        cuts,
         F.struct(F.lit("").alias("t"), F.lit(0).alias("at")),
         lambda acc, c: F.struct(F.concat(acc["t"], F.substring("text", acc["at"] + 1, c["start"] - acc["at"])).alias("t"), c["end"].alias("at")),
         lambda acc: F.concat(acc["t"], F.substring("text", acc["at"] + 1, F.length("text"))),
     )
-    rows = rows.withColumn("text", F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(kept))
-    return rows.where(F.col("__cuts").isNull() | F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]"))).select(*[F.col(f"`{c}`") for c in names])
-
-
-def remove_repeats(docs: DataFrame, min_unit: int = MIN_UNIT, min_run: int = MIN_RUN) -> DataFrame:
-    """The rows of ``docs`` with the repeated runs cut out of their texts; rows of which nothing but white space is left go."""
-    runs = repeated_runs(docs, min_unit, min_run).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__cuts")).withColumnRenamed("doc_id", "__key")
-    rows = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).join(runs.hint("shuffle_hash"), "__key", "left")
-    return without_cuts(rows, docs.columns)
+    whole = F.col(cuts).isNull()
+    rows = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(kept))
+    return rows.where(whole | F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]"))).select(*[F.col(f"`{c}`") for c in names])
 
 
 def span_cuts(words: np.ndarray, bounds: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -218,7 +120,12 @@ def _keyed_repeats(rows: DataFrame, scratch: Scratch, min_run: int) -> DataFrame
         "hi", "shiftleft(cast(lo as long), 32) + (to - at) * 2L + int(line) as tag", "key * 2 + int(doc_id is null) as mark", f"coalesce(doc_id, {LAST}) as rank",
         "shiftleft(cast(at as long), 32) + start as place", "end - start as length",
     )
+    # Few digests come twice, so that only their hashes are shuffled for all pieces before the rest goes; tables
+    # of their own, not aggregates, meet the pieces in joins that can be split where one of them is very common.
+    again = scratch.keep(packed.groupBy("hi").agg(F.count("*").alias("n")).where("n > 1").select("hi"), "again")
+    packed = scratch.keep(packed.join(again, "hi"), "repeated")
     firsts = packed.groupBy("hi", "tag").agg(F.min(F.struct("rank", "mark", "place")).alias("f"), F.count("*").alias("n")).where("n > 1").select("hi", "tag", "f")
+    firsts = scratch.keep(firsts, "firsts")
     found = packed.join(firsts, ["hi", "tag"]).where("mark <> f.mark or shiftright(place, 32) >= shiftright(f.place, 32) + shiftright(tag & 4294967295, 1)")
     found = found.selectExpr(
         "shiftright(mark, 1) as key", "if(mark & 1 = 1, null, rank) as doc_id", "tag & 1 = 1 as line", "int(shiftright(place, 32)) as at", "int(shiftright(place, 32) + shiftright(tag & 4294967295, 1)) as to",
@@ -244,8 +151,8 @@ def repeats(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
 
 def dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """The rows of ``docs`` with the repeats cut out of their texts; rows of which nothing but white space is left go."""
-    scratch = Scratch(docs.sparkSession, "substring")
-    rows = scratch.keep(docs.withColumn("__key", F.monotonically_increasing_id()), "rows")
-    cuts = _keyed_repeats(rows.select(F.col("__key").alias("key"), "doc_id", "text"), scratch, min_run)
-    cuts = cuts.groupBy(F.col("key").alias("__key")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__cuts"))
-    return without_cuts(rows.join(cuts.hint("shuffle_hash"), "__key", "left"), docs.columns)
+    scratch, (key, spans) = Scratch(docs.sparkSession, "substring"), fresh(docs, "key", "spans")
+    rows = scratch.keep(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    cuts = _keyed_repeats(rows.select(F.col(key).alias("key"), "doc_id", "text"), scratch, min_run)
+    cuts = cuts.groupBy(F.col("key").alias(key)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(spans))
+    return without_cuts(rows.join(cuts.hint("shuffle_hash"), key, "left"), docs.columns, spans)
