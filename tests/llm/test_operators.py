@@ -66,6 +66,15 @@ def test_components(spark):
         a, b = find(a), find(b)
         up[max(a, b)] = min(a, b)
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t"), "c").collect()}
+    rounds = []
+
+    class Counted(Scratch):
+        def keep(self, df, name):
+            rounds.extend(["c-m" in name] * ("c-m" in name))
+            return super().keep(df, name)
+
+    path = spark.range(1000).selectExpr("id as a", "id + 1 as b")
+    assert components(path, Counted(spark, "t"), "c").where("root <> 0").count() == 0 and len(rounds) <= 12
     assert got == {x: find(x) for e in edges for x in e if e[0] != e[1]}
     assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t"), "c").count() == 0
 
@@ -180,53 +189,67 @@ def test_hinge_loss_model_is_optimal():
     assert all(loss(w) <= loss(w + rng.normal(0, s, 31)) + 1e-3 for s in (0.01, 0.1) for _ in range(200))
 
 
-def brute_units(text):
-    out, cur = [], []
+def brute_pieces(text):
+    """(words as a key, is a line, first word, word after the last, start, end) of the lines and spans of a text, cut at the least word hash of any window."""
     found = list(WORDS.finditer(text or ""))
+    words = [lower(m[0]) for m in found]
     hashes, _ = word_hashes(np.frombuffer((text or "").encode(), dtype=np.uint8))
-    for k, m in enumerate(found):
-        cur.append(m)
-        end = k + 1 == len(found) or "\n" in text[m.end() : found[k + 1].start()]
-        soft = m[0][-1] in ".!?" or hashes[k] % U64(substring.MARK) == 0 or not end and re.match("[A-ZÀ-Þ]", found[k + 1][0])
-        if end or soft and len(cur) >= substring.MIN_UNIT:
-            if len(cur) >= substring.MIN_UNIT:
-                out.append((" ".join(lower(c[0]) for c in cur), cur[0].start(), cur[-1].end(), len(cur)))
-            cur = []
+    n, cuts = len(words), {0, len(words)}
+    for k in range(n - substring.WINDOW + 1):
+        window = hashes[k : k + substring.WINDOW].tolist()
+        cuts.add(k + max(j for j, h in enumerate(window) if h == min(window)))
+    ends = [k for k in range(1, n + 1) if k == n or "\n" in text[found[k - 1].end() : found[k].start()]]
+    pieces = [(True, a, b) for a, b in zip([0, *ends], ends)]
+    pieces += [(False, a, min(c for c in cuts if c >= a + substring.SPAN)) for a in sorted(cuts) if a + substring.SPAN <= n]
+    return [((line, *words[a:b]), line, a, b, found[a].start(), found[b - 1].end()) for line, a, b in pieces]
+
+
+def brute_cuts(rows):
+    """Cuts [(start, end, pieces, words)] of each of the rows (doc_id, text), which stand in the order of their keys."""
+    first, repeated = {}, [[] for _ in rows]
+    pieces = [brute_pieces(t) if len(t or "") < 10**5 else [] for _, t in rows]
+    for k in sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k)):
+        for key, *place in sorted(pieces[k], key=lambda x: (x[2], x[4])):
+            was = first.setdefault(key, (k, place[1]))
+            if was[0] != k or place[1] >= was[1] + place[2] - place[1]:
+                repeated[k].append(place)
+    out = []
+    for found in repeated:
+        cuts, stretch = [], []
+        for x in [*sorted(found, key=lambda x: (x[1], x[2])), None]:
+            if stretch and (x is None or x[1] > max(y[2] for y in stretch)):
+                low, high = min(y[1] for y in stretch), max(y[2] for y in stretch)
+                if high - low >= substring.MIN_RUN:
+                    cuts.append((min(y[3] for y in stretch), max(y[4] for y in stretch), len(stretch), high - low))
+                else:
+                    cuts += [(y[3], y[4], 1, y[2] - y[1]) for y in stretch if y[0]]
+                stretch = []
+            if x is not None:
+                stretch.append(x)
+        out.append(cuts)
     return out
 
 
-def test_substring(docs, local, none):
-    first, want = {}, Counter()
-    last = substring.LAST
-    for i, text in sorted({(last if i is None else i, t or "") for i, t, _ in local}):
-        run = None
-        for k, (unit, a, b, n) in enumerate(brute_units(text)):
-            place = first.setdefault(unit, (i, k))
-            if place == (i, k):
-                run = None
-                continue
-            if run is None:
-                run = [a, b, 0, 0, place]
-                want[i, id(run)] = run
-            run[1], run[2], run[3] = b, run[2] + 1, run[3] + n
-    want = Counter((i, *r[:4], *r[4]) for (i, _), r in want.items() if r[3] >= substring.MIN_RUN)
-    got = Counter((r.doc_id, r.start, r.end, r.n_units, r.n_words, r.first_doc_id, r.first_unit) for r in substring.repeated_runs(docs).collect())
-    assert got == want and (10**6 + 12, 10**6 + 11) in {(k[0], k[5]) for k in got}
-    left = substring.remove_repeats(docs)
-    assert left.columns == docs.columns
-    texts = defaultdict(list)
-    for r in left.collect():
-        texts[r.doc_id].append(r.text)
-    cuts = defaultdict(list)
-    for i, a, b, *_ in want:
-        cuts[i].append((a, b))
-    for i, t, _ in local:
+def test_substring(spark, docs, local, none):
+    rows = [(i, t) for i, t, _ in local if len(t or "") < 10**5]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).withColumns({"key": F.lit("x"), "spans": F.lit(1), "at": F.lit(None).cast("int")})
+    cuts = brute_cuts(rows)
+    want = Counter((i, *c) for (i, _), found in zip(rows, cuts) for c in found)
+    got = Counter((r.doc_id, r.start, r.end, r.n_units, r.n_words) for r in substring.repeats(df).collect())
+    assert got == want and sum(want.values()) > 20
+    left = substring.dedup(df)
+    assert left.columns == df.columns
+    texts = Counter()
+    for (i, t), found in zip(rows, cuts):
         kept, at = "", 0
-        for a, b in sorted(cuts[last if i is None else i]):
-            kept, at = kept + (t or "")[at:a], b
+        for a, b, *_ in sorted(found):
+            kept, at = kept + t[at:a], b
         kept += (t or "")[at:]
-        assert kept in [x or "" for x in texts[i]] or i in cuts and not kept.strip()
-    assert substring.repeated_runs(none).count() == substring.remove_repeats(none).count() == 0
+        if not found or WORDS.search(kept):
+            texts[i, kept if found else t] += 1
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == texts
+    assert substring.repeats(none).count() == substring.dedup(none).count() == 0
+    assert substring.repeats(docs).count() > 0
 
 
 def test_tokens_are_the_tokenizers():
@@ -257,12 +280,19 @@ def test_rollup(spark, docs, local, none):
     def totals():
         return Counter({(r.source, r.lang, r.tokenizer_version, c): r[x] for r in rollup.totals().collect() for c, x in (("n", "n_tokens"), ("d", "n_docs"))})
 
+    assert +totals() == +want
+    drafts = token_rollup.counted(docs.withColumn("text", F.concat_ws(" ", "text", F.lit("one more"))).where("source = 'src1'"))
+    finals = counts.where("source = 'src1'")
+    rollup.commit("a2", finals.withColumn("sign", F.lit(-1)).unionAll(drafts))
+    longer = Counter({k: v + 2 * want["src1", k[1], k[2], "d"] * (k[0] == "src1" and k[2:] == (token_rollup.WORDS_VERSION, "n")) for k, v in want.items()})
+    assert {k: v for k, v in totals().items() if k[2] == token_rollup.WORDS_VERSION and v} == {k: v for k, v in longer.items() if k[2] == token_rollup.WORDS_VERSION and v}
+    rollup.commit("a3", drafts.withColumn("sign", F.lit(-1)).unionAll(finals))
     assert +totals() == +want
     back = counts.where("source = 'src1'").withColumn("sign", F.lit(-1))
     rollup.commit("b", back)
     assert +totals() == Counter({k: v for k, v in want.items() if k[0] != "src1" and v > 0})
     rollup.commit("c", counts.where("source = 'src1'"))
-    assert +totals() == +want and rollup.batches() == ["a", "b", "c"]
+    assert +totals() == +want and rollup.batches() == ["a", "a2", "a3", "b", "c"]
     assert rollup.commit("d", token_rollup.counted(none)) and +totals() == +want
     with pytest.raises(ValueError):
         rollup.commit("../x", counts)
@@ -354,7 +384,7 @@ def test_expectation_maximisation_finds_accuracies():
 def test_warc(spark, tmp_path):
     same = "é<p>" * 400
     rows = [(i, f"http://x/{i}", same if i % 3 == 0 else f"page {i} " * (i * 20)) for i in range(60)]
-    rows += [(61, "u", None), (100, None, same), (None, "u", same), (101, "a b\n", "short"), (102, "c", "short"), (103, "d", "y" * 3_000_000), (101, "a b\n", "short")]
+    rows += [(61, "u", None), (100, None, same), (None, "u", same), (101, "a b\n", "short"), (102, "c", "short"), (103, "d", "y" * 3_000_000), (101, "a b\n", "short"), (2**62, "far", "far away"), *((None, f"n{k}", f"without id {k} " * 30) for k in range(40))]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"shard": F.lit("x"), "digest": F.lit(1), "kind": F.lit(None).cast("int")})
     files = []
     for k in range(2):
@@ -365,6 +395,10 @@ def test_warc(spark, tmp_path):
         names = {x.name for x in (tmp_path / f"w{k}").iterdir() if x.is_file() and x.name.endswith(".gz")}
         assert names == set(files[k]) and not [x for x in (tmp_path / f"w{k}").iterdir() if x.name.startswith(".shard")]
     assert files[0] == files[1] and len(files[0]) > 5
+    shards = Counter()
+    for name, (n, _) in files[0].items():
+        shards[name[:12]] += n
+    assert len(shards) > 5 and max(shards.values()) < 0.7 * len(rows) and len(files[0]) > len(shards)
     payload = lambda h: (h or "").encode()
     top = defaultdict(list)
     for i, _, h in rows:
@@ -388,6 +422,9 @@ HTML = [
     ("<span style='visibility:hidden'>x<b style='visibility:visible'>y</b></span>", "y"), ("<script>if (a<b) {}</script><style>x</style>y<!-- z -->", "y"), ("<details><summary>s</summary>no</details>", "s"),
     ("a  <b> b </b>\n c", "a b c"), ("1 < 2 & 3 &lt; 4 &copy;", "1 < 2 & 3 < 4 ©"), ("<title>t</title><h1>h</h1>x", "h\n\nx"), ("<p>never <b>closed", "never closed"), ("</p></div>x<div>", "x"), (None, ""), ("", ""),
     ("<blockquote>q</blockquote>r", "    q\n\nr"), ("<select><option>a<option>b</select>", "a\nb"), ("<table><tr><td colspan=2>over both<tr><td>a<td>b</table>", "over both\na  b"), ("<a href='>'>l</a>", "l"), ("x<", "x<"), ("x<b", "x"),
+    ("<table><tr><td rowspan=2>A<td>b1<tr><td>b2<tr><td>C<td>c1</table>", "A  b1\n   b2\nC  c1"), ("<table><tr><td>漢字<td>x<tr><td>ab<td>y</table>", "漢字  x\nab    y"),
+    ("<table><tbody><tr><td rowspan=9>A<td>1<tr><td>2</tbody><tr><td>B<td>3</table>", "A  1\n   2\nB  3"), ("<table><tr><td colspan=5000>over<tr><td>a<td>b</table>", "over\na  b"),
+    ("<table><tr><td><pre>a\n\nb</pre><td>x<tr><td>c<td>d</table>", "a  x\n\nb\nc  d"), ("<table><tr><td rowspan=2>a<br>b<br>c<td>x<tr><td>y<tr><td>z</table>", "a  x\nb  y\nc\nz"),
 ]
 
 
@@ -396,6 +433,39 @@ def test_html(html, text):
     assert html_text.render(html) == text
 
 
+def test_tables_against_a_grid():
+    """Random spans: each text stands where its first row and column begin, and no two cells of a row overlap."""
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        n_rows, taken, html, where = int(rng.integers(1, 6)), set(), "<table>", {}
+        for i in range(n_rows):
+            html += "<tr>"
+            at = 0
+            for j in range(int(rng.integers(1, 5))):
+                while (i, at) in taken:
+                    at += 1
+                wide, tall = (int(x) for x in rng.choice([1, 1, 1, 2, 3], 2))
+                text = f"{i}{chr(97 + j)}" + ("漢" if rng.random() < 0.2 else "")
+                html += f"<td colspan={wide} rowspan={tall}>{text}"
+                taken |= {(i + y, at + x) for y in range(min(tall, n_rows - i)) for x in range(wide)}
+                where[text] = (i, at, wide, tall)
+                at += wide
+        widths = Counter()
+        for text, (_, at, wide, _) in where.items():
+            widths[at] = max(widths[at], html_text.width(text) * (wide == 1))
+        lines = html_text.render(html + "</table>").split("\n")
+        starts = {c: sum(widths[x] + 2 for x in widths if x < c) for c in widths}
+        for text, (i, at, _, _) in where.items():
+            row = next(k for k, x in enumerate(lines) if text in x.split())
+            assert lines[row].split().count(text) == 1
+            before = [t for t, (y, x, w, _) in where.items() if y == i and x < at]
+            if all(where[t][2] == 1 for t in lines[row].split() if where[t][1] < at):
+                assert html_text.width(lines[row][: lines[row].index(text)]) == starts[at], (html, lines)
+            assert all(lines[row].index(t) < lines[row].index(text) for t in before if t in lines[row].split())
+        flat = [t for x in lines for t in x.split()]
+        assert sorted(flat) == sorted(where)
+
+
 def test_html_pages(spark, sf_dir):
     from html.parser import HTMLParser
 
@@ -463,13 +533,15 @@ def test_packing(spark, docs, local, none):
 
 def test_sum_of_squares_choice():
     rng = np.random.default_rng(3)
-    packer = packing.Packer(0, window=64)
+    packer = packing.Packer(0, window=64, levels=16)
     for _ in range(500):
         size = int(rng.integers(1, 64))
-        n = packer.level
-        options = {h: ((n[h + size] + 1) ** 2 - n[h + size] ** 2 if h + size < 64 else 0) + (((n[h] - 1) ** 2 - n[h] ** 2) if h else 0) for h in range(65 - size) if h == 0 or n[h]}
+        n, steps = packer.level, max(1, round(size / 4))
+        options = {h: ((n[h + steps] + 1) ** 2 - n[h + steps] ** 2 if h + steps < 16 else 0) + (((n[h] - 1) ** 2 - n[h] ** 2) if h else 0) for h in range(17 - steps) if h == 0 or n[h]}
         assert options[packer.choose(size)] == min(options.values())
         packer.add(1, np.zeros(size, dtype=np.int32))
+        assert [len(x) for x in packer.open[:-1]] == list(packer.level[:-1]) and packer.n_open == sum(map(len, packer.open))
+        assert all(-(-f // 4) == k and f == sum(len(p[2]) for p in w) for k, x in enumerate(packer.open) for f, w in x)
     packer.close()
     fills = Counter()
     for p in packer.out:
@@ -477,6 +549,18 @@ def test_sum_of_squares_choice():
     assert all(n & (n - 1) == 0 for n in fills.values())
 
 
+@pytest.mark.parametrize(("n", "share"), [(600, 0.6), (1000, 0.75), (5000, 0.9)])
+def test_windows_close_by_placement(n, share):
+    rng = np.random.default_rng(n)
+    packer = packing.Packer(0)
+    for k, size in enumerate(np.exp(rng.normal(6.3, 1.0, n)).astype(int) + 1):
+        packer.add(k, np.zeros(size, dtype=np.int32))
+    packer.close()
+    paths = packer.paths
+    assert sum(paths.values()) == sum(p[2] for p in packer.out) and paths["placed"] > share * (paths["placed"] + paths["joined"])
+    assert len(packer.out) < 1.4 * n
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
