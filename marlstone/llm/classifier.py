@@ -1,6 +1,6 @@
 """Quality classifier: a linear model on n-gram indicators scaled by naive Bayes log-count ratios.
 
-Indicators: words, and runs of one to three word shapes (case, digits, signs,
+Indicators: words, pairs of words, and runs of one to three word shapes (case, digits, signs,
 whether the word repeats the one before), also at levels of their share of the
 text.  A text's features are the set of their hashes.  Each feature is scaled
 by the log ratio of its counts in the two classes, each text to unit length,
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.hashing import _LOWER, _SPACE, U64, mix, rows_of_words, separated, stream, text_blocks, word_hashes
 
-BITS = 18
+BITS = 20
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 5000
 FOLDS = 5
@@ -50,7 +50,7 @@ def features(raw: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> list[np.
     bounds = rows_of_words(starts, offsets)
     sizes = np.diff(bounds)
     row = np.repeat(np.arange(n), sizes)
-    seeds = stream(71, 8)
+    seeds = stream(71, 9)
     rows, codes = [np.arange(n)], [np.where(sizes > 0, mix(seeds[:1] + np.minimum(np.log2(sizes + 1), 12).astype(U64)), mix(seeds[1:2]))]
     if len(words):
         with np.errstate(over="ignore"):
@@ -62,6 +62,9 @@ def features(raw: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> list[np.
             shape = shape | (same.astype(U64) << U64(9))
             rows.append(row)
             codes.append(mix(words ^ seeds[2]))
+            pair = row[1:] == row[:-1]
+            rows.append(row[1:][pair])
+            codes.append(mix(mix(words[:-1][pair] + seeds[8]) ^ words[1:][pair]))
             run = np.zeros(len(words), dtype=U64)
             for k in range(3):
                 m = len(words) - k
