@@ -34,16 +34,16 @@ START_VOTES = ((0.3, 0.5, 0.2), (0.01, 0.39, 0.6))
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_shouts", "n_distinct")
 
 #: Rules by name: bad beyond the first limit, good on the right side of the second, else they abstain; limits are percents of the second count.
-#: Rules that look for one kind of damage have no second limit: its absence says little, and many such good votes would drown a bad one.
+#: Where being free of one kind of damage says nothing of the others there's no second limit: such good votes, given to most bad texts too, would drown a bad one.
 RULES = (
     ("short", "n_words", None, "<", 60, None),
-    ("symbols", "n_symbols", "n_words", ">", 20, None),
+    ("symbols", "n_symbols", "n_words", ">", 20, 2),
     ("prose", "n_letters", "word_chars", "<", 80, 93),
     ("repeats", "n_repeat_words", "n_words", ">", 30, None),
     ("dup_lines", "n_dup_lines", "n_lines", ">", 50, None),
-    ("capitals", "n_upper", "n_letters", ">", 35, None),
+    ("capitals", "n_upper", "n_letters", ">", 35, 8),
     ("shouting", "n_shouts", "n_words", ">", 15, None),
-    ("variety", "n_distinct", "n_words", "<", 12, None),
+    ("variety", "n_distinct", "n_words", "<", 12, 60),
 )
 
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -189,6 +189,16 @@ def posterior(share: float, p: np.ndarray, columns: list[Column]) -> Column:
     return 1 / (1 + F.exp(-logit))
 
 
+def accuracies(model: tuple[float, np.ndarray]) -> dict[str, tuple[float, float]]:
+    """For each rule, how often the model takes its bad and its good votes to be right."""
+    share, p = model
+    out = {}
+    for (name, *_), q in zip(RULES, p):
+        bad, good = (1 - share) * q[0], share * q[1]
+        out[name] = (float(bad[0] / (bad[0] + good[0])), float(good[2] / (bad[2] + good[2])))
+    return out
+
+
 def learn(rows: DataFrame, signals: str = SIGNALS) -> tuple[float, np.ndarray]:
     """The fitted model; reads one count for each vote pattern."""
     names = [r[0] for r in RULES]

@@ -174,6 +174,51 @@ def test_classifier(spark, sf_dir, docs, local, none):
     assert classifier.score(none, labels).count() == 0
 
 
+def plain_features(text):
+    """The classifier's indicators of a text, as tuples."""
+    kinds = [set("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), set("0123456789"), set("#*$%&<>@^~=+_/\\{}[]"), {"|"}, set("!?"), set(".,;:'\"()-")]
+    bits = [2, 8, 16, 32, 64, 128]
+    words = WORDS.findall(text or "")
+    out = {("size", min(int(np.log2(len(words) + 1)), 12)) if words else ("none",)}
+    shapes = []
+    for k, w in enumerate(words):
+        shape = 0
+        for j, c in enumerate(w):
+            if "a" <= c <= "z" or ord(c) >= 128 or j == 0 and c in kinds[0]:
+                shape |= 1
+            else:
+                shape |= sum(b for b, s in zip(bits, kinds) if c in s)
+        shapes.append((shape, k > 0 and w == words[k - 1]))
+    out |= {("word", w) for w in words} | {("pair", *p) for p in zip(words, words[1:])}
+    for n in (1, 2, 3):
+        out |= {("run", *shapes[k : k + n]) for k in range(len(shapes) - n + 1)}
+    out |= {("share", s, int(np.floor(-2 * np.log2(n / len(words))))) for s, n in Counter(shapes).items()}
+    return out
+
+
+def test_features_and_scores_against_plain_ones(spark, docs):
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect() if len(r.text or "") < 20_000][:120]
+    texts = pa.array([t for _, t in rows], pa.string())
+    wide = list(classifier.row_features(texts, 48))
+    plain = [plain_features(t) for _, t in rows]
+    assert [len(x) for x in wide] == [len(x) for x in plain]
+    for a in range(0, len(rows), 7):
+        for b in range(len(rows)):
+            assert len(np.intersect1d(wide[a], wide[b])) == len(plain[a] & plain[b])
+    quality = np.array([int(len(p) % 3 > 0) for p in plain])
+    lists = list(classifier.row_features(texts))
+    model = classifier.fit(lists, quality.astype(float))
+    use = np.random.default_rng(classifier.SEED + 1).random(len(rows)) >= 0.2
+    counts = {y: Counter(f for x, q, u in zip(lists, quality, use) if u and q == y for f in x.tolist()) for y in (0, 1)}
+    total = {y: sum(c.values()) + (1 << classifier.BITS) for y, c in counts.items()}
+    for x, score in zip(lists, model.scores(lists)):
+        ratio = {f: np.log((counts[1][f] + 1) / total[1]) - np.log((counts[0][f] + 1) / total[0]) for f in x.tolist()}
+        assert np.allclose(list(ratio.values()), model.ratio[x], atol=1e-5)
+        length = sum(r * r for r in ratio.values()) ** 0.5
+        margin = sum(r / length * float(model.weight[f]) for f, r in ratio.items()) + model.bias
+        assert abs(score - 1 / (1 + np.exp(-(model.a * margin + model.b)))) < 1e-5
+
+
 def test_hinge_loss_model_is_optimal():
     rng = np.random.default_rng(0)
     xs = [np.flatnonzero(rng.random(30) < 0.3) for _ in range(80)]
@@ -348,6 +393,7 @@ def test_cross_polytope_recall():
 
 
 def test_rules(spark, sf_dir, docs, local, none):
+    docs = docs.withColumn(quality_rules.SIGNALS, F.lit(3))
     got = quality_rules.judge(docs).collect()
     want = Counter()
     for i, text, _ in local:
@@ -365,6 +411,37 @@ def test_rules(spark, sf_dir, docs, local, none):
     assert not any(r.kept and r.base_failed for r in got)
     quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     assert np.mean([r.kept == (quality[r.doc_id] == 1) for r in got if r.doc_id in quality and not r.base_failed]) > 0.97
+    # votes, the fit and posteriors again, in plain Python
+    count = {r: {k: r[k] for k in quality_rules.COUNTS} for r in got}
+    cast = {}
+    for r, c in count.items():
+        v = []
+        for _, name, of, side, bad, good in quality_rules.RULES:
+            x, base = (c[name], 1) if of is None else (100 * c[name], c[of])
+            beyond = lambda limit, side: x > base * limit if side == ">" else x < base * limit  # noqa: E731,B023
+            v.append(0 if not c["n_words"] else -1 if beyond(bad, side) else 1 if good is not None and not beyond(good, side) else 0)
+        cast[r] = tuple(v)
+    assert all(cast[r] == tuple(r[f"vote_{n}"] for n, *_ in quality_rules.RULES) for r in got)
+    share, table = quality_rules.START_SHARE, [[list(c) for c in quality_rules.START_VOTES] for _ in quality_rules.RULES]
+    start, every, weight = [[list(c) for c in t] for t in table], Counter(cast[r] for r in got), quality_rules.PRIOR * len(got)
+
+    def good_chance(v):
+        odds = [(1 - share), share]
+        for c in (0, 1):
+            for q, x in zip(table, v):
+                odds[c] *= q[c][x + 1]
+        return odds[1] / sum(odds)
+
+    for _ in range(quality_rules.ROUNDS):
+        chance = {v: good_chance(v) for v in every}
+        mass = [sum(n * (1 - chance[v]) for v, n in every.items()), sum(n * chance[v] for v, n in every.items())]
+        share = (mass[1] + quality_rules.START_SHARE * weight) / (len(got) + weight)
+        for k, q in enumerate(table):
+            for c in (0, 1):
+                sums = [sum(n * (chance[v] if c else 1 - chance[v]) for v, n in every.items() if v[k] == x) + weight * start[k][c][x + 1] for x in (-1, 0, 1)]
+                q[c][:] = [s / sum(sums) for s in sums]
+    for r in got:
+        assert abs(r.posterior - good_chance(cast[r])) < 1e-6 and r.kept == (not r.base_failed and r.posterior >= quality_rules.THRESHOLD)
     kept = quality_rules.keep_good(docs)
     assert kept.columns == docs.columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in got if r.kept)
