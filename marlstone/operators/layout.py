@@ -7,63 +7,122 @@ pages(doc_id, page, quad, clip_x0, clip_y0, clip_x1, clip_y1); page counts from
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as t
 from marlstone.operators import geometry as g
+from marlstone.storage import Scratch
 
 # --- fixed values ------------------------------------------------------------------------
 FURNITURE_PAGES, FOLIO_SHARE, MONO_SHARE, MAX_LEVEL = 3, 0.2, 0.35, 4
 FOLIO = r"(?i)^[\[(\-–—|\s]*(?:page\s+)?(\d{1,4}|[ivxlcdm]{1,7})[\])\-–—|\s]*$"
 WORDS = "array<struct<text:string,x0:double,x1:double>>"
-SEGMENTS = f"doc_id long, page int, seg int, text string, x0 double, y0 double, x1 double, y1 double, h double, cw double, mono boolean, words {WORDS}, figure string, edge boolean, outermost boolean"
-BLOCKS = "doc_id long, page int, n int, kind string, text string, h double"
+SEGMENT = f"struct<text:string,x0:double,y0:double,x1:double,y1:double,h:double,cw:double,mono:boolean,words:{WORDS},figure:string,edge:boolean,outermost:boolean>"
+SEGMENTS = f"doc_id long, page int, segments array<{SEGMENT}>"
+BLOCKS = "doc_id long, page int, kind string, text string, h double"
+DOCUMENTS = "doc_id long, markdown string, title string, author string"
 
 
-def groups(batches, n_keys: int) -> Iterator:
-    """(key, rows) of rows sorted by their first ``n_keys`` columns, over batches; one group is held at a time."""
-    key, rows = None, []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if row[:n_keys] != key:
-                if rows:
-                    yield key, rows
-                key, rows = row[:n_keys], []
-            rows.append(row[n_keys:])
-    if rows:
-        yield key, rows
+def lists(values: list, sizes: list[int]):
+    """An Arrow list column from the items of all rows, one after another."""
+    import pyarrow as pa
 
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), values)
 
-def by_page(df: DataFrame, *order: str) -> DataFrame:
-    return df.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", *order)
+
+def page_tables(batches) -> Iterator[tuple]:
+    """(doc_id, page, columns) of glyph rows sorted by their first two columns; one page is held at a time."""
+    import pyarrow as pa
+
+    key, held = None, []
+    for batch in batches:
+        doc, page = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        cuts = np.flatnonzero((doc[1:] != doc[:-1]) | (page[1:] != page[:-1])) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            if a == b:
+                continue
+            now = int(doc[a]), int(page[a])
+            if now != key and held:
+                yield *key, pa.Table.from_batches(held).combine_chunks()
+                held = []
+            key = now
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield *key, pa.Table.from_batches(held).combine_chunks()
+
+
+def grouped(batches, n_keys: int) -> Iterator[tuple]:
+    """(key, rows) of rows sorted by their first ``n_keys`` columns, over batches; one group is held at a time."""
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+    for key, group in groupby(rows, key=lambda row: row[:n_keys]):
+        yield key, [row[n_keys:] for row in group]
 
 
 def batch_of(rows: list[tuple], ddl: str):
-    """An Arrow batch of rows; workers have no session to read the schema with."""
+    """An Arrow batch of flat rows; workers have no session to read the schema with."""
     import pyarrow as pa
 
     types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
-    words = pa.list_(pa.struct([("text", pa.string()), ("x0", pa.float64()), ("x1", pa.float64())]))
-    fields = [x.strip().split(" ", 1) for x in ddl.replace(WORDS, "words").split(",")]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], types.get(kind, words)) for k, (_, kind) in enumerate(fields)], names=[name for name, _ in fields])
+    fields = [x.split() for x in ddl.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], types[kind]) for k, (_, kind) in enumerate(fields)], names=[name for name, _ in fields])
+
+
+def segment_batch(keys: list[tuple[int, int]], pages: list[g.Page], marks: list[tuple]):
+    """One row a page, its segments and their words nested."""
+    import pyarrow as pa
+
+    cat = lambda parts, k: np.concatenate([p[k] for p in parts])
+    box, span = cat(pages, 1), cat(pages, 7)
+    per = np.concatenate([np.bincount(p.owner, minlength=len(p)) for p in pages])
+    flat = lambda k: pa.array([x for p in pages for x in p[k]], pa.string())
+    words = lists(pa.StructArray.from_arrays([flat(6), pa.array(span[:, 0]), pa.array(span[:, 1])], ["text", "x0", "x1"]), per.tolist())
+    columns = {"text": flat(0), **{n: pa.array(box[:, k]) for k, n in enumerate(("x0", "y0", "x1", "y1"))}, "h": pa.array(cat(pages, 2)), "cw": pa.array(cat(pages, 3)), "mono": pa.array(cat(pages, 4)), "words": words, "figure": flat(5), "edge": pa.array(cat(marks, 0)), "outermost": pa.array(cat(marks, 1))}
+    segments = lists(pa.StructArray.from_arrays(list(columns.values()), list(columns)), [len(p) for p in pages])
+    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int32()), segments], names=["doc_id", "page", "segments"])
+
+
+def read_page(segments) -> g.Page:
+    """A page from the struct array of its segments."""
+    field = lambda k: segments.field(segments.type.get_field_index(k))
+    number = lambda k: field(k).to_numpy(zero_copy_only=False)
+    words = field("words")
+    inner = words.flatten()
+    return g.Page(
+        field("text").to_pylist(), np.stack([number(k) for k in ("x0", "y0", "x1", "y1")], axis=1), number("h"), number("cw"), number("mono").astype(bool), field("figure").to_pylist(),
+        inner.field(0).to_pylist(), np.stack([inner.field(k).to_numpy(zero_copy_only=False) for k in (1, 2)], axis=1), np.repeat(np.arange(len(segments)), np.diff(np.asarray(words.offsets))),
+    )
 
 
 def page_segments(glyphs: DataFrame, pages: DataFrame) -> DataFrame:
-    """Line segments of every page, with marks for those that may be furniture."""
+    """(doc_id, page, segments): line segments of every page that has any glyphs, with marks for those that may be furniture.
+
+    Glyphs are dealt and sorted once; from here on a page is one row.
+    """
     rows = glyphs.join(pages.withColumnRenamed("quad", "page_quad"), ["doc_id", "page"])
-    box = ["x0", "y0", "x1", "y1"]
-    rows = rows.select("doc_id", "page", "idx", "page_quad", "clip_x0", "clip_y0", "clip_x1", "clip_y1", "ch", *box, "quad", "mono", "space_before", "break_before", "obj")
+    rows = rows.select("doc_id", "page", "idx", "page_quad", "clip_x0", "clip_y0", "clip_x1", "clip_y1", "ch", "x0", "y0", "x1", "y1", "quad", "mono", "space_before", "break_before", "obj")
 
     def run(batches):
-        for (doc, page), chars in groups(batches, 2):
-            quad, clip = chars[0][1], chars[0][2:6]
-            segs, _ = g.segments([g.Glyph(*c[6:15], c[0], c[15]) for c in chars], quad, clip)
-            edge = g.edges(segs, clip, quad)
-            yield batch_of([(doc, page, k, *s[:8], [w._asdict() for w in s.words], "", k in edge, edge.get(k, False)) for k, s in enumerate(segs)], SEGMENTS)
-
-    return by_page(rows, "idx").mapInArrow(run, SEGMENTS)
+        keys, found, marks, size = [], [], [], 0
+        for doc, page, table in page_tables(batches):
+            column = lambda k: table[k].to_numpy()  # noqa: E731,B023
+            clip, quad = [table[f"clip_{k}"][0].as_py() for k in ("x0", "y0", "x1", "y1")], table["page_quad"][0].as_py()
+            glyph = g.Glyphs(table["ch"].to_pylist(), np.stack([column(k) for k in ("x0", "y0", "x1", "y1")], axis=1), *(column(k) for k in ("quad", "mono", "space_before", "break_before", "idx", "obj")))
+            segs, _ = g.segments(glyph, quad, clip)
+            keys.append((doc, page))
+            found.append(segs)
+            marks.append(g.edges(segs, clip, quad))
+            size += len(segs)
+            if size > 20_000:
+                yield segment_batch(keys, found, marks)
+                keys, found, marks, size = [], [], [], 0
+        if keys:
+            yield segment_batch(keys, found, marks)
+
+    return rows.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "idx").mapInArrow(run, SEGMENTS)
 
 
 def learnt_offsets(folios: DataFrame, total: DataFrame) -> DataFrame:
@@ -79,7 +138,8 @@ def furniture(segments: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, page, seg) of running headers and page numbers."""
     text = F.col("text")
     token = F.lower(F.regexp_extract(text, FOLIO, 1))
-    edge = segments.where("edge").select("doc_id", "page", "seg", "text", "outermost", t.furniture_key(text).alias("key"), F.nullif(token, F.lit("")).alias("token"))
+    edge = segments.select("doc_id", "page", F.posexplode("segments").alias("seg", "s")).where("s.edge").select("doc_id", "page", "seg", "s.text", "s.outermost")
+    edge = edge.select("*", t.furniture_key(text).alias("key"), F.nullif(token, F.lit("")).alias("token"))
     arabic = F.col("token").rlike(r"^\d+$")
     edge = edge.withColumn("value", F.when(arabic, F.col("token").cast("int")).otherwise(t.roman_value(F.col("token")))).withColumn("arabic", arabic)
     recurring = edge.groupBy("doc_id", "key").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= FURNITURE_PAGES).where(F.regexp_count("key", F.lit("[A-Za-z]")) >= 2).select("doc_id", "key", F.lit(True).alias("recurs"))
@@ -96,22 +156,31 @@ def furniture(segments: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def figure_segments(figures: DataFrame, pages: DataFrame) -> DataFrame:
-    """Segments of figures(doc_id, page, k, x0, y0, x1, y1), upright like their page's text."""
+    """(doc_id, page, segments) of figures(doc_id, page, k, x0, y0, x1, y1), upright like their page's text."""
     x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
     turn = lambda a, b, c, d: F.when(F.col("quad") == 1, b).when(F.col("quad") == 2, c).when(F.col("quad") == 3, d).otherwise(a)
     rows = figures.join(pages.select("doc_id", "page", "quad"), ["doc_id", "page"])
-    rows = rows.select("doc_id", "page", "k", turn(x0, y0, -x1, -y1).alias("a"), turn(y0, -x1, -y1, x0).alias("b"), turn(x1, y1, -x0, -y0).alias("c"), turn(y1, -x0, -y0, x1).alias("d"))
     key = F.concat((F.col("page") + 1).cast("string"), F.lit("."), F.col("k").cast("string"))
-    nothing = F.array().cast(WORDS)
-    return rows.select("doc_id", "page", (F.col("k") + 1_000_000).cast("int").alias("seg"), F.lit("").alias("text"), F.col("a").alias("x0"), F.col("b").alias("y0"), F.col("c").alias("x1"), F.col("d").alias("y1"), F.lit(0.0).alias("h"), F.lit(0.0).alias("cw"), F.lit(False).alias("mono"), nothing.alias("words"), key.alias("figure"), F.lit(False).alias("edge"), F.lit(False).alias("outermost"))
+    no = F.lit(False)
+    segment = F.struct(
+        F.lit("").alias("text"), turn(x0, y0, -x1, -y1).alias("x0"), turn(y0, -x1, -y1, x0).alias("y0"), turn(x1, y1, -x0, -y0).alias("x1"), turn(y1, -x0, -y0, x1).alias("y1"),
+        F.lit(0.0).alias("h"), F.lit(0.0).alias("cw"), no.alias("mono"), F.array().cast(WORDS).alias("words"), key.alias("figure"), no.alias("edge"), no.alias("outermost"),
+    ).cast(SEGMENT)
+    ordered = F.array_sort(F.collect_list(F.struct("k", segment.alias("s"))))
+    return rows.groupBy("doc_id", "page").agg(F.transform(ordered, lambda x: x["s"]).alias("drawn"))
 
 
 def outline_headings(outline: DataFrame) -> DataFrame:
-    """(doc_id, page, seq, depth, title) from bookmarks(doc_id, seq, level, title, page): repeats, subtrees of repeats and front matter go; the shallowest level with two real entries is 1."""
+    """(doc_id, page, seq, depth, title) from bookmarks(doc_id, seq, level, title, page).
+
+    Repeats, subtrees of repeats and front matter go; the shallowest level with
+    two real entries is 1.  Title pages stay with depth 0.
+    """
     rows = outline.withColumn("title", t.repair_title(t.squash(F.col("title")))).where("title <> '' and page is not null")
+    schema = "doc_id long, page int, seq int, depth int, title string"
 
     def run(batches):
-        for (doc,), entries in groups(batches, 1):
+        for (doc,), entries in grouped(batches, 1):
             seen, dup = set(), []
             for _, _, title, page in entries:
                 dup.append((g.norm(title), page) in seen)
@@ -124,58 +193,120 @@ def outline_headings(outline: DataFrame) -> DataFrame:
             real = [(level, title) for _, level, title, _ in out if not g.is_front_title(title)]
             levels = sorted({level for _, level, _, _ in out})
             base = next((x for x in levels if sum(level == x for level, _ in real) >= 2), levels[0] if levels else 0)
-            yield batch_of([(doc, page, seq, min(MAX_LEVEL, 1 + max(0, level - base)), title) for seq, level, title, page in out if not g.is_front_title(title)], "doc_id long, page int, seq int, depth int, title string")
+            depth = lambda level, title: 0 if g.is_front_title(title) else min(MAX_LEVEL, 1 + max(0, level - base))  # noqa: E731,B023
+            yield batch_of([(doc, page, seq, depth(level, title), title) for seq, level, title, page in out if not g.is_front_title(title) or g.norm(title) in g.TITLE_PAGES], schema)
 
     rows = rows.select("doc_id", "seq", "level", "title", "page").repartition("doc_id").sortWithinPartitions("doc_id", "seq")
-    return rows.mapInArrow(run, "doc_id long, page int, seq int, depth int, title string")
-
-
-def page_blocks(segments: DataFrame, headings: DataFrame | None = None) -> DataFrame:
-    """Blocks of every page in reading order; fixed-pitch text is fenced unless it is a document's body."""
-    size = F.length("text")
-    mono = segments.where("figure = ''").groupBy("doc_id").agg((F.coalesce(F.sum(F.when(F.col("mono"), size)), F.lit(0)) < MONO_SHARE * F.sum(size)).alias("fence"))
-    rows = segments.join(mono, "doc_id", "left")
-    heads = headings.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("seq", "depth", "title"))).alias("heads")) if headings is not None else None
-    rows = rows.join(heads, ["doc_id", "page"], "left") if heads is not None else rows.withColumn("heads", F.lit(None).cast("array<struct<seq:int,depth:int,title:string>>"))
-    rows = rows.select("doc_id", "page", "seg", F.coalesce("fence", F.lit(True)).alias("fence"), "heads", "text", "x0", "y0", "x1", "y1", "h", "cw", "mono", "words", "figure")
+    return rows.mapInArrow(run, schema)
+
+
+def without_furniture(segments: DataFrame, drop: DataFrame) -> DataFrame:
+    """Pages without the segments (doc_id, page, seg) of ``drop``."""
+    drop = drop.groupBy("doc_id", "page").agg(F.collect_set("seg").alias("drop"))
+    kept = F.filter("segments", lambda _, k: ~F.array_contains(F.coalesce("drop", F.array().cast("array<int>")), k))
+    return segments.join(drop, ["doc_id", "page"], "left").select("doc_id", "page", kept.alias("segments"))
+
+
+def page_blocks(segments: DataFrame, headings: DataFrame | None = None, pages: DataFrame | None = None, recognized: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page, blocks): blocks of every page in reading order; fixed-pitch text is fenced unless it is a document's body.
+
+    ``pages`` adds those without text; ``recognized`` (doc_id, page, text) holds
+    pages whose text was recognized from an image, and stands for what they draw.
+    """
+    size = lambda x: F.length(x["text"])
+    total = lambda test: F.aggregate(F.filter("segments", lambda x: (x["figure"] == "") & test(x)), F.lit(0), lambda acc, x: acc + size(x))
+    share = segments.groupBy("doc_id").agg((F.sum(total(lambda x: x["mono"])) < MONO_SHARE * F.sum(total(lambda x: F.lit(True)))).alias("fence"), F.sum(total(lambda x: F.lit(True))).alias("n"))
+    share = share.select("doc_id", (F.col("fence") | (F.col("n") == 0)).alias("fence"))
+    rows = segments if pages is None else pages.select("doc_id", "page").join(segments, ["doc_id", "page"], "left")
+    rows = rows.join(share, "doc_id", "left")
+    heads = "array<struct<seq:int,depth:int,title:string>>"
+    if headings is None:
+        rows = rows.withColumn("heads", F.lit(None).cast(heads))
+    else:
+        found = headings.where("depth > 0").groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("seq", "depth", "title"))).alias("heads"))
+        rows = rows.join(found, ["doc_id", "page"], "left")
+    rows = rows.withColumn("recognized", F.lit(None).cast("string")) if recognized is None else rows.join(recognized.select("doc_id", "page", F.col("text").alias("recognized")), ["doc_id", "page"], "left")
+    rows = rows.select("doc_id", "page", F.coalesce("fence", F.lit(True)).alias("fence"), "heads", "recognized", F.coalesce("segments", F.array().cast(f"array<{SEGMENT}>")).alias("segments"))
 
     def run(batches):
-        for (doc, page), segs in groups(batches, 2):
-            items = [g.Segment(*s[3:11], tuple(g.Word(**w) for w in s[11] or ()), s[12]) for s in segs]
-            blocks = g.place_headings(g.page_blocks(items, segs[0][1]), [(h["depth"], h["title"]) for h in segs[0][2] or ()])
-            yield batch_of([(doc, page, n, *b) for n, b in enumerate(blocks)], BLOCKS)
-
-    return by_page(rows, "seg").mapInArrow(run, BLOCKS)
-
-
-def documents(blocks: DataFrame, anchors: bool = False) -> DataFrame:
-    """(doc_id, markdown, title): paragraphs rejoined over columns and, without anchors, over pages."""
+        import pyarrow as pa
+
+        for batch in batches:
+            offsets = np.asarray(batch.column(5).offsets)
+            inner = batch.column(5).values
+            out: list[list[g.Block]] = []
+            for k, (fence, heads_, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)))):
+                if text is not None:
+                    blocks = [g.Block("para", text.strip())] * bool(text.strip())
+                else:
+                    blocks = g.page_blocks(read_page(inner.slice(offsets[k], offsets[k + 1] - offsets[k])), fence)
+                out.append(g.place_headings(blocks, [(h["depth"], h["title"]) for h in heads_ or ()]))
+            flat = [b for blocks in out for b in blocks]
+            values = pa.StructArray.from_arrays([pa.array([b.kind for b in flat], pa.string()), pa.array([b.text for b in flat], pa.string()), pa.array([float(b.h) for b in flat], pa.float64())], ["kind", "text", "h"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(values, list(map(len, out)))], names=["doc_id", "page", "blocks"])
+
+    return rows.mapInArrow(run, "doc_id long, page int, blocks array<struct<kind:string,text:string,h:double>>")
+
+
+def documents(blocks: DataFrame, anchors: bool = False, headings: DataFrame | None = None, metadata: DataFrame | None = None, recognized: DataFrame | None = None) -> DataFrame:
+    """(doc_id, markdown, title, author): paragraphs rejoined over columns and, without anchors, over pages.
+
+    Title and author come from metadata(doc_id, title, author), a bookmarked
+    title page, the copyright page or an unmarked title page.
+    """
+    rows = blocks.withColumn("ocr", F.lit(False)) if recognized is None else blocks.join(recognized.select("doc_id", "page", F.lit(True).alias("ocr")).distinct(), ["doc_id", "page"], "left")
+    if metadata is None:
+        rows = rows.withColumns({"meta_title": F.lit(None).cast("string"), "meta_author": F.lit(None).cast("string")})
+    else:
+        rows = rows.join(metadata.select("doc_id", F.col("title").alias("meta_title"), F.col("author").alias("meta_author")).dropDuplicates(["doc_id"]), "doc_id", "left")
+    if headings is None:
+        rows = rows.withColumn("marked", F.lit(False))
+    else:
+        rows = rows.join(headings.where("depth = 0").select("doc_id", "page", F.lit(True).alias("marked")).distinct(), ["doc_id", "page"], "left")
+    rows = rows.select("doc_id", "page", F.coalesce("ocr", F.lit(False)).alias("ocr"), "meta_title", "meta_author", F.coalesce("marked", F.lit(False)).alias("marked"), "blocks")
 
     def run(batches):
-        for (doc,), rows in groups(batches, 1):
-            pages: dict[int, list[g.Block]] = {}
-            for page, _, kind, text, h in rows:
-                pages.setdefault(page, []).append(g.Block(kind, text, h))
-            title = g.title_of(next(iter(pages.values())))
-            whole = [g.merged(b) for b in pages.values()]
+        for (doc,), found in grouped(batches, 1):
+            numbers = [r[0] for r in found]
+            pages = [[g.Block(b["kind"], b["text"], b["h"]) for b in r[5]] for r in found]
+            by_number = [[] for _ in range(max(numbers) + 1)] if max(numbers) < 10 * len(numbers) else pages
+            for k, p in zip(numbers, pages):
+                if by_number is not pages:
+                    by_number[k] = p
+            title, author = g.title_and_author(by_number, found[0][2], found[0][3], [r[0] for r in found if r[4]])
+            whole = [g.merged(p) for p in pages]
             whole = whole if anchors else g.merged_pages(whole)
+            any_ocr = any(r[1] for r in found)
             parts = []
-            for page, blocks_ in zip(pages, whole):
-                parts += [f"<!-- page {page + 1} -->"] * anchors + [f"<!-- figure {b.text} -->" if b.kind == "fig" else b.text for b in blocks_ if b.text.strip()]
-            yield batch_of([(doc, g.resolve_hyphens(g.repair_ligatures("\n\n".join(parts))).strip() + "\n", title)], "doc_id long, markdown string, title string")
-
-    return blocks.select("doc_id", "page", "n", "kind", "text", "h").repartition("doc_id").sortWithinPartitions("doc_id", "page", "n").mapInArrow(run, "doc_id long, markdown string, title string")
-
-
-def extract(glyphs: DataFrame, pages: DataFrame, figures: DataFrame | None = None, outline: DataFrame | None = None, anchors: bool = False) -> DataFrame:
-    """(doc_id, markdown, title) of every document of a glyph table."""
-    segs = page_segments(glyphs, pages).persist()
-    body = segs.join(furniture(segs, pages), ["doc_id", "page", "seg"], "left_anti").select(*segs.columns)
+            for (page, ocr, *_), blocks_ in zip(found, whole):
+                kind = (" (ocr)" if ocr else " (text)") if any_ocr else ""
+                parts += [f"<!-- page {page + 1}{kind} -->"] * anchors + [f"<!-- figure {b.text} -->" if b.kind == "fig" else b.text for b in blocks_ if b.text.strip()]
+            text = g.SURROGATE.sub("", "\n\n".join(parts))
+            yield batch_of([(doc, g.resolve_hyphens(g.repair_ligatures(text)).strip() + "\n", title, author)], DOCUMENTS)
+
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "page").mapInArrow(run, DOCUMENTS)
+
+
+def extract(glyphs: DataFrame, pages: DataFrame, figures: DataFrame | None = None, outline: DataFrame | None = None, anchors: bool = False, metadata: DataFrame | None = None, recognized: DataFrame | None = None) -> DataFrame:
+    """(doc_id, markdown, title, author) of every document of a page table.
+
+    With ``figures``, marks stand where they lie, for figures.insert_links().
+    Pages in ``recognized`` (doc_id, page, text) read as that text and take no
+    part in what recurs over pages, but keep their numbers.  Segments are
+    written once to the shared folder, as both furniture and blocks read them.
+    """
+    scratch = Scratch(glyphs.sparkSession, "layout")
+    drawn = glyphs if recognized is None else glyphs.join(recognized.select("doc_id", "page"), ["doc_id", "page"], "left_anti")
+    segs = scratch.keep(page_segments(drawn, pages), "segments")
+    body = without_furniture(segs, furniture(segs, pages))
     if figures is not None:
-        body = body.unionByName(figure_segments(figures, pages))
-    return documents(page_blocks(body, outline_headings(outline) if outline is not None else None), anchors)
+        shown = figures if recognized is None else figures.join(recognized.select("doc_id", "page"), ["doc_id", "page"], "left_anti")
+        empty = F.array().cast(f"array<{SEGMENT}>")
+        body = body.join(figure_segments(shown, pages), ["doc_id", "page"], "full").select("doc_id", "page", F.concat(F.coalesce("segments", empty), F.coalesce("drawn", empty)).alias("segments"))
+    heads = outline_headings(outline) if outline is not None else None
+    return documents(page_blocks(body, heads, pages, recognized), anchors, heads, metadata, recognized)
 
 
 def page_summary(blocks: DataFrame) -> DataFrame:
-    """(doc_id, page, kind, n) of blocks."""
-    return blocks.groupBy("doc_id", "page", "kind").agg(F.count("*").alias("n"))
+    """(doc_id, page, kind, n) of the blocks of pages."""
+    return blocks.select("doc_id", "page", F.explode("blocks").alias("b")).groupBy("doc_id", "page", F.col("b.kind").alias("kind")).agg(F.count("*").alias("n"))
