@@ -41,7 +41,7 @@ SLUG_WEAK = re.compile(r"(?:\bP\s+\d{2,4}C\s*)?\((?:RAY|Ray|Text)\)|\(\((?:RRAAY
 DATE_TIME = re.compile(_DATE + r"\s+\d{1,2}:\d{2}")
 SLUG_PROOF = re.compile(r"\bJob(?:\s*No\.?)?\s*:\s*[\d-]+\s+Title\s*:|\bDTP\s*:", re.I)
 SLUG_PROOFS = 2
-SLUG_WORDS = frozenset("yellow cyan magenta black key am pm rp wf wh".split())
+SLUG_WORDS = frozenset(["yellow", "cyan", "magenta", "black", "key", "am", "pm", "rp", "wf", "wh"])
 SLUG_HINTS = (".indd", "job", "dtp", "(ray)", "(text)", "fogra", "rraayy", "tteexxtt")
 
 # --- fixed values: page furniture --------------------------------------------
