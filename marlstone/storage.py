@@ -7,6 +7,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,22 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_watching: list[list[Scratch]] = []
+
+
+@contextmanager
+def cleared() -> Iterator[None]:
+    """Close at the end what is opened inside; for results that have been written elsewhere by then."""
+    opened: list[Scratch] = []
+    _watching.append(opened)
+    try:
+        yield
+    finally:
+        _watching.remove(opened)
+        for scratch in opened:
+            scratch.close()
+
+
 class Scratch:
     """Tables written to the shared folder, so that lineage is cut and a lost executor loses nothing.
 
@@ -38,6 +56,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_dir(spark)}/marlstone-{name}-{uuid.uuid4().hex}"
+        for opened in _watching:
+            opened.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
