@@ -36,7 +36,8 @@ import zlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import Scratch, partitions
+from marlstone.llm.common import partitions
+from marlstone.storage import Scratch
 
 MIN_REVISIT = 1000
 #: A shard holds several files, so that files end where their compressed size says.
@@ -208,7 +209,7 @@ def write(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT, shard_b
     p = spark._jvm.org.apache.hadoop.fs.Path(folder)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(p)
     rows = plan(pages, scratch, min_revisit, shard_bytes)
-    rows = rows.repartition(partitions(spark), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "url", "kind")
+    rows = rows.repartitionById(partitions(spark), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "url", "kind")
     rows.mapInArrow(writer(folder, file_bytes), MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
     scratch.close()
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
