@@ -27,7 +27,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import Forest, Scratch, components, grouped, partitions
+from marlstone.llm.common import Forest, components, grouped, partitions
+from marlstone.storage import Scratch
 
 COSINE = 0.95
 TABLES = 8
@@ -36,7 +37,7 @@ PROBES = 4
 SEED = 3
 #: Vectors on one side of a block, and sketches on one side of a block.
 BLOCK = 256
-BLOCK_SKETCHES = 2048
+BLOCK_SKETCHES = 1024
 #: Signs in a sketch.
 SKETCH = 256
 

@@ -38,8 +38,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import Forest, Scratch, components, grouped, partitions
+from marlstone.llm.common import Forest, components, grouped, partitions
 from marlstone.llm.hashing import U64, document_sets, mix, shingle_sets, split_rows, stream, text_blocks
+from marlstone.storage import Scratch
 
 SEED = 7
 HASHES = 64
@@ -50,7 +51,7 @@ PERCENT = 75
 BLOCK_BYTES = 1 << 18
 SALT_ROWS = 64
 #: Sketches on one side of a block.
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 1024
 
 
 def least_agreement(percent: int, values: int) -> int:

@@ -24,7 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import WORD, Scratch, fresh
+from marlstone.llm.common import WORD, fresh
+from marlstone.storage import Scratch
 
 WEIGHTS = (3, 1, 2)
 TOTAL_PERCENT = 150

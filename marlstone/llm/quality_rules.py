@@ -18,8 +18,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import Scratch, fresh
+from marlstone.llm.common import fresh
 from marlstone.llm.hashing import _SPACE, BLOCK, U64, mix, rows_of_words, separated, span_hashes, stream, text_blocks, word_hashes
+from marlstone.storage import Scratch
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50

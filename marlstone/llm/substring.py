@@ -31,8 +31,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import Scratch, fresh
+from marlstone.llm.common import fresh
 from marlstone.llm.hashing import _SPACE, U64, _power_tables, mix, rows_of_words, separated, stream, text_blocks, word_hashes
+from marlstone.storage import Scratch
 
 MIN_RUN = 20
 LAST = (1 << 63) - 1

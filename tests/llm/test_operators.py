@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import classifier, embeddings, html_text, minhash, mixing, packing, quality_rules, substring, token_rollup, tokens, warc
 from marlstone.llm import queries as q
-from marlstone.llm.common import Scratch, components, read
-from marlstone.llm.hashing import U64, word_hashes
+from marlstone.llm.common import components, read
+from marlstone.llm.hashing import word_hashes
+from marlstone.storage import Scratch
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 lower = lambda s: re.sub("[A-Z]", lambda m: m[0].lower(), s)
