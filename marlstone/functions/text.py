@@ -283,10 +283,14 @@ def repair_title(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"(?U)(?<=\w)�(?=\w)", "—"), "�", "")
 
 
+#: Names of files, and numbers, that are no titles.
+FILE_TITLE = r"(?i)\.(?:pdf|indd|docx?|qxd|qxp|ai|psd|txt)\s*$|\d{7,}"
+
+
 def sane_meta(c: Column) -> Column:
     """A metadata title or author that can be believed, else an empty string."""
     s = squash(c)
-    bad = (F.length(s) < 3) | (F.length(s) > 200) | F.regexp_like(s, F.lit(r"(?i)\.(?:indd|pdf|docx?|qxd|p65|fm|tex|dvi|ps|rtf|txt)\b")) | F.regexp_like(s, F.lit(r"\d{7,}")) | ~F.regexp_like(s, F.lit(r"[A-Za-z].*[A-Za-z].*[A-Za-z]")) | F.regexp_like(s, F.lit(r"(?i)^(?:untitled|microsoft word|document)"))
+    bad = ~F.length(s).between(3, 200) | F.regexp_like(s, F.lit(FILE_TITLE)) | ~F.regexp_like(s, F.lit("[A-Za-z]{3}")) | F.regexp_like(s, F.lit(r"(?i)^(?:untitled|microsoft word|document)"))
     return F.when(s.isNull() | bad, "").otherwise(s)
 
 

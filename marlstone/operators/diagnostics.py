@@ -35,16 +35,16 @@ def recent(incidents: DataFrame, now, days: int | None = 30) -> DataFrame:
 def deduped(incidents: DataFrame, window_s: float = DEDUPE_S) -> DataFrame:
     """Incidents without those that come within the window of the last recorded one of their kind.
 
-    The window isn't refreshed by what it holds back, so it is a fold along
-    time.  Kinds are first cut where a gap alone separates them; each cut is
+    A kind is a code, place and detail; null counts as empty in each.  The window
+    isn't refreshed by what it holds back, so it is a fold along time.  Kinds are first cut where a gap alone separates them; each cut is
     folded by itself, one row at a time in an Arrow pass over sorted rows.
     """
-    key = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("code", "where", "detail")])
-    rows = incidents.withColumn("__key", key).withColumn("__at", F.unix_micros(F.col("t").cast("timestamp")))
-    order = Window.partitionBy("code", "where", "detail").orderBy("t", "seq")
-    gap = F.col("__at") - F.lag("__at").over(order)
-    rows = rows.withColumn("__run", F.sum(F.when(gap < window_s * 1_000_000, 0).otherwise(1)).over(order))
-    marked = rows.select("seq", "__key", "__run", "__at").repartition("__key", "__run").sortWithinPartitions("__key", "__run", "__at", "seq")
+    kind = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("code", "where", "detail")])
+    rows = incidents.select("seq", kind.alias("kind"), F.unix_micros(F.col("t").cast("timestamp")).alias("at"))
+    order = Window.partitionBy("kind").orderBy("at", "seq")
+    gap = F.col("at") - F.lag("at").over(order)
+    rows = rows.withColumn("run", F.sum(F.when(gap < window_s * 1_000_000, 0).otherwise(1)).over(order))
+    marked = rows.select("seq", "kind", "run", "at").repartition("kind", "run").sortWithinPartitions("kind", "run", "at", "seq")
     kept = marked.mapInArrow(first_in_window(int(window_s * 1_000_000)), "seq long")
     return incidents.join(kept, "seq", "left_semi")
 
@@ -66,17 +66,24 @@ def first_in_window(width: int):
 
 
 def timing(pages: DataFrame) -> DataFrame:
-    """Per group of pages(conv, page, ms): count, total, mean, the value at place 0.95 n, the largest, the slowest."""
-    values = F.array_sort(F.collect_list("ms"))
-    out = pages.groupBy("conv").agg(F.count("ms").alias("pages"), F.sum("ms").alias("total_ms"), F.avg("ms").alias("mean_ms"), values.alias("all"), F.max("ms").alias("max_ms"), F.slice(F.sort_array(F.collect_list(F.struct("ms", "page")), asc=False), 1, SLOW_PAGES).alias("slowest"))
-    place = F.least(F.col("pages"), F.floor(F.col("pages") * 0.95) + 1).cast("int")
-    return out.withColumn("p95_ms", F.element_at("all", place)).drop("all")
+    """Per group of pages(conv, page, ms): count, total, mean, the value at place 0.95 n, the largest, the slowest.
 
-
-def performance(ends: DataFrame, starts: DataFrame, times: DataFrame, n: int = SLOW_CONVERSIONS) -> DataFrame:
-    """The slowest conversions with their sizes and page times."""
+    Places are found by sorted windows that spill; no group is held in one row.
+    """
+    whole = pages.where("ms is not null").groupBy("conv").agg(F.count("ms").alias("pages"), F.sum("ms").alias("total_ms"), F.avg("ms").alias("mean_ms"), F.max("ms").alias("max_ms"))
+    place = F.least(F.col("pages"), F.floor(F.col("pages") * 95 / 100) + 1)
+    upto = Window.partitionBy("conv").orderBy("ms")
+    counts = pages.where("ms is not null").groupBy("conv", "ms").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(upto))
+    at = counts.join(whole.select("conv", place.alias("place")), "conv").where("upto >= place and upto - n < place").select("conv", F.col("ms").alias("p95_ms"))
+    first = Window.partitionBy("conv").orderBy(F.desc("ms"), F.desc("page"))
+    slowest = pages.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= SLOW_PAGES).groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("ms", "page")), asc=False).alias("slowest"))
+    return whole.join(at, "conv").join(slowest, "conv", "left")
+
+
+def performance(ends: DataFrame, starts: DataFrame, times: DataFrame, n: int = SLOW_CONVERSIONS, order: tuple[str, ...] = ()) -> DataFrame:
+    """The slowest conversions with their sizes and page times; ``order`` settles ties of one time and conversion."""
     rows = ends.join(starts.select("conv", "bytes"), "conv", "left").join(times.select("conv", "pages", F.col("mean_ms").alias("ms_per_page")), "conv", "left")
-    return rows.orderBy(F.desc("ms"), "conv").limit(n)
+    return rows.orderBy(F.desc("ms"), "conv", *order).limit(n)
 
 
 def pass_times(cleanups: DataFrame, n: int = TOP_PASSES) -> DataFrame:

@@ -35,18 +35,10 @@ def query(sql: str | None = None):
     return add
 
 
-#: Tables below this size may sit in one row group, and so in one task.
-SMALL_BYTES = 256 << 20
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; a small one of texts is dealt to all cores, which costs little and saves a lone task."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in ("documents", "pages", "conversations"):
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        if size < SMALL_BYTES:
-            df = df.repartition(spark.sparkContext.defaultParallelism)
-    return df
+    """A table; texts in fewer splits than there are cores are dealt to all of them."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in ("documents", "pages", "conversations") and df.rdd.getNumPartitions() < cores else df
 
 
 def docs(spark: SparkSession, sf_dir: str, *blocks: str) -> DataFrame:
@@ -94,25 +86,17 @@ def quality_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *[(c if k == "fence_parity_ok" else c.cast("bigint")).alias(k) for k, c in found.items()])
 
 
-_COST = " - ".join(f"(CASE WHEN {c} > 0 THEN least({most}, 1 + {c} // {per}) ELSE 0 END)" for c, per, most, _ in quality.COSTS if c != "doubled_words")
-
-
-@query(_COUNTED_SQL + f""", s AS (SELECT doc_id, est_tokens, greatest(0, 100 - (CASE WHEN chars > 20000 AND headings = 0 THEN 25 ELSE 0 END) - (CASE WHEN fences % 2 = 1 THEN 15 ELSE 0 END) - {_COST}) AS score FROM c)
-SELECT lang, count(*) AS n_docs, CAST(sum(score) AS BIGINT) AS score_sum, CAST(min(score) AS BIGINT) AS score_min, CAST(max(score) AS BIGINT) AS score_max, CAST(sum(est_tokens) AS BIGINT) AS tokens
-FROM s JOIN documents USING (doc_id) GROUP BY lang""")
+@query()
 def quality_score_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("numbers", "toc", "chapters", "characters", "bullets", "print", "wrapped", "fence")
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    scored = quality.assess(docs(spark, sf_dir, *names))
-    # what doubled text costs is left out: SQL has no back-references
-    cost = F.when(F.col("doubled_words") > 0, F.least(F.lit(10), 1 + F.floor(F.col("doubled_words") / 20).cast("int"))).otherwise(0)
-    scored = scored.select("doc_id", "est_tokens", (F.col("score") + cost).alias("score"))
+    scored = quality.assess(docs(spark, sf_dir, *names)).select("doc_id", "est_tokens", "score")
     return scored.join(rows, "doc_id").groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("score").cast("bigint").alias("score_sum"), F.min("score").cast("bigint").alias("score_min"), F.max("score").cast("bigint").alias("score_max"), F.sum("est_tokens").cast("bigint").alias("tokens"))
 
 
 @query()
 def quality_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.assess(docs(spark, sf_dir)).select("doc_id", "score", "binary_noise", "doubled_words", "issues", quality.summary().alias("summary"))
+    return quality.assess(docs(spark, sf_dir)).select("doc_id", "score", "binary_noise", "doubled_words", F.array_join("issues", "; ").alias("issues"), quality.summary().alias("summary"))
 
 
 # --- character passes -----------------------------------------------------------------
@@ -341,7 +325,9 @@ _mode_query("notebook_sources", "notebook", p.NOTEBOOK_TOKENS)
 
 @query()
 def section_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sections.sections(docs(spark, sf_dir, "chapters"), "outline", p.DEFAULT_TOKENS).where("section_no = 1")
+    rows = docs(spark, sf_dir, "chapters")
+    wanted = rows.select("doc_id", F.explode(F.array(F.lit(1), F.lit(3))).alias("section_no"))
+    return reading.section(rows, wanted)
 
 
 _ONE = r"regexp_replace(regexp_replace({0}, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{{9f}}]', '', 'g'), '\s*[\r\n]+\s*', ' ', 'g')"
@@ -359,12 +345,12 @@ def front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SLUG = "regexp_replace(substr(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, {1}), '-+$', '')"
 
 
-@query(f"""WITH s AS (SELECT conv_id AS doc_id, turn AS section_no, substr(text, 1, 12) AS title FROM conversations),
+@query(f"""WITH s AS (SELECT conv_id AS doc_id, turn AS section_no, text AS title FROM conversations),
 n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY section_no) AS n FROM s),
 m AS (SELECT *, lpad(CAST(n AS VARCHAR), CAST(greatest(2, length(CAST(n AS VARCHAR))) AS INTEGER), '0') || '-' || CASE WHEN {_SLUG.format("title", 60)} = '' THEN 'section' ELSE {_SLUG.format("title", 60)} END AS name FROM n)
 SELECT doc_id, section_no, name || repeat('-b', CAST(row_number() OVER (PARTITION BY doc_id, name ORDER BY section_no) - 1 AS INTEGER)) || '.md' AS file FROM m""")
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("section_no"), F.substring("text", 1, 12).alias("title"))
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("section_no"), F.col("text").alias("title"))
     return sections.named(rows).select("doc_id", "section_no", "file")
 
 
@@ -400,8 +386,8 @@ def image_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def title_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.substring("text", 1, 80)
-    return table(spark, sf_dir, "documents").select("doc_id", t.source_prefix(first).alias("prefix"), t.title_case(first).alias("title"), t.sane_meta(first).alias("meta"), t.repair_title(first).alias("repaired"), t.furniture_key(first).alias("key"), t.roman_value(F.lower(F.substring("text", 1, 2))).alias("roman"), t.digit_share(first).alias("digits"), t.log_cell(F.col("text")).alias("cell"), t.sample(F.col("text")).alias("sample"))
+    first = F.split("text", "\n", 2)[0]
+    return table(spark, sf_dir, "documents").select("doc_id", t.source_prefix(first).alias("prefix"), t.title_case(first).alias("title"), t.sane_meta(first).alias("meta"), t.repair_title(first).alias("repaired"), t.furniture_key(first).alias("key"), t.roman_value(F.lower(F.split("text", r"\s", 2)[0])).alias("roman"), t.digit_share(first).alias("digits"), t.log_cell(F.col("text")).alias("cell"), t.sample(F.col("text")).alias("sample"))
 
 
 @query()
@@ -448,7 +434,7 @@ def model_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def polish_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = guards.chunk_table(docs(spark, sf_dir, "boilerplate"))
-    reply = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("```markdown\n"), F.col("chunk"), F.lit("\n```"))).when(F.col("doc_id") % 3 == 1, F.upper("chunk")).when(F.col("doc_id") % 3 == 2, "no")
+    reply = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("```markdown\n"), F.col("chunk"), F.lit("\n```"))).when(F.col("doc_id") % 3 == 1, F.translate("chunk", "aeiou", "AEIOU")).when(F.col("doc_id") % 3 == 2, "no")
     return guards.polished(rows.withColumn("reply", reply))
 
 
@@ -537,9 +523,9 @@ SELECT e.event_id, e.conv, e.ms, s.bytes, p.pages FROM e LEFT JOIN s ON e.conv =
 def slowest_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("conv"), "event_type", F.round(F.col("value") * 100).cast("bigint").alias("ms"))
     starts = rows.where("event_type = 'signup'").groupBy("conv").agg(F.max("event_id").alias("bytes"))
-    times = rows.where("event_type = 'view'").groupBy("conv").agg(F.count("*").alias("pages"))
-    joined = rows.where("event_type = 'purchase'").join(starts, "conv", "left").join(times, "conv", "left")
-    return joined.orderBy(F.desc("ms"), "conv", "event_id").limit(diagnostics.SLOW_CONVERSIONS).select("event_id", "conv", "ms", "bytes", "pages")
+    times = diagnostics.timing(rows.where("event_type = 'view'").withColumnRenamed("event_id", "page"))
+    out = diagnostics.performance(rows.where("event_type = 'purchase'"), starts, times, order=("event_id",))
+    return out.select("event_id", "conv", "ms", "bytes", "pages")
 
 
 @query("SELECT user_id AS file, event_id AS seq, ts AS t FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
@@ -550,7 +536,7 @@ def latest_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type AS pass, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS ms FROM events GROUP BY 1 ORDER BY ms DESC, pass LIMIT 6")
 def pass_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(F.struct(F.col("event_type").alias("pass"), F.round(F.col("value") * 100).cast("bigint").alias("ms"))).alias("passes"))
+    rows = table(spark, sf_dir, "events").select(F.array(F.struct(F.col("event_type").alias("pass"), F.round(F.col("value") * 100).cast("bigint").alias("ms"))).alias("passes"))
     return diagnostics.pass_times(rows)
 
 
@@ -619,7 +605,7 @@ def result_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("f"), F.col("seq").cast("string"), F.element_at(F.array(*[F.lit(x) for x in (".pdf", ".mp3", ".png", ".docx")]), (F.col("k") % 4 + 1).cast("int")))
     failures = F.when(F.col("k") % 3 == 0, F.array(F.struct(F.lit("pdflayout").alias("route"), F.lit("PdfiumError: Failed to load document").alias("error")), F.struct(F.lit("ocr_pdf").alias("route"), F.lit("RuntimeError: x").alias("error")))).when(F.col("k") % 3 == 1, F.array(F.struct(F.lit("whisper").alias("route"), F.lit("ConnectionError: offline").alias("error")))).otherwise(F.array().cast("array<struct<route:string,error:string>>"))
     rows = rows.select("seq", path.alias("path"), F.when(F.col("k") % 5 != 0, F.col("message")).alias("error"), (F.col("k") % 2 == 0).alias("ocr"), (F.col("k") % 7 == 0).alias("audio"), failures.alias("failures"))
-    return routing.diagnose(rows).drop("failures")
+    return routing.diagnose(rows).drop("failures").withColumn("warnings", F.array_join("warnings", ","))
 
 
 @query()
@@ -646,7 +632,8 @@ def glyph_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 @query()
 def page_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.page_segments(*glyph_tables(spark, sf_dir))
+    rows = layout.page_segments(*glyph_tables(spark, sf_dir)).select("doc_id", "page", F.posexplode("segments").alias("seg", "s"))
+    return rows.select("doc_id", "page", "seg", "s.text", "s.y0", "s.y1")
 
 
 @query()
@@ -665,7 +652,9 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    from marlstone import oracles
+
+    return SQL | oracles.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
