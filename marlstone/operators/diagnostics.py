@@ -12,6 +12,7 @@ SLOW_PAGES, SLOW_CONVERSIONS, TOP_PASSES, LATEST, TOP_STALLS, TOP_WARNINGS, LAST
 SLOW_P95_MS, SLOW_PREVIEW_MS, STALL_MS = 500, 250, 1000
 HEAVY_SHARE = 0.05
 DEDUPE_S = 30
+PASS_SAMPLES = 12
 
 
 def by_severity(incidents: DataFrame) -> DataFrame:
@@ -98,18 +99,29 @@ def latest_quality(events: DataFrame) -> DataFrame:
     return events.where("file is not null").withColumn("rn", F.row_number().over(last)).where("rn = 1").drop("rn")
 
 
-def heavy_passes(cleanups: DataFrame) -> DataFrame:
-    """Passes that took at least a twentieth of a document's lines."""
+def heavy_passes(cleanups: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Passes that took at least a twentieth of a document's lines, of cleanups(file, lines_in, chars_in, passes array<struct<pass, lines_gone, samples>>)."""
     lines = F.greatest(F.lit(1), F.coalesce(F.nullif("lines_in", F.lit(0)), F.floor(F.col("chars_in") / 60)))
-    rows = cleanups.select("file", lines.alias("lines"), F.explode("passes").alias("p"))
-    return rows.where((F.col("p.lines_gone") > 0) & (F.col("p.lines_gone") / F.col("lines") >= HEAVY_SHARE)).select("file", F.col("p.pass").alias("pass"), F.col("p.lines_gone").alias("lines_gone"), (F.col("p.lines_gone") / F.col("lines")).alias("share"))
+    rows = cleanups.select(*keep, "file", lines.alias("lines"), F.explode("passes").alias("p"))
+    share = F.col("p.lines_gone") / F.col("lines")
+    return rows.where((F.col("p.lines_gone") > 0) & (share >= HEAVY_SHARE)).select(*keep, "file", "p.*", share.alias("share"))
 
 
-def pass_record(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Per document: lines with text that a pass took or rewrote, as a difference of multisets; both sides are (doc_id, line)."""
-    side = lambda df, n: df.where(F.regexp_like("line", F.lit(r"(?U)\S"))).groupBy("doc_id", "line").agg(F.sum(F.lit(n)).alias("n"))
-    gone = side(before, 1).unionAll(side(after, -1)).groupBy("doc_id", "line").agg(F.sum("n").alias("n")).where("n > 0")
-    return gone.groupBy("doc_id").agg(F.sum("n").cast("long").alias("lines_gone"))
+def pass_record(before: DataFrame, after: DataFrame, samples: int = PASS_SAMPLES) -> DataFrame:
+    """Per document whose lines differ: chars_delta, lines_delta, lines_gone, and samples of these.
+
+    Lines with text that a pass took or rewrote are a difference of multisets;
+    both sides are (doc_id, line), and samples are the first by their text.
+    """
+    facts = lambda df, n: df.select("doc_id", "line", F.lit(n).alias("n"), ((F.length("line") + 1) * n).alias("chars"))
+    both = facts(before, 1).unionAll(facts(after, -1))
+    sizes = both.groupBy("doc_id").agg((-F.sum("chars")).alias("chars_delta"), (-F.sum("n")).alias("lines_delta"))
+    gone = both.where(F.regexp_like("line", F.lit(r"(?U)\S"))).groupBy("doc_id", "line").agg(F.sum("n").alias("n")).where("n > 0")
+    first = gone.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("line"))).where(F.col("rank") <= samples)
+    shown = first.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list("line")), t.sample).alias("samples"))
+    per = gone.groupBy("doc_id").agg(F.sum("n").cast("long").alias("lines_gone")).join(shown, "doc_id")
+    out = sizes.join(per, "doc_id", "left").where("lines_gone is not null or chars_delta <> 0 or lines_delta <> 0")
+    return out.select("doc_id", "chars_delta", "lines_delta", F.coalesce("lines_gone", F.lit(0)).alias("lines_gone"), F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
 
 
 def stalls(ticks: DataFrame, least_ms: int = STALL_MS) -> DataFrame:

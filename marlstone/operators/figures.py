@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions import text as t
-from marlstone.operators import lines as ln
 
 # --- fixed values -------------------------------------------------------------------
 MIN_PIXELS, MIN_POINTS, CLIP_SLACK = 120, 18.0, 1.0
 SCAN_COVER, SCAN_PAGES, MAX_FIGURES = 0.85, 0.5, 2000
 MARKER = r"^\s*<!-- figure (\d+)\.(\d+) -->\s*$"
 ANCHOR = r"^\s*<!-- page (\d+)(?: \([^)]*\))? -->\s*$"
+_MARKER, _ANCHOR = re.compile(MARKER), re.compile(ANCHOR)
 
 
 def page_images(images: DataFrame) -> DataFrame:
@@ -57,31 +58,54 @@ def link(folder: str = "images") -> Column:
     return F.concat(F.lit("!["), alt, F.lit("]("), target, F.lit(")"))
 
 
+def linked(text: str, figures: list[tuple[int, int | None, str, str]]) -> str:
+    """A text with the links of figures (page, k, path, link), which stand in the order of pages.
+
+    A marker's first use takes its figure; later ones, and those without one, go
+    with a blank line after them.  What has no marker stands after its page's
+    anchor, else in a list at the end.
+    """
+    at_marker = {(page, k): (path, link) for page, k, path, link in reversed(figures) if k is not None}
+    out: list[str] = []
+    anchors: dict[int, list[int]] = {}
+    placed: set[str] = set()
+    dropped = False
+    for line in text.split("\n"):
+        if dropped and not line.strip():
+            dropped = False
+            continue
+        dropped = False
+        if m := _MARKER.match(line):
+            found = at_marker.pop((int(m[1]), int(m[2])), None)
+            if found is None:
+                dropped = True
+                continue
+            placed.add(found[0])
+            line = found[1]
+        elif m := _ANCHOR.match(line):
+            anchors.setdefault(int(m[1]), []).append(len(out))
+        out.append(line)
+    rest = [f for f in figures if f[2] not in placed]
+    loose = [link for page, _, _, link in rest if page not in anchors]
+    for place, page in sorted(((i, page) for page, places in anchors.items() for i in places), reverse=True):
+        out[place + 1 : place + 1] = [x for p, _, _, link in rest if p == page for x in ("", link)]
+    return "\n".join([*out, *(["", "## Extracted figures", "", *(f"- {x}" for x in loose)] if loose else [])])
+
+
 def insert_links(docs: DataFrame, figures: DataFrame, folder: str = "images") -> DataFrame:
-    """(doc_id, text) with links: at a figure's marker, else after its page's anchor, else at the end."""
-    figures = figures.select("doc_id", "page", "k", "path", link(folder).alias("link"))
-    line = F.col("line")
-    rows = ln.explode(docs).withColumns({"m_page": F.regexp_extract(line, MARKER, 1), "m_k": F.regexp_extract(line, MARKER, 2), "a_page": F.regexp_extract(line, ANCHOR, 1)})
-    rows = rows.withColumns({c: F.nullif(F.col(c), F.lit("")).cast("int") for c in ("m_page", "m_k", "a_page")})
-    # a marker's first use takes the figure; later ones and those without a figure go, with a blank line after them
-    marks = rows.where("m_page is not null").withColumn("use", F.row_number().over(Window.partitionBy("doc_id", "m_page", "m_k").orderBy("pos")))
-    f = figures.where("k is not null").select("doc_id", F.col("page").alias("m_page"), F.col("k").alias("m_k"), "link", "path")
-    marks = marks.join(f, ["doc_id", "m_page", "m_k"], "left").select("doc_id", "pos", F.when(F.col("use") == 1, F.col("link")).alias("link"), F.when(F.col("use") == 1, F.col("path")).alias("path"))
-    rows = rows.join(marks.select("doc_id", "pos", "link"), ["doc_id", "pos"], "left")
-    gone = F.col("m_page").isNotNull() & F.col("link").isNull()
-    after = F.lag(gone).over(ln.order())
-    rows = rows.withColumns({"gone": gone, "after": F.coalesce(after, F.lit(False))}).where(~F.col("gone") & ~(F.col("after") & t.is_blank(line)))
-    body = rows.select("doc_id", "pos", F.lit(0).alias("sub"), F.coalesce("link", "line").alias("line"))
-    rest = figures.join(marks.where("path is not null").select("doc_id", "path").distinct(), ["doc_id", "path"], "left_anti")
-    anchors = rows.where("a_page is not null").select("doc_id", "pos", F.col("a_page").alias("page"))
-    beside = anchors.join(rest, ["doc_id", "page"])
-    nth = F.row_number().over(Window.partitionBy("doc_id", "pos").orderBy("k", "path"))
-    beside = beside.withColumn("n", nth).select("doc_id", "pos", F.explode(F.array(F.struct((2 * F.col("n") - 1).alias("sub"), F.lit("").alias("line")), F.struct((2 * F.col("n")).alias("sub"), F.col("link").alias("line")))).alias("x")).select("doc_id", "pos", "x.sub", "x.line")
-    loose = rest.join(anchors.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_anti").join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "k", "path"))
-    end = F.lit((1 << 31) - 1)
-    tail = loose.select("doc_id", end.alias("pos"), (place + 2).alias("sub"), F.concat(F.lit("- "), F.col("link")).alias("line"))
-    head = loose.select("doc_id").distinct().select("doc_id", end.alias("pos"), F.posexplode(F.array(F.lit(""), F.lit("## Extracted figures"), F.lit(""))).alias("sub", "line"))
-    whole = body.unionByName(beside).unionByName(tail).unionByName(head)
-    parts = F.array_sort(F.collect_list(F.struct("pos", "sub", "line")))
-    return whole.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda x: x["line"]), "\n").alias("text"))
+    """(doc_id, text) with links: at a figure's marker, else after its page's anchor, else at the end.
+
+    A document's figures, MAX_FIGURES at most, meet its text in one join; the text is gone through once.
+    """
+    own = figures.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "k", "path", link(folder).alias("link")))).alias("figures"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = ([(f["page"], f["k"], f["path"], f["link"]) for f in x or ()] for x in batch.column(2).to_pylist())
+            texts = [None if text is None else linked(text, f) for text, f in zip(batch.column(1).to_pylist(), found)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(own, "doc_id", "left")
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string")

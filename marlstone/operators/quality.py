@@ -71,3 +71,12 @@ def summary() -> Column:
     issues = F.when(F.size("issues") > 0, F.concat(F.lit("issues: "), F.array_join("issues", "; ")))
     parts = [F.concat(F.lit("~"), F.format_number("est_tokens", 0), F.lit(" tokens")), F.concat(F.col("headings"), F.lit(" heading(s)")), F.concat(F.col("fenced_blocks"), F.lit(" code block(s)")), issues]
     return F.concat(F.lit("Quality "), F.col("score"), F.lit("/100 - "), F.array_join(F.array_compact(F.array(*parts)), ", "))
+
+
+#: Keys of a report as JSON, in their order.
+REPORT = ("score", "est_tokens", "chars", "headings", "fenced_blocks", "unlabeled_fences", "fence_parity_ok", "toc_residue", "lone_bullets", "raw_bullet_lines", "hard_wrap_hints", "prepress_residue", "doubled_words", "noise_ratio", "word_ratio", "binary_noise", "issues")
+
+
+def as_json() -> Column:
+    """A row of assess() as one JSON object of seventeen keys; ratios have three places."""
+    return F.to_json(F.struct(*[F.round(k, 3).alias(k) if k.endswith("_ratio") else F.col(k) for k in REPORT]))

@@ -63,6 +63,7 @@ CATALOG = (
     ("MS-303", "warning", "The model server took too long.", "Choose a smaller model."),
     ("MS-304", "warning", "The summary was refused by the checks.", "None needed."),
     ("MS-399", "warning", "The model server failed.", "Look at its log."),
+    ("MS-900", "error", "The program stopped on a fault of its own.", "Look at the log."),
     ("MS-901", "error", "Something unforeseen happened.", "Look at the log."),
 )
 

@@ -20,7 +20,7 @@ def gap_paragraphs(segments: DataFrame, gap_s: float = GAP_S) -> DataFrame:
     return rows.groupBy("media_id", "paragraph").agg(F.min("start").alias("start"), F.array_join(F.transform(parts, lambda x: x["text"]), " ").alias("text"))
 
 
-def paragraphs(segments: DataFrame, gap_s: float = GAP_S, chars: int = PARAGRAPH_CHARS) -> DataFrame:
+def paragraphs(segments: DataFrame, gap_s: float = GAP_S, chars: int = PARAGRAPH_CHARS, key: str = "long") -> DataFrame:
     """Paragraphs cut at pauses, and once they are long: (media_id, paragraph, start, text).
 
     How long one is depends on where it began, so a pause's rows are walked in
@@ -30,7 +30,7 @@ def paragraphs(segments: DataFrame, gap_s: float = GAP_S, chars: int = PARAGRAPH
     rows = segments.withColumn("text", t.strip(F.col("text"))).where("text <> ''")
     rows = rows.withColumn("piece", F.sum(F.when(F.col("start") - F.lag("end").over(order) <= gap_s, 0).otherwise(1)).over(order).cast("long"))
     rows = rows.select("media_id", "piece", "seq", "start", F.length("text").alias("n"), "text").repartition("media_id", "piece").sortWithinPartitions("media_id", "piece", "seq")
-    marked = rows.mapInArrow(walk(chars), "media_id long, piece long, part long, seq long, start double, text string")
+    marked = rows.mapInArrow(walk(chars), f"media_id {key}, piece long, part long, seq long, start double, text string")
     parts = F.array_sort(F.collect_list(F.struct("seq", "text")))
     out = marked.groupBy("media_id", "piece", "part").agg(F.min("start").alias("start"), F.array_join(F.transform(parts, lambda x: x["text"]), " ").alias("text"))
     numbered = F.row_number().over(Window.partitionBy("media_id").orderBy("piece", "part"))
@@ -61,3 +61,20 @@ def markdown(rows: DataFrame) -> DataFrame:
     line = F.concat(F.lit("**["), t.stamp(F.col("start")), F.lit("]** "), F.col("text"))
     parts = F.array_sort(F.collect_list(F.struct("paragraph", line.alias("line"))))
     return rows.groupBy("media_id").agg(F.array_join(F.transform(parts, lambda x: x["line"]), "\n\n").alias("markdown"))
+
+
+#: Fixed value: what a transcript without speech says.
+NO_SPEECH = "_(No speech detected.)_"
+
+
+def documents(recordings: DataFrame) -> DataFrame:
+    """(path, markdown) of recordings(path, language, probability, engine, segments array<struct<start, end, text>>): a head, and the paragraphs under their times."""
+    rows = recordings.select("path", F.posexplode_outer("segments").alias("seq", "s")).where("s is not null")
+    rows = rows.select(F.col("path").alias("media_id"), F.col("seq").cast("long").alias("seq"), "s.start", "s.end", "s.text")
+    body = markdown(paragraphs(rows, key="string"))
+    name = F.regexp_extract("path", r"([^/\\]+)$", 1)
+    language = F.coalesce(F.nullif("language", F.lit("")), F.lit("unknown"))
+    sure = F.when(F.col("probability").isNotNull(), F.concat(F.lit(" ("), F.format_number(F.col("probability") * 100, 0), F.lit("% confidence)"))).otherwise("")
+    head = F.concat(F.lit("# Transcript: "), name, F.lit("\n\n**Detected language:** "), language, sure, F.lit("\n**Engine:** "), F.coalesce("engine", F.lit("unknown")), F.lit("\n\n---\n\n"))
+    out = recordings.join(body.withColumnRenamed("media_id", "path"), "path", "left")
+    return out.select("path", F.concat(head, F.coalesce("markdown", F.lit(NO_SPEECH)), F.lit("\n")).alias("markdown"))

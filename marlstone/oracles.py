@@ -224,7 +224,54 @@ PAGE_SEGMENTS = _DRAWN + """ SELECT doc_id, page, CAST(row_number() OVER (PARTIT
 PAGE_FURNITURE = _DRAWN + """, n AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY line, k) - 1 AS INTEGER) AS seg FROM segs), c AS (SELECT doc_id, count(DISTINCT page) AS pages, max(page) + 1 AS total FROM p GROUP BY doc_id)
 SELECT n.doc_id, page, seg FROM n JOIN c ON n.doc_id = c.doc_id WHERE (line = 0 AND pages >= 3) OR (line = 1000000 AND pages >= greatest(2, 0.2 * total))"""
 
+# --- figures -----------------------------------------------------------------------------------------
+_CASES = "WITH f0 AS (SELECT doc_id, n, (n + 1) // 2 AS page, n % 2 + 1 AS k, md5(CAST((doc_id + n * 2) % 6 AS VARCHAR)) AS sha1 FROM (SELECT doc_id, unnest(range(1, 6)) AS n FROM documents)), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, sha1 ORDER BY page, k) AS rn FROM f0) WHERE rn = 1)"
+FIGURE_LINKS = _CASES + """,
+l AS (SELECT doc_id, page, k, '![' || CASE WHEN n = 2 THEN 'a (b)' ELSE 'Figure ' || page || '.' || k END || '](images/fig%20' || n || '.png)' AS link FROM f),
+g AS (SELECT doc_id, max(CASE WHEN page = 1 AND k = 1 THEN link END) AS first, string_agg(CASE WHEN page = 2 THEN chr(10) || chr(10) || link END, '' ORDER BY k) AS second,
+  string_agg(CASE WHEN page = 3 OR page = 1 AND k <> 1 THEN chr(10) || '- ' || link END, '' ORDER BY page, k) AS loose FROM l GROUP BY doc_id)
+SELECT d.doc_id, text || CASE WHEN first IS NOT NULL THEN chr(10) || first || chr(10) ELSE '' END || chr(10) || 'between' || chr(10) || '<!-- page 2 -->' || coalesce(second, '') || chr(10) || 'after' || chr(10) || 'end'
+  || CASE WHEN loose IS NOT NULL THEN chr(10) || chr(10) || '## Extracted figures' || chr(10) || loose ELSE '' END AS text FROM documents d JOIN g ON d.doc_id = g.doc_id"""
+
+
+# --- titles, languages, replies ------------------------------------------------------------------------
+_FIRST = "string_split(text, chr(10))[1]"
+_SQUASH = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
+_SMALL = ", ".join(map(lit, t.SMALL_WORDS))
+_EDITION = lit("(?i)" + t.EDITION)
+TITLE_HELPERS = rf"""WITH a AS (SELECT doc_id, text, {_FIRST} AS f, lower(regexp_extract(text, '^(\S*)', 1)) AS w FROM documents),
+b AS (SELECT *, {_SQUASH.format("f")} AS s, regexp_replace(f, '(?s)(\s*[:–—]\s+|\s+-\s+).*$', '') AS head FROM a),
+c AS (SELECT *, CASE WHEN head = '' THEN f ELSE head END AS main FROM b), d AS (SELECT *, {strip(f"regexp_replace(main, {_EDITION}, '', 'g')")} AS bare FROM c),
+e AS (SELECT *, regexp_replace({_SLUG.format("replace(replace(CASE WHEN bare = '' THEN main ELSE bare END, '''', ''), '’', '')", 200)}, '^(?:the|an?)-(.)', '\1') AS slug0 FROM d),
+g AS (SELECT *, CASE WHEN slug0 = '' THEN 'section' ELSE slug0 END AS slug, [['i', '1'], ['v', '5'], ['x', '10'], ['l', '50'], ['c', '100'], ['d', '500'], ['m', '1000']] AS romans FROM e)
+SELECT doc_id, CASE WHEN length(slug) <= 40 THEN slug WHEN contains(substr(slug, 1, 41), '-') THEN regexp_replace(substr(slug, 1, 41), '-[^-]*$', '') ELSE substr(slug, 1, 40) END AS prefix,
+  array_to_string(list_transform(string_split(s, ' '), lambda x, i: CASE WHEN regexp_matches(x, '^\p{{Ll}}') AND (i = 1 OR NOT list_contains([{_SMALL}], lower(x))) THEN CASE WHEN x[1] = 'ß' THEN 'SS' ELSE upper(x[1]) END || x[2:] ELSE x END), ' ') AS title,
+  CASE WHEN length(s) BETWEEN 3 AND 200 AND NOT regexp_matches(s, {lit(t.FILE_TITLE)}) AND regexp_matches(s, '[A-Za-z]{{3}}') AND NOT regexp_matches(s, '(?i)^(?:untitled|microsoft word|document)') THEN s ELSE '' END AS meta,
+  regexp_replace(regexp_replace(regexp_replace(f, '(\w)�(s|t|d|m|ll|re|ve)\b', '\1’\2', 'g'), '(\w)�(\w)', '\1—\2', 'g'), '�', '', 'g') AS repaired, {_SQUASH.format("regexp_replace(lower(f), '[0-9]+', '#', 'g')")} AS key,
+  CASE WHEN w <> '' AND regexp_full_match(w, {lit(p.ROMAN)}) THEN CAST(list_sum(list_transform(range(1, length(w) + 1), lambda i: CASE WHEN i < length(w) AND CAST([r[2] FOR r IN romans IF r[1] = w[i + 1]][1] AS INTEGER) > CAST([r[2] FOR r IN romans IF r[1] = w[i]][1] AS INTEGER) THEN -1 ELSE 1 END * CAST([r[2] FOR r IN romans IF r[1] = w[i]][1] AS INTEGER))) AS INTEGER) END AS roman,
+  coalesce(len(regexp_extract_all(f, '\d')) / nullif(len(regexp_extract_all(f, '\S')), 0), 0.0::DOUBLE) AS digits,
+  CASE WHEN length({_SQUASH.format("replace(text, '|', chr(92) || '|')")}) <= 90 THEN {_SQUASH.format("replace(text, '|', chr(92) || '|')")} ELSE substr({_SQUASH.format("replace(text, '|', chr(92) || '|')")}, 1, 89) || '…' END AS cell,
+  CASE WHEN length({strip("text")}) <= 160 THEN {strip("text")} ELSE substr({strip("text")}, 1, 159) || '…' END AS sample FROM g"""
+
+_NO_AHEAD = r"(?!java\.|javax\.|kotlin|android\.|org\.|com\.)"
+_SCORES = {k: count(f"(?m){r.pattern}") for k, r in p.LANGUAGES.items() if k != "python"}
+_SCORES["python"] = f"({count('(?m)' + p.LANGUAGES['python'].pattern.replace(_NO_AHEAD, ''))} - {count(chr(40) + '?m)^' + chr(92) + 's*import' + chr(92) + 's+(?:java' + chr(92) + '.|javax' + chr(92) + '.|kotlin|android' + chr(92) + '.|org' + chr(92) + '.|com' + chr(92) + '.)')})"
+LANGUAGE_GUESS = f"""WITH noisy AS ({noisy_sql("code")}), a AS (SELECT doc_id, {", ".join(f"{v} AS {k}" for k, v in _SCORES.items())}, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '\\s+$', '')), lambda x: x <> '') AS solid FROM noisy),
+b AS (SELECT *, coalesce(len([x FOR x IN solid IF regexp_matches(x, '[;{{}}]$')]) / nullif(len(solid), 0), 0.0::DOUBLE) AS c_share, list_sort([{", ".join(f"[-{k}, {i}]" for i, k in enumerate(p.LANGUAGES))}]) AS ranked FROM a)
+SELECT doc_id, {", ".join(p.LANGUAGES)}, c_share, CASE WHEN -ranked[1][1] >= greatest(1, -2 * ranked[2][1]) OR -ranked[1][1] >= 2 AND c_share >= {p.C_SHARE} THEN [{", ".join(map(lit, p.LANGUAGES))}][ranked[1][2] + 1] ELSE '' END AS language FROM b"""
+
+_BARE = "regexp_replace({0}, '^[\"''“”]+|[\"''“”]+$', '', 'g')"
+_NAMED_BARE = "regexp_replace(" + _BARE.format("s0") + r", '(?i)^(?:summary|tl;dr)\s*:\s*', '')"
+SUMMARY_GUARD = rf"""WITH r AS (SELECT doc_id, text, CASE doc_id % 4 WHEN 0 THEN '<think>x</think>Summary: ' || text WHEN 1 THEN '{{"summary": "' || replace(replace(replace(text, '"', ' '), chr(10), ' '), chr(92), ' ') || '", "insufficient_content": false}}' WHEN 2 THEN 'I cannot help with this document, please provide the text of it.' ELSE text END AS reply FROM documents),
+u AS (SELECT *, CASE WHEN doc_id % 4 = 1 THEN json_extract_string(reply, '$.summary') ELSE reply END AS unwrapped FROM r),
+s0 AS (SELECT *, {_SQUASH.format("regexp_replace(unwrapped, '(?is)<think>.*?</think>', '', 'g')")} AS s0 FROM u),
+s1 AS (SELECT *, {_BARE.format(_NAMED_BARE)} AS s FROM s0),
+s2 AS (SELECT *, regexp_extract(substr(s, 1, {guards.MAX_SUMMARY}), '(?s)^(.*[.!?]) ', 1) AS head FROM s1)
+SELECT doc_id, CASE WHEN contains(s, '```') OR length(s) < {guards.MIN_SUMMARY} OR regexp_matches(s, {lit(guards.REFUSAL)}) THEN NULL WHEN length(s) <= {guards.MAX_SUMMARY} THEN s WHEN length(head) > {guards.MIN_SUMMARY} THEN head END AS summary,
+  nullif(substr({_SQUASH.format("reply")}, 1, {guards.MAX_CAPTION}), '') AS caption FROM s2"""
+
 SQL = {
+    "figure_links": FIGURE_LINKS, "title_helpers": TITLE_HELPERS, "language_guess": LANGUAGE_GUESS, "summary_guard": SUMMARY_GUARD,
     "shadow_words": SHADOW_WORDS, "quality_score_by_lang": QUALITY_BY_LANG, "quality_reports": QUALITY_REPORTS, "chapter_split": CHAPTER_SPLIT, "section_fetch": SECTION_FETCH, "notebook_sources": NOTEBOOK_SOURCES,
     "book_manifests": BOOK_MANIFESTS, "book_files": BOOK_FILES, "book_indexes": BOOK_INDEXES, "notebook_files": NOTEBOOK_FILES, "model_chunks": MODEL_CHUNKS, "polish_guard": POLISH_GUARD, "code_guide": CODE_GUIDE,
     "incident_explain": INCIDENT_EXPLAIN, "incident_texts": INCIDENT_TEXTS, "incident_dedupe": INCIDENT_DEDUPE, "route_files": ROUTE_FILES, "result_diagnosis": RESULT_DIAGNOSIS, "transcript_paragraphs": TRANSCRIPTS,

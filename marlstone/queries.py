@@ -242,7 +242,8 @@ def code_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def language_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir, "code").select("doc_id", t.guess_language(F.col("text")).alias("language"), t.language_scores(F.col("text")).alias("scores"), t.c_share(F.col("text")).alias("c_share"))
+    rows = docs(spark, sf_dir, "code").select("doc_id", t.guess_language(F.col("text")).alias("language"), t.language_scores(F.col("text")).alias("scores"), t.c_share(F.col("text")).alias("c_share"))
+    return rows.select("doc_id", *[F.col(f"scores.{k}").cast("bigint").alias(k) for k in p.LANGUAGES], "c_share", "language")
 
 
 @query()
@@ -288,7 +289,7 @@ q AS (SELECT doc_id, line, count(*) AS n FROM lines WHERE regexp_matches(line, '
 SELECT b.doc_id, CAST(sum(greatest(0, b.n - coalesce(q.n, 0))) AS BIGINT) AS lines_gone FROM b LEFT JOIN q ON b.doc_id = q.doc_id AND b.line = q.line GROUP BY b.doc_id HAVING sum(greatest(0, b.n - coalesce(q.n, 0))) > 0""")
 def pass_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = ln.explode(docs(spark, sf_dir, "boilerplate", "fence"))
-    return diagnostics.pass_record(before, before.where(~F.startswith("line", F.lit("visit"))))
+    return diagnostics.pass_record(before, before.where(~F.startswith("line", F.lit("visit")))).where("lines_gone > 0").select("doc_id", "lines_gone")
 
 
 # --- sections and export ---------------------------------------------------------------
@@ -440,8 +441,8 @@ def polish_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def summary_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.substring("text", 1, 900)
-    reply = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("<think>x</think>Summary: "), head)).when(F.col("doc_id") % 4 == 1, F.concat(F.lit('{"summary": "'), F.translate(F.substring("text", 1, 200), '"\n', "  "), F.lit('", "insufficient_content": false}'))).when(F.col("doc_id") % 4 == 2, "I cannot help with this document, please provide the text of it.").otherwise(head)
+    text = F.col("text")
+    reply = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("<think>x</think>Summary: "), text)).when(F.col("doc_id") % 4 == 1, F.concat(F.lit('{"summary": "'), F.translate(text, '"\n\\', "   "), F.lit('", "insufficient_content": false}'))).when(F.col("doc_id") % 4 == 2, "I cannot help with this document, please provide the text of it.").otherwise(text)
     return table(spark, sf_dir, "documents").select("doc_id", guards.clean_summary(guards.unwrap_summary(reply)).alias("summary"), guards.caption(reply).alias("caption"))
 
 

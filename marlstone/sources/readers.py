@@ -16,6 +16,19 @@ def files(spark: SparkSession, *globs: str, content: bool = True) -> DataFrame:
     return rows if content else rows.drop("content")
 
 
+def expanded(spark: SparkSession, patterns: list[str]) -> tuple[list[str], list[str]]:
+    """Paths that the patterns name, each pattern's in order, and patterns that name nothing; folders stand for what is in them."""
+    found: list[str] = []
+    missing: list[str] = []
+    for pattern in patterns:
+        path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+        hits = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+        names = sorted(s.getPath().toString() for s in hits or [])
+        found += names
+        missing += [] if names else [pattern]
+    return list(dict.fromkeys(found)), missing
+
+
 def texts(spark: SparkSession, *globs: str) -> DataFrame:
     """(path, text) of UTF-8 files, one row each."""
     return spark.read.text(list(globs), wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
@@ -47,25 +60,30 @@ def distinct_names(rows: DataFrame, column: str = "stem") -> DataFrame:
     return rows.withColumn("out_name", F.when(k == 1, F.col(column)).otherwise(F.concat_ws("-", column, k.cast("string"))))
 
 
-def write_files(rows: DataFrame, folder: str, name: str = "file", content: str = "content") -> None:
-    """Each row as a file of its own, written by the executors under temporary names; the folder may be of any file system that Arrow opens."""
+def put_file(folder: str, path: str, data: bytes) -> None:
+    """Write a file under a temporary name and rename it; the folder may be of any file system that Arrow opens."""
+    import re
+    import uuid
 
-    def run(batches):
-        import re
-        import uuid
+    from pyarrow import fs
 
-        from pyarrow import fs
+    if ".." in path.split("/"):
+        raise ValueError(f"a name leads out of the folder: {path}")
+    system, root = fs.FileSystem.from_uri(folder if re.match(r"\w+:", folder) else f"file://{folder}")
+    full = f"{root}/{path}"
+    system.create_dir(full.rsplit("/", 1)[0], recursive=True)
+    with system.open_output_stream(temp := f"{full}.{uuid.uuid4().hex}") as out:
+        out.write(data)
+    system.move(temp, full)
 
-        system, root = fs.FileSystem.from_uri(folder if re.match(r"\w+:", folder) else f"file://{folder}")
+
+def write_files(rows: DataFrame, folder: str, name: str = "file", content: str = "content") -> None:
+    """Each row as a file of its own, written by the executors."""
+
+    def run(batches):
         for batch in batches:
-            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if ".." in path.split("/"):
-                    raise ValueError(f"a name leads out of the folder: {path}")
-                full = f"{root}/{path}"
-                system.create_dir(full.rsplit("/", 1)[0], recursive=True)
-                with system.open_output_stream(temp := f"{full}.{uuid.uuid4().hex}") as out:
-                    out.write((text or "").encode())
-                system.move(temp, full)
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                put_file(folder, path, (text.as_py() or "").encode())
             yield batch
 
     rows.select(name, content).mapInArrow(run, f"{name} string, {content} string").write.format("noop").mode("overwrite").save()
