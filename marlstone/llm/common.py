@@ -14,8 +14,10 @@ from marlstone.storage import Scratch
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+def read(spark: SparkSession, sf_dir: str, table: str, deal: bool = True) -> DataFrame:
+    """A table; one in fewer splits than there are cores is dealt to all of them."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{table}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if deal and df.rdd.getNumPartitions() < cores else df
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -35,43 +37,40 @@ FOLDED = 4
 def components(edges: DataFrame, scratch: Scratch, name: str, seed: int = 1) -> DataFrame:
     """(node, root) of every node of ``edges(a, b)``; root is the smallest id reachable.
 
-    Randomised contraction: in each round every node points to the neighbour,
-    or itself, that comes first in an order drawn anew for the round, and two
-    steps of these pointers give what it's contracted to.  Long chains shrink
-    like anything else, about to a third a round, so the rounds grow with the
-    logarithm of the nodes however ids are laid out.  The maps are then composed
-    from the last to the first, FOLDED of them at a time, and the smallest id of
-    each group is found at the end.  Every round's tables are written to the
-    shared folder, and no plan grows with the number of rounds.
+    Randomised contraction: in each round every node finds the node that comes
+    first among its neighbours and theirs, in an order drawn anew for the round,
+    and is contracted to it.  Stars collapse at once, and long chains shrink to
+    about a third a round, so the rounds grow with the logarithm of the nodes
+    however ids are laid out.  The maps are then composed from the last to the
+    first, FOLDED of them at a time, and the smallest id of each group is found at
+    the end.  Every round's tables are written to the shared folder, and no plan
+    grows with the number of rounds.
     """
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b")
     edges = scratch.keep(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-e0")
     maps = []
     while not edges.isEmpty():
         k = len(maps)
-        rank = F.struct(F.xxhash64("to", F.lit(seed), F.lit(k)).alias("h"), "to")
+        least = lambda c: F.min(F.struct(F.xxhash64(c, F.lit(seed), F.lit(k)).alias("h"), c))[c]  # noqa: E731,B023
         ends = edges.select(F.explode(F.array(*(F.struct(F.col(x).alias("node"), F.col(y).alias("to")) for x in "ab" for y in "ab"))).alias("e")).select("e.node", "e.to")
-        first = ends.groupBy("node").agg(F.min(rank)["to"].alias("to"))
-        first = scratch.keep(first, f"{name}-p{k}")
-        second = first.select(F.col("node").alias("to"), F.col("to").alias("root"))
-        step = scratch.keep(first.join(second, "to").select("node", "root"), f"{name}-m{k}")
+        first = ends.groupBy("node").agg(least("to").alias("root")).withColumnRenamed("node", "to")
+        step = scratch.keep(ends.join(first, "to").groupBy("node").agg(least("root").alias("root")), f"{name}-m{k}")
         of = lambda x: step.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))  # noqa: E731,B023
         less = edges.join(of("a"), "a").join(of("b"), "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
         edges = scratch.keep(less, f"{name}-e{k + 1}")
-        scratch.drop(f"{name}-e{k}", f"{name}-p{k}")
+        scratch.drop(f"{name}-e{k}")
         maps.append(step)
     if not maps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    out = maps[-1]
+    groups = maps[-1]
     for k in reversed(range(len(maps) - 1)):
-        later = out.select(F.col("node").alias("root"), F.col("root").alias("root2"))
-        out = maps[k].join(later, "root", "left").select("node", F.coalesce("root2", "root").alias("root"))
+        later = groups.select(F.col("node").alias("root"), F.col("root").alias("root2"))
+        groups = maps[k].join(later, "root", "left").select("node", F.coalesce("root2", "root").alias("root"))
         if k and k % FOLDED == 0:
-            out = scratch.keep(out, f"{name}-c{k}")
-    groups = scratch.keep(out, f"{name}-groups")
-    least = groups.groupBy("root").agg(F.min("node").alias("least"))
-    out = scratch.keep(groups.join(least, "root").select("node", F.col("least").alias("root")), f"{name}-out")
-    scratch.drop(f"{name}-groups", f"{name}-e{len(maps)}", *[f"{name}-{x}{i}" for i in range(len(maps)) for x in "mc"])
+            groups = scratch.keep(groups, f"{name}-c{k}")
+    smallest = groups.groupBy("root").agg(F.min("node").alias("least"))
+    out = scratch.keep(groups.join(smallest, "root").select("node", F.col("least").alias("root")), f"{name}-out")
+    scratch.drop(f"{name}-e{len(maps)}", *[f"{name}-{x}{i}" for i in range(len(maps)) for x in "mc"])
     return out
 
 

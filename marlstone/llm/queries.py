@@ -17,7 +17,7 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents"))
+    return mixing.mix(read(spark, sf_dir, "documents", deal=False))
 
 
 def op3_nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
