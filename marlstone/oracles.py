@@ -12,7 +12,7 @@ from marlstone.functions import text as t
 from marlstone.operators import guards, quality, routing, transcripts
 from marlstone.plans import reading
 from marlstone.plans.noisy import noisy_sql
-from marlstone.queries import _INCIDENTS_SQL, _SLUG, lines_sql, lit
+from marlstone.queries import _INCIDENTS_SQL, _ITEM, _SLUG, _STRUCTURAL, lines_sql, lit
 
 STRIPPED = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
@@ -95,9 +95,6 @@ parts AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ch
 
 
 CHAPTER_SPLIT = chapters(lines_sql("chapters", "images", "fence"), 200) + " SELECT * FROM parts"
-SECTION_FETCH = chapters(lines_sql("chapters"), p.DEFAULT_TOKENS) + """
-SELECT d.doc_id, w.n AS section_no, markdown, CASE WHEN markdown IS NULL THEN 'MS-132' END AS error_code FROM documents d CROSS JOIN (SELECT unnest([1, 3])::INTEGER AS n) w LEFT JOIN parts ON d.doc_id = parts.doc_id AND w.n = section_no"""
-
 #: Lines with image links outside code as notes of what they show.
 _NOTED = r"""regexp_replace(regexp_replace(regexp_replace(x, '!\[\s*\]\([^)]+\)', '[Figure]', 'g'), '!\[\s*((?i:figure)[^\]]*?)\s*\]\([^)]+\)', '[\1]', 'g'), '!\[\s*([^\]]*?)\s*\]\([^)]+\)', '[Figure: \1]', 'g')"""
 
@@ -270,7 +267,88 @@ s2 AS (SELECT *, regexp_extract(substr(s, 1, {guards.MAX_SUMMARY}), '(?s)^(.*[.!
 SELECT doc_id, CASE WHEN contains(s, '```') OR length(s) < {guards.MIN_SUMMARY} OR regexp_matches(s, {lit(guards.REFUSAL)}) THEN NULL WHEN length(s) <= {guards.MAX_SUMMARY} THEN s WHEN length(head) > {guards.MIN_SUMMARY} THEN head END AS summary,
   nullif(substr({_SQUASH.format("reply")}, 1, {guards.MAX_CAPTION}), '') AS caption FROM s2"""
 
+# --- passes that carry state ----------------------------------------------------------------------------
+def fitted(budget: int) -> str:
+    """After chapters(): fit(doc_id, section_no, k, title, md), long sections cut hard at the last place that fits."""
+    most = budget * p.CHARS_PER_TOKEN
+    return rf""",
+hl AS (SELECT doc_id, section_no, CAST(unnest(range(len(string_split(markdown, chr(10))))) AS INTEGER) AS i, unnest(string_split(markdown, chr(10))) AS line FROM parts WHERE est_tokens > {budget}),
+hm AS (SELECT *, regexp_matches(line, '^\s*```') AS mark, regexp_matches(line, '\S') AS solid FROM hl),
+hn AS (SELECT *, sum(CAST(mark AS INTEGER)) OVER (PARTITION BY doc_id, section_no) % 2 = 0 AND coalesce(sum(CAST(mark AS INTEGER)) OVER (PARTITION BY doc_id, section_no ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS inside FROM hm),
+ho AS (SELECT *, CASE WHEN solid THEN NOT inside AND NOT mark AND regexp_matches(line, {lit(p.HEADING.pattern)}) END AS head FROM hn),
+hp AS (SELECT *, i > 0 AND NOT inside AND NOT coalesce(last_value(head IGNORE NULLS) OVER (PARTITION BY doc_id, section_no ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS soft, lag(NOT solid) OVER (PARTITION BY doc_id, section_no ORDER BY i) AS after_blank FROM ho),
+hq AS (SELECT doc_id, section_no, CAST(count(*) AS INTEGER) AS n, list(line ORDER BY i) AS ls, list_concat([0], list(upto ORDER BY i)) AS ends, list(inside ORDER BY i) AS insides, coalesce(list(i ORDER BY i) FILTER (soft), []) AS softs, coalesce(list(i ORDER BY i) FILTER (soft AND after_blank), []) AS blanks
+  FROM (SELECT *, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id, section_no ORDER BY i) AS INTEGER) AS upto FROM hp) GROUP BY doc_id, section_no),
+hr AS (SELECT doc_id, section_no, 0 AS start, 0 AS fin FROM hq
+  UNION ALL SELECT doc_id, section_no, fin, CASE WHEN lim >= n THEN n ELSE coalesce(list_max([b FOR b IN blanks IF b > fin AND b <= lim]), list_max([b FOR b IN softs IF b > fin AND b <= lim]), list_min([e FOR e IN range(greatest(lim, fin) + 1, n + 1) IF e = n OR NOT insides[e + 1]])) END
+  FROM (SELECT hr.doc_id, hr.section_no, hr.fin, hq.*, list_max([c FOR c IN range(0, n + 1) IF ends[c + 1] <= ends[hr.fin + 1] + {most}]) AS lim FROM hr JOIN hq ON hr.doc_id = hq.doc_id AND hr.section_no = hq.section_no WHERE hr.fin < n)),
+hs AS (SELECT hr.doc_id, hr.section_no, start, {strip("array_to_string(ls[start + 1:fin], chr(10))")} AS chunk FROM hr JOIN hq ON hr.doc_id = hq.doc_id AND hr.section_no = hq.section_no WHERE fin > start),
+ht AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section_no ORDER BY start) AS k, count(*) OVER (PARTITION BY doc_id, section_no) AS chunks FROM hs WHERE chunk <> ''),
+fit AS (SELECT p.doc_id, p.section_no, coalesce(k, 0) AS k, CASE WHEN chunks > 1 THEN CASE WHEN title = '' THEN 'Document' ELSE title END || ' (part ' || k || ')' ELSE title END AS title, CASE WHEN chunks > 1 THEN chunk || chr(10) ELSE markdown END AS md FROM parts p LEFT JOIN ht ON p.doc_id = ht.doc_id AND p.section_no = ht.section_no)"""
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH noisy", "WITH RECURSIVE noisy", 1)
+
+
+HARD_SPLIT = recursive(chapters(lines_sql("chapters", "images", "fence"), 100)) + fitted(100) + f"""
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY section_no, k) - 1 AS INTEGER) AS section_no, title, md AS markdown, {TOKENS.format("md")} AS est_tokens FROM fit"""
+
+SECTION_FETCH = recursive(chapters(lines_sql("chapters"), p.DEFAULT_TOKENS)) + fitted(p.DEFAULT_TOKENS) + """,
+sf AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY section_no, k) - 1 AS INTEGER) AS section_no, md FROM fit)
+SELECT d.doc_id, w.n AS section_no, md AS markdown, CASE WHEN md IS NULL THEN 'MS-132' END AS error_code FROM documents d CROSS JOIN (SELECT unnest([1, 3])::INTEGER AS n) w LEFT JOIN sf ON d.doc_id = sf.doc_id AND w.n = section_no"""
+
+_ROOM = p.CHARS_PER_TOKEN * (500 + 1)
+PACKED_PARTS = recursive(chapters(lines_sql("chapters", "images", "fence"), 500)) + fitted(500) + rf""",
+ka AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY section_no, k) AS i, starts_with(md, '#') AND len([x FOR x IN string_split(md, chr(10))[2:] IF NOT regexp_full_match(x, '\s*(<!--.*?-->)?\s*')]) = 0 AS bare FROM fit),
+kb AS (SELECT *, CAST(sum(length(md) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS upto FROM ka),
+kc AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS n, list_concat([0], list(upto ORDER BY i)) AS s, list(bare ORDER BY i) AS bares, list(title ORDER BY i) AS titles, list(md ORDER BY i) AS mds FROM kb GROUP BY doc_id),
+kd AS (SELECT doc_id, 0 AS start, 0 AS fin FROM kc
+  UNION ALL SELECT doc_id, fin, CASE WHEN e = n THEN n ELSE coalesce(list_min([x FOR x IN range(greatest(fin + 1, least_start), e + 1) IF len([j FOR j IN range(x, e) IF NOT bares[j + 1]]) = 0]), e) END
+  FROM (SELECT *, list_min([c FOR c IN range(0, n + 1) IF s[c + 1] >= s[least(e + 1, n) + 1] - {_ROOM}]) AS least_start FROM (SELECT kd.doc_id, kd.fin, kc.n, kc.s, kc.bares, greatest(list_max([c FOR c IN range(0, kc.n + 1) IF kc.s[c + 1] <= kc.s[kd.fin + 1] + {_ROOM}]), kd.fin + 1) AS e FROM kd JOIN kc ON kd.doc_id = kc.doc_id WHERE kd.fin < kc.n))),
+ke AS (SELECT kd.doc_id, start, CASE WHEN fin = start + 1 THEN titles[fin] ELSE array_to_string([x FOR x IN [titles[start + 1], titles[fin]] IF x <> ''], ' – ') END AS title, array_to_string(mds[start + 1:fin], chr(10)) AS md FROM kd JOIN kc ON kd.doc_id = kc.doc_id WHERE fin > start)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS INTEGER) AS section_no, title, md AS markdown, {TOKENS.format("md")} AS est_tokens FROM ke"""
+
+HEADING_PROMOTION = lines_sql("chapters") + rf""",
+ch AS (SELECT doc_id, pos, trim(regexp_replace(regexp_extract(line, {lit(p.CHAPTER.pattern)}, 3), '\s+', ' ', 'g')) AS title, regexp_extract(line, {lit(p.CHAPTER.pattern)}, 1) || ' ' || regexp_extract(line, {lit(p.CHAPTER.pattern)}, 2) AS kind FROM lines WHERE regexp_matches(line, {lit(p.CHAPTER.pattern)})),
+ti AS (SELECT doc_id, title, arg_min(kind, pos) || ': ' || title AS heading FROM ch WHERE length(title) >= {p.TITLE_LENGTH} GROUP BY doc_id, title),
+en AS (SELECT doc_id, count(*) AS n, list(title) AS titles FROM ti GROUP BY doc_id HAVING count(*) >= {p.CHAPTER_TITLES}),
+hd AS (SELECT l.doc_id FROM lines l JOIN en ON l.doc_id = en.doc_id WHERE regexp_matches(line, '^\s*#') AND len([x FOR x IN titles IF contains(line, x)]) > 0 GROUP BY 1),
+sq AS (SELECT m.*, CASE WHEN is_fence THEN '' ELSE trim(regexp_replace(line, '\s+', ' ', 'g')) END AS w FROM marked m),
+jo AS (SELECT *, w AS j1, CASE WHEN w <> '' AND w2 <> '' THEN w || ' ' || w2 END AS j2, CASE WHEN w <> '' AND w2 <> '' AND w3 <> '' THEN w || ' ' || w2 || ' ' || w3 END AS j3 FROM (SELECT *, lead(w, 1) OVER (PARTITION BY doc_id ORDER BY pos) AS w2, lead(w, 2) OVER (PARTITION BY doc_id ORDER BY pos) AS w3 FROM sq)),
+sp AS (SELECT j.doc_id, pos, CASE WHEN in_code THEN 0 WHEN list_contains(titles, j1) THEN 1 WHEN list_contains(titles, j2) THEN 2 WHEN list_contains(titles, j3) THEN 3 ELSE 0 END AS size, CASE WHEN list_contains(titles, j1) THEN j1 WHEN list_contains(titles, j2) THEN j2 ELSE j3 END AS title FROM jo j JOIN en ON j.doc_id = en.doc_id),
+fr AS (SELECT *, row_number() OVER (PARTITION BY doc_id, title ORDER BY pos) = 1 AND doc_id NOT IN (SELECT doc_id FROM hd) AS first FROM sp WHERE size > 0),
+cv AS (SELECT m.doc_id, m.pos, m.line, f.size, f.first, f.title, (SELECT count(*) FROM fr g WHERE g.doc_id = m.doc_id AND m.pos > g.pos AND m.pos < g.pos + g.size) > 0 AS covered FROM marked m LEFT JOIN fr f ON f.doc_id = m.doc_id AND f.pos = m.pos),
+ou AS (SELECT cv.doc_id, pos, CASE WHEN covered THEN NULL WHEN size IS NULL THEN line WHEN first THEN '# ' || heading END AS line, CASE WHEN covered OR size IS NULL THEN 0 WHEN first THEN 1 ELSE size END AS n FROM cv LEFT JOIN ti ON ti.doc_id = cv.doc_id AND ti.title = cv.title)
+SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text, CAST(sum(n) AS BIGINT) AS n FROM ou GROUP BY doc_id"""
+
+BULLET_REPAIR = recursive(lines_sql("bullets", "fence")) + rf""",
+bs AS (SELECT *, {strip("line")} AS s FROM marked),
+bf AS (SELECT *, s <> '' AS solid, NOT in_code AND regexp_matches(line, {lit(p.LONE_BULLET.pattern)}) AS lone, regexp_matches(line, {lit(p.LONE_BULLET.pattern)}) AS sign, {_ITEM} AS item, NOT in_code AND regexp_matches(line, {lit(p.BULLET.pattern)}) AS simple FROM bs),
+bl AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS n, list(CASE WHEN simple THEN regexp_replace(line, {lit(p.BULLET.pattern)}, '\1- \2') ELSE line END ORDER BY pos) AS ls, list(s ORDER BY pos) AS ss, list(solid ORDER BY pos) AS solids, list(lone ORDER BY pos) AS lones, list(sign ORDER BY pos) AS signs, list(item ORDER BY pos) AS items, list(simple ORDER BY pos) AS simples FROM bf GROUP BY doc_id),
+br AS (SELECT doc_id, 1 AS at_line, []::VARCHAR[] AS done, 0 AS fixed FROM bl
+  UNION ALL SELECT doc_id, CASE WHEN met THEN picked[wanted] + 1 ELSE at_line + 1 END, list_concat(done, CASE WHEN met THEN flatten([['- ' || ss[x], ''] FOR x IN picked[1:wanted]]) ELSE [ls[at_line]] END), fixed + CASE WHEN met THEN wanted WHEN simples[at_line] THEN 1 ELSE 0 END
+  FROM (SELECT *, lones[at_line] AND len(picked) >= wanted AS met FROM (SELECT *, [x FOR x IN range(k, stop) IF items[x]] AS picked FROM (SELECT *, len([x FOR x IN range(at_line, k) IF solids[x]]) AS wanted, coalesce(list_min([x FOR x IN range(k, n + 1) IF solids[x] AND NOT items[x]]), n + 1) AS stop
+    FROM (SELECT br.*, bl.* EXCLUDE (doc_id), coalesce(list_min([x FOR x IN range(at_line, n + 1) IF solids[x] AND NOT signs[x]]), n + 1) AS k FROM br JOIN bl ON br.doc_id = bl.doc_id WHERE at_line <= n)))))
+SELECT br.doc_id, array_to_string(done, chr(10)) AS text, CAST(fixed AS BIGINT) AS n FROM br JOIN bl ON br.doc_id = bl.doc_id WHERE at_line > n"""
+
+_UNSAFE = lit(p.JOIN_UNSAFE.pattern)
+_ENDS = "[" + ", ".join(map(lit, p.SENTENCE_END)) + "]"
+
+
+WRAP_JOIN = recursive(lines_sql("wrapped", "fence")) + rf""",
+wf AS (SELECT *, {strip("line")} AS s FROM marked), wg AS (SELECT *, {_STRUCTURAL} AS own FROM wf),
+wl AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS n, list(line ORDER BY pos) AS ls, list(own ORDER BY pos) AS owns, list(in_code ORDER BY pos) AS codes FROM wg GROUP BY doc_id),
+wr AS (SELECT doc_id, 2 AS at_line, []::VARCHAR[] AS done, ls[1] AS before, owns[1] AS before_own, 0 AS fixed FROM wl
+  UNION ALL SELECT doc_id, at_line + 1, CASE WHEN way = 0 THEN list_append(done, before) ELSE done END, CASE way WHEN 0 THEN line WHEN 1 THEN a || b WHEN 2 THEN a[:-2] || b ELSE a || ' ' || b END, CASE WHEN way = 0 THEN own ELSE before_own END, fixed + CASE WHEN way = 0 THEN 0 ELSE 1 END
+  FROM (SELECT *, CASE WHEN code OR b = '' OR NOT regexp_matches(a, '\S') OR length(before) > {p.JOIN_LENGTH} OR regexp_matches(line, '^\s') OR own OR before_own OR regexp_matches({strip("line")}, {_UNSAFE}) OR regexp_matches({strip("before")}, {_UNSAFE}) THEN 0
+      WHEN regexp_matches(a, {lit(p.HYPHEN.pattern)}) AND regexp_matches(line, '^\p{{Ll}}') THEN CASE WHEN regexp_matches(a, '-[A-Za-z][A-Za-z'']*-$') THEN 1 ELSE 2 END
+      WHEN length({strip("before")}) >= {p.WRAP_LENGTH} AND NOT list_contains({_ENDS}, right(a, 1)) THEN 3 ELSE 0 END AS way
+    FROM (SELECT wr.*, ls[at_line] AS line, owns[at_line] AS own, codes[at_line] AS code, regexp_replace(before, '\s+$', '') AS a, regexp_replace(ls[at_line], '^\s+', '') AS b FROM wr JOIN wl ON wr.doc_id = wl.doc_id WHERE at_line <= n)))
+SELECT wr.doc_id, array_to_string(list_append(done, before), chr(10)) AS text, CAST(fixed AS BIGINT) AS n FROM wr JOIN wl ON wr.doc_id = wl.doc_id WHERE at_line > n"""
+
 SQL = {
+    "hard_split": HARD_SPLIT, "packed_parts": PACKED_PARTS, "heading_promotion": HEADING_PROMOTION, "bullet_repair": BULLET_REPAIR, "wrap_join": WRAP_JOIN,
     "figure_links": FIGURE_LINKS, "title_helpers": TITLE_HELPERS, "language_guess": LANGUAGE_GUESS, "summary_guard": SUMMARY_GUARD,
     "shadow_words": SHADOW_WORDS, "quality_score_by_lang": QUALITY_BY_LANG, "quality_reports": QUALITY_REPORTS, "chapter_split": CHAPTER_SPLIT, "section_fetch": SECTION_FETCH, "notebook_sources": NOTEBOOK_SOURCES,
     "book_manifests": BOOK_MANIFESTS, "book_files": BOOK_FILES, "book_indexes": BOOK_INDEXES, "notebook_files": NOTEBOOK_FILES, "model_chunks": MODEL_CHUNKS, "polish_guard": POLISH_GUARD, "code_guide": CODE_GUIDE,

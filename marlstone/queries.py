@@ -229,10 +229,12 @@ _STRONG = f"(s <> '' AND length(s) <= 140 AND ({_m(p.IMPORT)} OR {_m(p.DECORATOR
 _WORDS = "len(regexp_extract_all(s, '\\S+'))"
 _WEAK = f"(s <> '' AND ({_m(p.FLOW_WORD)} OR (starts_with(line, '    ') AND {_WORDS} <= 10) OR (length(s) <= 100 AND {_WORDS} <= 6 AND ({_m(p.CONTINUATION)} OR (regexp_matches(s, '^[\"'']') AND regexp_matches(s, '[\"'']$'))))))"
 
+_STRUCTURAL = f"(s = '' OR regexp_matches(s, '^[#|>\\-*•<]|^```') OR {_m(p.NUMBERED)} OR {_STRONG})"
+_ITEM = f"(s <> '' AND length(s) <= 120 AND NOT regexp_matches(s, '^[#|>\\-*•]|^```') AND NOT regexp_matches(s, '[.!?:]$') AND NOT {_STRONG})"
+
 
 @query(lines_sql("code", "chapters", "print", "wrapped", "bullets") + f""", s AS (SELECT *, {_S} AS s FROM marked),
-q AS (SELECT doc_id, {_STRONG} AS strong, {_WEAK} AS weak, s = '' OR regexp_matches(s, '^[#|>\\-*•<]|^```') OR {_m(p.NUMBERED)} OR {_STRONG} AS structural,
-  s <> '' AND length(s) <= 120 AND NOT regexp_matches(s, '^[#|>\\-*•]|^```') AND NOT regexp_matches(s, '[.!?:]$') AND NOT {_STRONG} AS item FROM s)
+q AS (SELECT doc_id, {_STRONG} AS strong, {_WEAK} AS weak, {_STRUCTURAL} AS structural, {_ITEM} AS item FROM s)
 SELECT doc_id, count(*) AS n_lines, {", ".join(f"count(CASE WHEN {c} THEN 1 END) AS n_{c}" for c in ("strong", "weak", "structural", "item"))} FROM q GROUP BY doc_id""")
 def code_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.col("line")
