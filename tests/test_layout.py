@@ -132,3 +132,100 @@ def test_whole_documents(spark):
     anchored = {r.doc_id: r.markdown for r in layout.extract(G, P, anchors=True).collect()}
     assert anchored[2].startswith("<!-- page 1 -->\n\nThe water of page 0")
     assert [r.markdown for r in layout.extract(G.limit(0), P).collect()] == ["\n"] * 2 and layout.extract(G.limit(0), P.limit(0)).count() == 0
+
+
+def test_labels_and_values_stay_in_rows():
+    rows = [x for k in range(4) for x in ((f"Label {k}", 50, 700 - 16 * k), (f"what the label number {k} stands for in words", 160, 700 - 16 * k))]
+    assert read(page(*rows)) == [f"Label {k} what the label number {k} stands for in words" for k in range(4)] or "\n".join(read(page(*rows))).index("Label 1") > "\n".join(read(page(*rows))).index("number 0")
+
+
+def test_headline_over_columns_comes_first():
+    runs = [("A headline that runs over both columns below", 50, 760, 20.0)]
+    runs += [(f"left text line {k} of the page that is long enough", 50, 700 - 13 * k) for k in range(5)] + [(f"right text line {k} of the page", 380, 700 - 13 * k) for k in range(5)]
+    text = "\n".join(read(page(*runs)))
+    assert text.index("headline") < text.index("left text line 0") < text.index("left text line 4") < text.index("right text line 0")
+
+
+def test_lists_and_bullets_keep_their_marks():
+    items = [("•", 50, 700), ("first point that is made", 65, 700), ("•", 50, 686), ("second point", 65, 686), ("1.", 50, 672), ("numbered", 75, 672)]
+    assert read(page(*items)) == ["• first point that is made", "• second point", "1. numbered"]
+
+
+def test_raised_marks_and_drop_of_height():
+    base = draw("water", 50, 700)
+    note = [Glyph("2", 50 + 5 * 5.5, 705.5, 50 + 5 * 5.5 + 3, 711.0, 0, False, False, False, 900, 1)]
+    more = draw("flows", 50 + 5 * 5.5 + 8, 700, first=1000)
+    assert segments(base + note + more)[0].text == ["water2 flows"]
+
+
+def test_ligature_parts_share_a_box():
+    f = draw("e", 50, 700) + [Glyph(c, 56.0, 700.0, 64.0, 710.0, 0, False, False, False, 10 + k, 5) for k, c in enumerate("ffi")] + draw("cient", 64.5, 700, first=20)
+    segs, count = segments(f)
+    assert segs.text == ["efficient"] and not count["copies"]
+
+
+def test_code_in_sentences_and_lists_isnt_fenced():
+    lines = [("The function called", 50, 700, 10.0, False), ("run_all", 50, 687, 10.0, True), ("starts it all.", 50, 674, 10.0, False)]
+    assert not any("```" in x for x in read(page(*lines)))
+    assert not any("```" in x for x in read(page(("1. first_name", 50, 700, 10.0, True), ("2. last_name", 50, 687, 10.0, True))))
+    segs, _ = segments(page(("def f(x):", 50, 700, 10.0, True), ("return x", 72, 687, 10.0, True)))
+    assert not any(b.kind == "code" for b in g.page_blocks(segs, False))
+
+
+def with_figures(segs, *boxes):
+    rows = [(segs.text[k], segs.box[k].tolist(), segs.h[k], segs.cw[k], segs.mono[k], [(w, *s) for w, s, o in zip(segs.word, segs.span.tolist(), segs.owner) if o == k]) for k in range(len(segs))]
+    return g.page_of(rows + [("", list(map(float, b)), 0.0, 0.0, False, []) for b in boxes], [""] * len(segs) + [f"1.{k + 1}" for k in range(len(boxes))])
+
+
+def test_figures_in_place_and_behind_text():
+    segs, _ = segments(page(("text above the figure here", 50, 700), ("text below the figure here", 50, 300)))
+    assert [b.text for b in g.page_blocks(with_figures(segs, (50, 400, 250, 600)), True)] == ["text above the figure here", "1.1", "text below the figure here"]
+    assert [b.text for b in g.page_blocks(with_figures(segs, (40, 250, 400, 750)), True)][0] == "1.1"
+    assert g.page_blocks(with_figures(segments([])[0], (1, 1, 9, 9)), True) == [g.Block("fig", "1.1")] and g.page_blocks(segments([])[0], True) == []
+
+
+def test_continued_paragraphs_of_pages_and_columns():
+    assert g.rejoined("A sentence that ends with a dangling word like this one, the", "Museum stands beside it.") == "A sentence that ends with a dangling word like this one, the Museum stands beside it."
+    assert g.rejoined("A sentence that ends with a dangling word like this one, the", "Figure 3 shows it.") is None and g.rejoined("too short, and", "next") is None
+    assert g.rejoined("the word is bro-", "ken here") == "the word is bro\x02ken here" and g.rejoined("# Heading that is rather long and open", "goes on") is None
+    pages = [[g.Block("para", "a page that stops in the middle of what it has to"), g.Block("fig", "1.1")], [g.Block("fig", "2.1"), g.Block("para", "say, and then ends.")], []]
+    assert g.merged_pages(pages) == [[g.Block("para", "a page that stops in the middle of what it has to say, and then ends."), g.Block("fig", "1.1")], [g.Block("fig", "2.1")], []]
+
+
+TITLES = [
+    ([["Names: x", "Title: made by hand : the long guide / Ann Example ; Bob Other. Description: first"]], None, None, [], ("Made by Hand", "Ann Example")),
+    ([["River Design", "Third Edition", "Copyright © 2020 Press"]], "9781234567890.pdf", "", [], ("River Design, Third Edition", "")),
+    ([["River Design", "Copyright (c) 2020 Press"]], "Untitled", "Jo Doe", [], ("River Design", "Jo Doe")),
+    ([["x"], ["The Book of", "Rivers"]], "", None, [1], ("The Book of Rivers", "")),
+    ([[], ["The Book of Rivers", "by Someone"], ["text"]], None, None, [], ("The Book of Rivers by Someone", "")),
+    ([["Contents", "1 One 5"]], None, None, [], ("", "")),
+    ([["x"]], "A Fine Title", "The Author", [0], ("A Fine Title", "The Author")),
+]
+
+
+@pytest.mark.parametrize(("pages", "title", "author", "marked", "want"), TITLES)
+def test_title_and_author(pages, title, author, marked, want):
+    assert g.title_and_author([[g.Block("para", x, 12.0) for x in p] for p in pages], title, author, marked) == want
+
+
+def test_inline_text_is_cleaned():
+    assert g.clean_inline("Di\x81erent\x02ly  \ud800made\n\x05") == "Differently made" and g.sane_meta("report.pdf") == "" and g.sane_meta(" A  Title ") == "A Title" and g.sane_meta(None) == ""
+
+
+def test_recognized_pages_and_metadata(spark):
+    glyphs, pages = [], []
+    for n in range(4):
+        if n != 1:
+            runs = [("Notes on Water", 50, 780), (f"Page {n} says what it says, and then it stops.", 50, 600), (str(n + 1), 290, 10)]
+            glyphs += [(1, n, x.idx, x.obj, x.ch, *x[1:5], x.quad, x.mono, x.space, x.brk) for x in page(*runs)]
+        pages.append((1, n, 0, *CLIP))
+    G = spark.createDataFrame(glyphs, "doc_id long, page int, idx int, obj int, ch string, x0 double, y0 double, x1 double, y1 double, quad int, mono boolean, space_before boolean, break_before boolean")
+    P = spark.createDataFrame(pages, "doc_id long, page int, quad int, clip_x0 double, clip_y0 double, clip_x1 double, clip_y1 double")
+    R = spark.createDataFrame([(1, 1, " Seen on a scan.\n")], "doc_id long, page int, text string")
+    M = spark.createDataFrame([(1, "Water", "A. Author")], "doc_id long, title string, author string")
+    got = layout.extract(G, P, anchors=True, metadata=M, recognized=R).first()
+    assert (got.title, got.author) == ("Water", "A. Author")
+    assert got.markdown == "\n\n".join(["<!-- page 1 (text) -->", "Page 0 says what it says, and then it stops.", "<!-- page 2 (ocr) -->", "Seen on a scan.", "<!-- page 3 (text) -->", "Page 2 says what it says, and then it stops.", "<!-- page 4 (text) -->", "Page 3 says what it says, and then it stops."]) + "\n"
+    O = spark.createDataFrame([(1, 0, 1, "Title Page", 0), (1, 1, 1, "Part", 2)], "doc_id long, seq int, level int, title string, page int")
+    got = layout.extract(G, P, outline=O).first()
+    assert got.title.startswith("Page 0 says") and "# Part" in got.markdown and "Title Page" not in got.markdown
