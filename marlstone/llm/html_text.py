@@ -13,8 +13,9 @@ open elements, the text, and the cells of open tables.
 
 Defined cases: a null or empty html gives an empty text; broken markup is
 closed at the end; a table cell keeps to its columns over the rows that it spans,
-within its row group, and wide characters take two columns; style sheets aren't
-read, only style attributes are, so what a sheet hides comes out; rows with equal or null page_id are pages of their own.
+within its row group, and wide characters take two columns; style sheets in the
+page count where a selector is an element, classes, an id, or these together, and
+outside at-rules, so that what other rules hide comes out; rows with equal or null page_id are pages of their own.
 """
 
 from __future__ import annotations
@@ -69,7 +70,7 @@ _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""
 _RAW_END = {k: re.compile(rf"</{k}(?=[\s/>])[^>]*>", re.IGNORECASE) for k in RAW}
 _SPAN = re.compile(r"\s*\+?(\d{1,9})")
 _BLANK = re.compile(r"[ \t\n\r\f]+")
-_UNSHOWN = re.compile(r"display\s*:\s*none", re.IGNORECASE)
+_DISPLAY = re.compile(r"display\s*:\s*([\w-]+)", re.IGNORECASE)
 _VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.IGNORECASE)
 
 
@@ -80,6 +81,49 @@ def attributes(source: str) -> dict[str, str]:
     return out
 
 
+_HTML_COMMENT = re.compile(r"<!--.*?(?:-->|$)", re.DOTALL)
+_SHEET = re.compile(r"<style\b([^>]*)>(.*?)(?:</style|$)", re.DOTALL | re.IGNORECASE)
+_AT_RULE = re.compile(r"/\*.*?\*/|@[^{};]*(?:;|\{(?:[^{}]|\{[^{}]*\})*\})", re.DOTALL)
+_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_SELECTOR = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)")
+
+
+class Sheets:
+    """What a page's style sheets say of display and visibility, by the name, class or id that a rule needs."""
+
+    def __init__(self, html: str):
+        self.rules: dict[str, list[tuple]] = {}
+        if "<style" not in html and "<STYLE" not in html:
+            return
+        for n, (tag, source) in enumerate(_SHEET.findall(_HTML_COMMENT.sub("", html))):
+            if attributes(tag).get("media", "all").strip().lower() not in ("", "all", "screen"):
+                continue
+            for k, (selectors, body) in enumerate(_RULE.findall(_AT_RULE.sub(" ", source))):
+                said = [m[-1].lower() if (m := p.findall(body)) else None for p in (_DISPLAY, _VISIBILITY)]
+                if any(said):
+                    for selector in selectors.split(","):
+                        self.add(selector.strip(), (n, k), said)
+
+    def add(self, selector: str, order: tuple, said: list[str | None]) -> None:
+        m = _SELECTOR.fullmatch(selector)
+        if not m or not selector:
+            return
+        name = (m[1] or "*").lower()
+        marks = re.findall(r"[.#][\w-]+", m[2])
+        ids = sum(x[0] == "#" for x in marks)
+        weight = (ids, len(marks) - ids, name != "*", *order)
+        self.rules.setdefault(marks[0] if marks else name, []).append((weight, name, frozenset(marks), said))
+
+    def look(self, name: str, attrs: dict[str, str]) -> tuple[str | None, str | None]:
+        """Display and visibility of an element; the weightiest rule decides each."""
+        marks = {f".{c}" for c in attrs.get("class", "").split()} | ({f"#{attrs['id'].strip()}"} if attrs.get("id") else set())
+        found = [r for key in (name, "*", *marks) for r in self.rules.get(key, ()) if r[1] in ("*", name) and r[2] <= marks]
+        display = visibility = None
+        for _, _, _, said in sorted(found, key=lambda r: r[0]):
+            display, visibility = said[0] or display, said[1] or visibility
+        return display, visibility
+
+
 class Flow:
     """Lines of text; a table cell has one of its own."""
 
@@ -217,7 +261,8 @@ class Table:
 class Renderer:
     """The stack of open elements, and what they render to."""
 
-    def __init__(self):
+    def __init__(self, html: str = ""):
+        self.sheets = Sheets(html)
         self.flow = Flow()
         self.flows: list[Flow] = []
         self.tables: list[Table] = []
@@ -280,15 +325,19 @@ class Renderer:
     def enter(self, name: str, attrs: dict[str, str]) -> None:
         _, shown, visible, _ = self.stack[-1] if self.stack else ("", True, True, None)
         style = attrs.get("style", "")
+        display, visibility = self.sheets.look(name, attrs) if self.sheets.rules else (None, None)
+        if style:
+            display = m[-1].lower() if (m := _DISPLAY.findall(style)) else display
+            visibility = m[-1].lower() if (m := _VISIBILITY.findall(style)) else visibility
         if shown:
-            if name in UNSEEN or "hidden" in attrs or style and _UNSHOWN.search(style) or name == "dialog" and "open" not in attrs:
+            if name in UNSEEN or "hidden" in attrs or display == "none" or name == "dialog" and "open" not in attrs:
                 shown = False
             elif (name in FOREIGN_UNSEEN or attrs.get("display") == "none") and self.foreign() >= 0:
                 shown = False
             elif name != "summary" and self.stack and self.stack[-1][0] == "details" and self.stack[-1][3] == "closed":
                 shown = False
-        if style and (m := _VISIBILITY.search(style)):
-            visible = m[1].lower() == "visible"
+        if visibility:
+            visible = visibility == "visible"
         undo: object = None
         flow = self.flow
         if shown:
@@ -441,7 +490,7 @@ class Renderer:
 
 
 def render(html: str | None) -> str:
-    return Renderer().feed(html) if html else ""
+    return Renderer(html).feed(html) if html else ""
 
 
 def renderer(batches):

@@ -15,3 +15,16 @@ CASES = [
 @pytest.mark.parametrize(("html", "text"), CASES)
 def test_html_text(html, text):
     assert html_text.render(html) == text
+
+
+SHEETS = [
+    ("<style>.gone{display:none} p{margin:0}</style><p class='a gone'>x<p>y", "y"), ("<style>div.gone, #z{display:none}</style><p class=gone>x<div class=gone>y</div><b id=z>z</b>", "x"),
+    ("<style>.a{display:none}</style><p class=a style='display:block'>x", "x"), ("<style>.a.b{display:none}.b{display:block}</style><p class='a b'>x<p class=b>y", "y"),
+    ("<style>.a{display:none}#k{display:inline}</style><p class=a id=k>x", "x"), ("<style media=print>p{display:none}</style><p>x", "x"), ("<style>@media print{p{display:none}} /* p{display:none} */ nav p{display:none}</style><p>x", "x"),
+    ("<!-- <style>p{display:none}</style> --><p>x", "x"), ("<style>i{visibility:hidden}b{visibility:visible}</style><i>x<b>y</b></i>", "y"), ("<p class=late>x</p><style>.late{display:none}</style>y", "y"),
+]
+
+
+@pytest.mark.parametrize(("html", "text"), SHEETS)
+def test_style_sheets(html, text):
+    assert html_text.render(html) == text
