@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.storage import Scratch
@@ -30,6 +30,24 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def running(rows: DataFrame, scratch: Scratch, name: str, order: list, sums: dict) -> DataFrame:
+    """``rows`` with, for each name in ``sums``, the sum of its column over all rows that come before.
+
+    Rows are put into ranges of the order once and written so; sums within the
+    ranges and over them, whose number is that of shuffle partitions, make up the
+    whole, so that no task sorts all rows.
+    """
+    part, *temp = fresh(rows, "part", *(f"off_{k}" for k in sums))
+    ranged = scratch.keep(rows.repartitionByRange(partitions(rows.sparkSession), *order).withColumn(part, F.spark_partition_id()), name)
+    held = ranged.groupBy(part).agg(*[F.sum(c).alias(k) for k, c in zip(temp, sums.values())])
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    until = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = held.select(part, *[zero(F.sum(k).over(until(Window.orderBy(part)))).alias(k) for k in temp])
+    inside = until(Window.partitionBy(part).orderBy(*order))
+    out = ranged.withColumns({k: zero(F.sum(c).over(inside)) for k, c in sums.items()}).join(F.broadcast(offsets), part)
+    return out.withColumns({k: F.col(k) + F.col(t) for k, t in zip(sums, temp)}).drop(part, *temp)
+
+
 #: Rounds whose maps are composed in one plan.
 FOLDED = 4
 

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import WORD, fresh
+from marlstone.llm.common import WORD, fresh, running
 from marlstone.storage import Scratch
 
 WEIGHTS = (3, 1, 2)
@@ -44,29 +44,24 @@ def ticket(seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
 
 
-def targets(per: DataFrame, weights: tuple[int, ...] = WEIGHTS, total_percent: int = TOTAL_PERCENT, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """source, source_size and target, from source and source_size; the windows run over sources, not documents."""
-    place = Window.orderBy(F.col("source").asc_nulls_last())
-    row = per.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(place) - 1, F.lit(len(weights))) + 1).cast("int")))
-    row = row.withColumn("cap", (F.col("source_size") * max_epochs).cast("double"))
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    by_level = Window.orderBy("level", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    row = row.withColumn("level", F.col("cap") / F.col("weight")).withColumns({
-        "whole": F.sum("source_size").over(everything) * F.lit(total_percent) / F.lit(100.0),
-        "weights": F.sum("weight").over(everything),
-        "capped": F.coalesce(F.sum("cap").over(by_level), F.lit(0.0)),
-        "done": F.coalesce(F.sum("weight").over(by_level), F.lit(0.0)),
-    })
+def targets(per: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS, total_percent: int = TOTAL_PERCENT, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """source, source_size and target, from source and source_size; running sums over sources, in ranges, so that there may be many."""
+    by_name = F.col("source").asc_nulls_last()
+    row = running(per, scratch, "places", [by_name], {"place": F.lit(1)})
+    row = row.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("place"), F.lit(len(weights))) + 1).cast("int")))
+    row = row.withColumn("cap", (F.col("source_size") * max_epochs).cast("double")).withColumn("level", F.col("cap") / F.col("weight"))
+    row = running(row, scratch, "levels", [F.col("level"), by_name], {"capped": F.col("cap"), "done": F.col("weight")})
     # the level at which the rest would be shared if exactly the sources before this one were full
-    row = row.withColumn("share", (F.col("whole") - F.col("capped")) / (F.col("weights") - F.col("done")))
-    row = row.withColumn("water", F.min(F.when(F.col("share") <= F.col("level"), F.struct("level", "share"))).over(everything)["share"])
-    return row.select("source", "source_size", F.least("cap", F.coalesce(F.col("weight") * F.col("water"), F.col("cap"))).alias("target"))
+    whole = row.agg(F.sum("source_size") * F.lit(total_percent) / F.lit(100.0)).scalar()
+    row = scratch.keep(row.withColumn("share", (whole - F.col("capped")) / (row.agg(F.sum("weight")).scalar() - F.col("done"))), "shares")
+    water = row.where("share <= level").agg(F.min(F.struct("level", "share"))["share"]).scalar()
+    return row.select("source", "source_size", F.least("cap", F.coalesce(F.col("weight") * water, F.col("cap"))).alias("target"))
 
 
 def plan(rows: DataFrame, scratch: Scratch, weights: tuple[int, ...], total_percent: int, max_epochs: int) -> DataFrame:
     """For each source of rows(source, size, ticket): source_size, target, whole (repetitions of every document), cut (last digest that is taken once more)."""
     per = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goal = targets(per, weights, total_percent, max_epochs)
+    goal = targets(scratch.keep(per, "per"), scratch, weights, total_percent, max_epochs)
     goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     goal = scratch.keep(goal.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "goal")
 

@@ -33,10 +33,10 @@ import re
 import uuid
 import zlib
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import partitions
+from marlstone.llm.common import partitions, running
 from marlstone.storage import Scratch
 
 MIN_REVISIT = 1000
@@ -162,15 +162,11 @@ def shard_bounds(facts: DataFrame, scratch: Scratch, shard_bytes: int) -> DataFr
     ranges give each record's exact place in the whole.
     """
     keys = ["page_id", "digest", "url"]
-    ranged = facts.select(*keys, (F.col("size") + RECORD_BYTES).alias("size")).repartitionByRange(partitions(facts.sparkSession), *keys)
-    ranged = scratch.keep(ranged.withColumn("part", F.spark_partition_id()), "ranged")
-    parts = ranged.groupBy("part").agg(F.sum("size").alias("held"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("part", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("before"), F.sum("held").over(Window.partitionBy()).alias("whole"))
-    inside = Window.partitionBy("part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranged.withColumn("at", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(F.broadcast(parts), "part")
-    n = F.least(F.ceil(F.col("whole") / F.lit(shard_bytes)), F.lit(MAX_SHARDS))
-    shard = F.floor((F.col("at") + F.col("before")) / F.ceil(F.col("whole") / n))
+    sized = facts.select(*keys, (F.col("size") + RECORD_BYTES).alias("size"))
+    placed = running(sized, scratch, "ranged", keys, {"at": F.col("size")})
+    whole = facts.agg(F.sum(F.col("size") + RECORD_BYTES)).scalar()
+    n = F.least(F.ceil(whole / F.lit(shard_bytes)), F.lit(MAX_SHARDS))
+    shard = F.floor(F.col("at") / F.ceil(whole / n))
     firsts = placed.groupBy(shard.alias("shard")).agg(F.min(F.struct(*keys)).alias("key")).where("shard > 0")
     return firsts.agg(F.sort_array(F.collect_list("key")).alias("bounds"))
 
