@@ -12,7 +12,7 @@ from marlstone.functions import text as t
 from marlstone.operators import guards, quality, routing, transcripts
 from marlstone.plans import reading
 from marlstone.plans.noisy import noisy_sql
-from marlstone.queries import _INCIDENTS_SQL, _ITEM, _SLUG, _STRUCTURAL, lines_sql, lit
+from marlstone.queries import _INCIDENTS_SQL, _ITEM, _SLUG, _STRONG, _STRUCTURAL, _WEAK, lines_sql, lit
 
 STRIPPED = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
@@ -250,10 +250,15 @@ SELECT doc_id, CASE WHEN length(slug) <= 40 THEN slug WHEN contains(substr(slug,
   CASE WHEN length({_SQUASH.format("replace(text, '|', chr(92) || '|')")}) <= 90 THEN {_SQUASH.format("replace(text, '|', chr(92) || '|')")} ELSE substr({_SQUASH.format("replace(text, '|', chr(92) || '|')")}, 1, 89) || '…' END AS cell,
   CASE WHEN length({strip("text")}) <= 160 THEN {strip("text")} ELSE substr({strip("text")}, 1, 159) || '…' END AS sample FROM g"""
 
-_NO_AHEAD = r"(?!java\.|javax\.|kotlin|android\.|org\.|com\.)"
-_SCORES = {k: count(f"(?m){r.pattern}") for k, r in p.LANGUAGES.items() if k != "python"}
-_SCORES["python"] = f"({count('(?m)' + p.LANGUAGES['python'].pattern.replace(_NO_AHEAD, ''))} - {count(chr(40) + '?m)^' + chr(92) + 's*import' + chr(92) + 's+(?:java' + chr(92) + '.|javax' + chr(92) + '.|kotlin|android' + chr(92) + '.|org' + chr(92) + '.|com' + chr(92) + '.)')})"
-LANGUAGE_GUESS = f"""WITH noisy AS ({noisy_sql("code")}), a AS (SELECT doc_id, {", ".join(f"{v} AS {k}" for k, v in _SCORES.items())}, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '\\s+$', '')), lambda x: x <> '') AS solid FROM noisy),
+def code_scores(text: str = "text") -> dict[str, str]:
+    """Counts of each language's signs; what only a look ahead could leave out is taken off again."""
+    out = {k: count(f"(?m){r.pattern}", text) for k, r in p.LANGUAGES.items()}
+    ahead = r"(?!java\.|javax\.|kotlin|android\.|org\.|com\.)"
+    out["python"] = f"({count('(?m)' + p.LANGUAGES['python'].pattern.replace(ahead, ''), text)} - {count(ahead.replace('(?!', '(?m)^' + chr(92) + 's*import' + chr(92) + 's+(?:'), text)})"
+    return out
+
+
+LANGUAGE_GUESS = f"""WITH noisy AS ({noisy_sql("code")}), a AS (SELECT doc_id, {", ".join(f"{v} AS {k}" for k, v in code_scores().items())}, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '\\s+$', '')), lambda x: x <> '') AS solid FROM noisy),
 b AS (SELECT *, coalesce(len([x FOR x IN solid IF regexp_matches(x, '[;{{}}]$')]) / nullif(len(solid), 0), 0.0::DOUBLE) AS c_share, list_sort([{", ".join(f"[-{k}, {i}]" for i, k in enumerate(p.LANGUAGES))}]) AS ranked FROM a)
 SELECT doc_id, {", ".join(p.LANGUAGES)}, c_share, CASE WHEN -ranked[1][1] >= greatest(1, -2 * ranked[2][1]) OR -ranked[1][1] >= 2 AND c_share >= {p.C_SHARE} THEN [{", ".join(map(lit, p.LANGUAGES))}][ranked[1][2] + 1] ELSE '' END AS language FROM b"""
 
@@ -298,6 +303,12 @@ SECTION_FETCH = recursive(chapters(lines_sql("chapters"), p.DEFAULT_TOKENS)) + f
 sf AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY section_no, k) - 1 AS INTEGER) AS section_no, md FROM fit)
 SELECT d.doc_id, w.n AS section_no, md AS markdown, CASE WHEN md IS NULL THEN 'MS-132' END AS error_code FROM documents d CROSS JOIN (SELECT unnest([1, 3])::INTEGER AS n) w LEFT JOIN sf ON d.doc_id = sf.doc_id AND w.n = section_no"""
 
+_LOCAL = p.TARGETS["Local LLM"]
+DOCUMENT_OUTLINES = scored("chapters").replace("WITH noisy", "WITH RECURSIVE noisy", 1) + "," + chapters(lines_sql("chapters"), _LOCAL).split("lines AS (", 1)[1].join(["lines AS (", ""]) + fitted(_LOCAL) + f""",
+of1 AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY section_no, k) - 1 AS i, CASE WHEN title = '' THEN '(document)' ELSE title END AS title, {TOKENS.format("md")} AS est FROM fit),
+of2 AS (SELECT doc_id, list({{'index': i, 'title': title, 'est_tokens': est}} ORDER BY i) AS listed FROM of1 GROUP BY doc_id)
+SELECT noisy.doc_id, {titled("'document'")} AS title, {TOKENS.format("noisy.text")} AS est_tokens, score, CAST(to_json(listed) AS VARCHAR) AS sections FROM noisy JOIN scored ON noisy.doc_id = scored.doc_id JOIN of2 ON noisy.doc_id = of2.doc_id"""
+
 _ROOM = p.CHARS_PER_TOKEN * (500 + 1)
 PACKED_PARTS = recursive(chapters(lines_sql("chapters", "images", "fence"), 500)) + fitted(500) + rf""",
 ka AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY section_no, k) AS i, starts_with(md, '#') AND len([x FOR x IN string_split(md, chr(10))[2:] IF NOT regexp_full_match(x, '\s*(<!--.*?-->)?\s*')]) = 0 AS bare FROM fit),
@@ -347,8 +358,48 @@ wr AS (SELECT doc_id, 2 AS at_line, []::VARCHAR[] AS done, ls[1] AS before, owns
     FROM (SELECT wr.*, ls[at_line] AS line, owns[at_line] AS own, codes[at_line] AS code, regexp_replace(before, '\s+$', '') AS a, regexp_replace(ls[at_line], '^\s+', '') AS b FROM wr JOIN wl ON wr.doc_id = wl.doc_id WHERE at_line <= n)))
 SELECT wr.doc_id, array_to_string(list_append(done, before), chr(10)) AS text, CAST(fixed AS BIGINT) AS n FROM wr JOIN wl ON wr.doc_id = wl.doc_id WHERE at_line > n"""
 
+def scored_code(text: str) -> str:
+    """Columns of language scores, by name, of a text column."""
+    return ", ".join(f"{v} AS {k}" for k, v in code_scores(text).items())
+
+
+def code_share(text: str) -> str:
+    solid = rf"list_filter(list_transform(string_split({text}, chr(10)), lambda x: regexp_replace(x, '\s+$', '')), lambda x: x <> '')"
+    return f"coalesce(len([x FOR x IN {solid} IF regexp_matches(x, '[;{{}}]$')]) / nullif(len({solid}), 0), 0.0::DOUBLE)"
+
+
+_RANKED = f"list_sort([{', '.join(f'[-{k}, {i}]' for i, k in enumerate(p.LANGUAGES))}])"
+_LEADER = f"CASE WHEN -ranked[1][1] >= greatest(1, -2 * ranked[2][1]) OR -ranked[1][1] >= 2 AND c_share >= {p.C_SHARE} THEN [{', '.join(map(lit, p.LANGUAGES))}][ranked[1][2] + 1] ELSE '' END"
+_CODED = rf"""
+cs AS (SELECT *, {strip("line")} AS s FROM marked),
+cf AS (SELECT *, {_STRONG} AS strong, {_STRONG} OR {_WEAK} AS codeish, s = '' AS blank FROM cs)"""
+
+CODE_FENCING = lines_sql("code") + f""",{_CODED},
+cp AS (SELECT *, last_value(CASE WHEN codeish THEN pos END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prv, lag(blank) OVER (PARTITION BY doc_id ORDER BY pos) AS after_blank FROM cf),
+cc AS (SELECT *, sum(CASE WHEN codeish AND NOT coalesce(prv = pos - 1 OR prv = pos - 2 AND after_blank, false) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS chain FROM cp),
+cr AS (SELECT doc_id, min(CASE WHEN strong AND NOT in_code THEN pos END) AS a, max(CASE WHEN codeish THEN pos END) AS b FROM cc GROUP BY doc_id, chain HAVING min(CASE WHEN strong AND NOT in_code THEN pos END) IS NOT NULL),
+ct AS (SELECT cr.doc_id, a, b, string_agg(line, chr(10) ORDER BY pos) AS code, count(CASE WHEN NOT blank THEN 1 END) AS n FROM cr JOIN cf ON cr.doc_id = cf.doc_id AND pos BETWEEN a AND b GROUP BY ALL HAVING count(CASE WHEN NOT blank THEN 1 END) >= {p.CODE_RUN}),
+cq AS (SELECT *, {_RANKED} AS ranked FROM (SELECT *, {scored_code("code")}, {code_share("code")} AS c_share FROM ct)),
+co AS (SELECT doc_id, pos, 1 AS sub, line FROM cf UNION ALL SELECT doc_id, a, 0, '```' || {_LEADER} FROM cq UNION ALL SELECT doc_id, b, 2, '```' FROM cq)
+SELECT doc_id, string_agg(line, chr(10) ORDER BY pos, sub) AS text, CAST(count(CASE WHEN sub = 0 THEN 1 END) AS BIGINT) AS n FROM co GROUP BY doc_id"""
+
+FENCE_REPAIR = lines_sql("code", "fence") + f""",{_CODED},
+fm AS (SELECT *, sum(CAST(is_fence AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos) AS m, sum(CAST(is_fence AS INTEGER)) OVER (PARTITION BY doc_id) AS marks FROM cf),
+fg AS (SELECT doc_id, m, count(CASE WHEN NOT blank AND NOT is_fence THEN 1 END) AS gap, bool_and(codeish OR blank OR is_fence) AS coded FROM fm GROUP BY doc_id, m),
+fd AS (SELECT fm.* EXCLUDE (m), coalesce(is_fence AND (fm.m % 2 = 0 AND g.gap BETWEEN 1 AND {p.FENCE_GAP} AND g.coded AND fm.m < marks OR fm.m % 2 = 1 AND h.gap BETWEEN 1 AND {p.FENCE_GAP} AND h.coded AND fm.m > 1), false) AS gone
+  FROM fm LEFT JOIN fg g ON fm.doc_id = g.doc_id AND fm.m = g.m LEFT JOIN fg h ON fm.doc_id = h.doc_id AND fm.m - 1 = h.m),
+fk AS (SELECT *, sum(CAST(is_fence AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos) AS m FROM fd WHERE NOT gone),
+fb AS (SELECT doc_id, m, count(CASE WHEN NOT is_fence AND NOT blank THEN 1 END) AS solid, count(CASE WHEN NOT is_fence AND blank THEN 1 END) AS blanks, coalesce(string_agg(CASE WHEN NOT is_fence AND NOT blank THEN line END, chr(10) ORDER BY pos), '') AS code FROM fk WHERE m % 2 = 1 AND marks >= 2 GROUP BY doc_id, m),
+fq AS (SELECT *, {_RANKED} AS ranked, solid >= 3 AND blanks >= solid - 1 AS tight FROM (SELECT *, {scored_code("code")}, {code_share("code")} AS c_share FROM fb)),
+fl AS (SELECT k.* EXCLUDE (m), k.m AS m, q.code, q.tight, q.blanks, {_LEADER} AS guess, python, greatest({", ".join(k for k in p.LANGUAGES if k != "python")}) AS others, c_share, trim(substr(s, 4)) AS label FROM fk k LEFT JOIN fq q ON k.doc_id = q.doc_id AND k.m = q.m),
+fo AS (SELECT *, CASE WHEN is_fence AND code IS NOT NULL AND m % 2 = 1 THEN regexp_extract(line, '^(\\s*)', 1) || '```' || CASE WHEN label NOT IN ('', 'python') THEN label WHEN guess <> '' THEN guess WHEN code <> '' AND (others > python OR python = 0 AND c_share >= {p.C_SHARE}) THEN '' ELSE label END ELSE line END AS out FROM fl WHERE NOT coalesce(tight AND blank AND NOT is_fence, false)),
+fn AS (SELECT doc_id, count(*) // 2 AS merged FROM fd WHERE gone GROUP BY doc_id), ft AS (SELECT doc_id, sum(blanks) AS tightened FROM fq WHERE tight GROUP BY doc_id),
+fx AS (SELECT doc_id, string_agg(out, chr(10) ORDER BY pos) AS text FROM fo GROUP BY doc_id)
+SELECT fx.doc_id, text, CAST(coalesce(merged, 0) + coalesce(tightened, 0) AS BIGINT) AS n FROM fx LEFT JOIN fn ON fx.doc_id = fn.doc_id LEFT JOIN ft ON fx.doc_id = ft.doc_id"""
+
 SQL = {
-    "hard_split": HARD_SPLIT, "packed_parts": PACKED_PARTS, "heading_promotion": HEADING_PROMOTION, "bullet_repair": BULLET_REPAIR, "wrap_join": WRAP_JOIN,
+    "code_fencing": CODE_FENCING, "fence_repair": FENCE_REPAIR,
+    "document_outlines": DOCUMENT_OUTLINES, "hard_split": HARD_SPLIT, "packed_parts": PACKED_PARTS, "heading_promotion": HEADING_PROMOTION, "bullet_repair": BULLET_REPAIR, "wrap_join": WRAP_JOIN,
     "figure_links": FIGURE_LINKS, "title_helpers": TITLE_HELPERS, "language_guess": LANGUAGE_GUESS, "summary_guard": SUMMARY_GUARD,
     "shadow_words": SHADOW_WORDS, "quality_score_by_lang": QUALITY_BY_LANG, "quality_reports": QUALITY_REPORTS, "chapter_split": CHAPTER_SPLIT, "section_fetch": SECTION_FETCH, "notebook_sources": NOTEBOOK_SOURCES,
     "book_manifests": BOOK_MANIFESTS, "book_files": BOOK_FILES, "book_indexes": BOOK_INDEXES, "notebook_files": NOTEBOOK_FILES, "model_chunks": MODEL_CHUNKS, "polish_guard": POLISH_GUARD, "code_guide": CODE_GUIDE,

@@ -395,7 +395,7 @@ def title_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def document_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reading.outlines(docs(spark, sf_dir, "chapters"), p.TARGETS["Local LLM"], "document")
+    return reading.outlines(docs(spark, sf_dir, "chapters"), p.TARGETS["Local LLM"], "document").withColumn("sections", F.to_json("sections"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 2000 THEN substr(text, 1, 2000) || E'\n\n---\n\n_(Truncated at 2,000 of ' || format('{:,}', length(text)) || ' characters. Read the rest by sections.)_' ELSE text END AS markdown FROM documents")
