@@ -235,3 +235,42 @@ def keep_good(docs: DataFrame) -> DataFrame:
     rows = Scratch(docs.sparkSession, "rules").keep(with_signals(docs, docs.columns, name), "signals")
     model = learn(rows, name)
     return rows.where(verdict(model, signals=name)["kept"]).drop(name)
+
+
+def sql() -> str:
+    """DuckDB's form of judge(), with posteriors to six places: the same counts by its own means, and the fit by recursion over vote patterns."""
+    word = r"[^\x20\x09-\x0D]+"
+
+    def vote(name: str, of: str | None, side: str, bad: int, good: int | None) -> str:
+        x, base = (name, "1") if of is None else (f"{name} * 100", of)
+        other = "<=" if side == ">" else ">="
+        good_case = "" if good is None else f" WHEN {x} {other} {base} * {good} THEN 1"
+        return f"CASE WHEN n_words = 0 THEN 0 WHEN {x} {side} {base} * {bad} THEN -1{good_case} ELSE 0 END"
+
+    names = [r[0] for r in RULES]
+    votes_ = ", ".join(f"CAST({vote(*r[1:])} AS INTEGER) AS vote_{r[0]}" for r in RULES)
+    start = "[" + ", ".join(str(float(x)) for _ in RULES for c in START_VOTES for x in c) + "]"
+    listed = "[" + ", ".join(f"vote_{n}" for n in names) + "]"
+    # the table of vote probabilities is a list: rule k, class c, vote x stand at 6k + 3c + x
+    chance = lambda v, t: " * ".join(f"{t}[{6 * k} + {{0}} + {v}[{k + 1}] + 2]" for k in range(len(RULES)))
+    good, bad = chance("v", "t").format(3), chance("v", "t").format(0)
+    return rf"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}') AS ws, row_number() OVER () AS rid FROM documents),
+g AS (SELECT rid, i, array_to_string(ws[i:i + 2], ' ') AS gram FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+twice AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, gram) AS n FROM g) WHERE n > 1),
+rep AS (SELECT rid, count(*) AS n FROM (SELECT DISTINCT rid, i + k AS at_word FROM twice, (SELECT unnest([0, 1, 2]) AS k)) GROUP BY rid),
+l AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '{word}') GROUP BY rid),
+c AS (SELECT w.rid, doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum([length(x) FOR x IN ws]), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+  coalesce(rep.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, CAST(len(regexp_extract_all(text, '[A-Z]')) AS BIGINT) AS n_upper, CAST(len(regexp_extract_all(text, '[A-Za-z]|[^\x00-\x7F]')) AS BIGINT) AS n_letters,
+  CAST(len(regexp_extract_all(text, '!')) AS BIGINT) AS n_shouts, CAST(len(list_distinct(ws)) AS BIGINT) AS n_distinct FROM w LEFT JOIN l ON w.rid = l.rid LEFT JOIN rep ON w.rid = rep.rid),
+d AS MATERIALIZED (SELECT * EXCLUDE (rid), {votes_} FROM c),
+p AS (SELECT {listed} AS v, CAST(count(*) AS DOUBLE) AS n FROM d GROUP BY 1),
+em AS (SELECT 0 AS round, {START_SHARE}::DOUBLE AS share, {start}::DOUBLE[] AS t
+  UNION ALL SELECT round + 1, greatest(0.01, least(0.99, (m[2] + {START_SHARE} * wt) / (total + wt))), list_transform(range(0, {6 * len(RULES)}), lambda j: (sums[j + 1] + wt * {start}[j + 1]) / (m[(j // 3) % 2 + 1] + wt))
+  FROM (SELECT round, {PRIOR} * total AS wt, total, [total - mass, mass] AS m, sums FROM (
+    SELECT round, (SELECT sum(n) FROM p) AS total, (SELECT sum(n * share * {good} / (share * {good} + (1 - share) * {bad})) FROM p) AS mass,
+      (SELECT list(x ORDER BY j) FROM (SELECT j, sum(CASE WHEN v[j // 6 + 1] = j % 3 - 1 THEN n * CASE WHEN (j // 3) % 2 = 1 THEN share * {good} ELSE (1 - share) * {bad} END / (share * {good} + (1 - share) * {bad}) ELSE 0 END) AS x FROM p, (SELECT unnest(range(0, {6 * len(RULES)})) AS j) GROUP BY j)) AS sums
+    FROM em WHERE round < {ROUNDS}))),
+f AS (SELECT share, t FROM em WHERE round = {ROUNDS}),
+z AS (SELECT d.*, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, share * {good} / (share * {good} + (1 - share) * {bad}) AS posterior FROM (SELECT *, {listed} AS v FROM d) d, f)
+SELECT * EXCLUDE (v, posterior, base_failed), base_failed, round(posterior, 6) AS posterior, NOT base_failed AND posterior >= {THRESHOLD} AS kept FROM z"""

@@ -53,7 +53,7 @@ def op6_cross_polytope_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op7_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(read(spark, sf_dir, "documents"))
+    return quality_rules.judge(read(spark, sf_dir, "documents")).withColumn("posterior", F.round("posterior", 6))
 
 
 def op8_sharded_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,5 +80,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_minhash_near_dedup": minhash.SQL, "op6_cross_polytope_near_dedup": embeddings.SQL,
-        "op2_water_filling_mix": mixing.SQL, "op8_sharded_warc": warc.SQL,
+        "op2_water_filling_mix": mixing.SQL, "op7_weak_supervision": quality_rules.sql(), "op8_sharded_warc": warc.SQL,
     }
