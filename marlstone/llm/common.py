@@ -62,7 +62,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str, seed: int = 1) ->
     however ids are laid out.  The maps are then composed from the last to the
     first, FOLDED of them at a time, and the smallest id of each group is found at
     the end.  Every round's tables are written to the shared folder, and no plan
-    grows with the number of rounds.
+    grows with the number of rounds; what is joined are tables and not aggregates,
+    so that joins can be split where one node has very many edges.
     """
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b")
     edges = scratch.keep(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-e0")
@@ -71,12 +72,12 @@ def components(edges: DataFrame, scratch: Scratch, name: str, seed: int = 1) ->
         k = len(maps)
         least = lambda c: F.min(F.struct(F.xxhash64(c, F.lit(seed), F.lit(k)).alias("h"), c))[c]  # noqa: E731,B023
         ends = edges.select(F.explode(F.array(*(F.struct(F.col(x).alias("node"), F.col(y).alias("to")) for x in "ab" for y in "ab"))).alias("e")).select("e.node", "e.to")
-        first = ends.groupBy("node").agg(least("to").alias("root")).withColumnRenamed("node", "to")
+        first = scratch.keep(ends.groupBy("node").agg(least("to").alias("root")).withColumnRenamed("node", "to"), f"{name}-p{k}")
         step = scratch.keep(ends.join(first, "to").groupBy("node").agg(least("root").alias("root")), f"{name}-m{k}")
         of = lambda x: step.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))  # noqa: E731,B023
         less = edges.join(of("a"), "a").join(of("b"), "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
         edges = scratch.keep(less, f"{name}-e{k + 1}")
-        scratch.drop(f"{name}-e{k}")
+        scratch.drop(f"{name}-e{k}", f"{name}-p{k}")
         maps.append(step)
     if not maps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -86,9 +87,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str, seed: int = 1) ->
         groups = maps[k].join(later, "root", "left").select("node", F.coalesce("root2", "root").alias("root"))
         if k and k % FOLDED == 0:
             groups = scratch.keep(groups, f"{name}-c{k}")
-    smallest = groups.groupBy("root").agg(F.min("node").alias("least"))
+    smallest = scratch.keep(groups.groupBy("root").agg(F.min("node").alias("least")), f"{name}-least")
     out = scratch.keep(groups.join(smallest, "root").select("node", F.col("least").alias("root")), f"{name}-out")
-    scratch.drop(f"{name}-e{len(maps)}", *[f"{name}-{x}{i}" for i in range(len(maps)) for x in "mc"])
+    scratch.drop(f"{name}-e{len(maps)}", f"{name}-least", *[f"{name}-{x}{i}" for i in range(len(maps)) for x in "mc"])
     return out
 
 
