@@ -655,3 +655,65 @@ def test_pipeline(spark, sf_dir):
     sets = [s for r in tables[1].collect() if (s := shingles(r.text))]
     assert not any(100 * len(a & b) >= 75 * len(a | b) for a, b in combinations(sets, 2) if a & b)
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(map(tuple, at.collect()))
+
+
+def test_pipeline_against_second_forms(spark, docs, tmp_path):
+    """Each stage on all that the one before kept, on a table with rows of every odd kind: by SQL, by brute force, and by the tokenizer."""
+    import corpus_pipeline
+
+    long = " ".join(f"{a}{b}" for a in "river stone bridge field cloud house road hill wind rain".split() for b in "abcdefgh")
+    rows = [(None, long + ". No id, first."), (None, long + ". No id, second."), (5077, f"Before it. {long} After it all."), (5078, f"{long} changed"), (5079, "Kept. " + " ".join(f"{w} and more" for w in long.split())), (5079, "Other row of one id. " + " ".join(f"a {w}" for w in long.split()))]
+    more = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string"), "n_chars": F.length("text").cast("long")})
+    docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(more).withColumns({"drop": F.lit("x"), "spans": F.lit(1), "__signals": F.lit(2), "times": F.lit(None).cast("int")}).write.parquet(f"{tmp_path}/documents.parquet")
+    tables = [read(spark, str(tmp_path), "documents")]
+    scratch = Scratch(spark, "t")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        tables.append(scratch.keep(stage(spark, tables[-1], str(tmp_path)), str(k)))
+    assert all(t.columns == tables[0].columns for t in tables[:-1])
+    paths = [f"{tmp_path}/documents.parquet/*.parquet", *(f"{scratch.path(str(k))}/*.parquet".replace("file:", "") for k in range(5))]
+
+    def sql(k, query):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{paths[k]}')")
+        cur = con.execute(query)
+        return [dict(zip([d[0] for d in cur.description], r)) for r in cur.fetchall()]
+
+    def ids(k):
+        return Counter(r.doc_id for r in tables[k].select("doc_id").collect())
+
+    # quality rules
+    assert ids(1) == Counter(r["doc_id"] for r in sql(0, quality_rules.sql()) if r["kept"])
+    # near-dedup: rows without doc_id stay
+    merged = {r["doc_id"]: r["kept"] for r in sql(1, minhash.SQL.replace("FROM documents)", "FROM documents WHERE doc_id IS NOT NULL AND doc_id <> 5079)", 1))}
+    assert ids(2) == Counter({i: n for i, n in ids(1).items() if i is None or i == 5079 or merged[i]}) and sum(ids(2).values()) < sum(ids(1).values())
+    # substring dedup
+    before = [(r.doc_id, r.text) for r in tables[2].collect()]
+    want = Counter()
+    for (i, t), found in zip(before, brute_cuts(before)):
+        kept, at = "", 0
+        for a, b, *_ in sorted(found):
+            kept, at = kept + t[at:a], b
+        kept += (t or "")[at:]
+        if not found or WORDS.search(kept):
+            want[i, kept if found else t] += 1
+    assert Counter((r.doc_id, r.text) for r in tables[3].collect()) == want and want != Counter(before)
+    # mixing
+    times = Counter()
+    for r in sql(3, mixing.SQL):
+        if r["size"]:
+            times[r["doc_id"]] += r["taken"]
+    taken = Counter()
+    for r in tables[4].collect():
+        taken[r.doc_id] += len(WORDS.findall(r.text or ""))
+    assert +times == +taken
+    # packing
+    bpe = tokens.tokenizer(tokens.VOCABULARY)
+    want = Counter()
+    for r in tables[4].collect():
+        ids_ = np.array([*bpe.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4")
+        want[r.doc_id] += len(ids_)
+    got = Counter()
+    for r in tables[5].collect():
+        got[r.doc_id] += r.length
+    assert got == want
+    assert Counter(r.length for r in corpus_pipeline.run(spark, str(tmp_path)).collect()).total() > 0
