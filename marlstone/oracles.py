@@ -397,7 +397,27 @@ fn AS (SELECT doc_id, count(*) // 2 AS merged FROM fd WHERE gone GROUP BY doc_id
 fx AS (SELECT doc_id, string_agg(out, chr(10) ORDER BY pos) AS text FROM fo GROUP BY doc_id)
 SELECT fx.doc_id, text, CAST(coalesce(merged, 0) + coalesce(tightened, 0) AS BIGINT) AS n FROM fx LEFT JOIN fn ON fx.doc_id = fn.doc_id LEFT JOIN ft ON fx.doc_id = ft.doc_id"""
 
+def adjacent_pairs(text: str, n: int) -> str:
+    """Whether n doubled letters follow each other somewhere in a text."""
+    pair = "|".join(c + c for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+    return f"regexp_matches({text}, '(?:{pair}){{{n}}}')"
+
+
+SHADOW_REPAIR = lines_sql("print") + rf""",
+sn AS (SELECT doc_id FROM noisy WHERE {adjacent_pairs("text", 3)}),
+st AS (SELECT m.doc_id, pos, regexp_extract(line, '^(\s*)', 1) AS indent, string_split_regex({strip("line")}, '\s+') AS toks FROM marked m JOIN sn ON m.doc_id = sn.doc_id WHERE NOT in_code AND regexp_matches(line, '\S') AND {adjacent_pairs("line", 2)}),
+su AS (SELECT doc_id, pos, indent, len(toks) AS n_toks, unnest(range(1, len(toks) + 1)) AS i, unnest(toks) AS tok FROM st),
+sv AS (SELECT *, {doubled("tok")} AS dbl, {doubled("tok")} OR length(tok) = 2 AND tok[1] = tok[2] AS paired, {half("tok")} AS h1 FROM su),
+sw AS (SELECT *, {half("h1")} AS h2 FROM sv), sx AS (SELECT *, {half("h2")} AS h FROM sw),
+sy AS (SELECT *, sum(CASE WHEN paired THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, pos ORDER BY i) AS run, regexp_matches(regexp_replace(lower(h), '[acgtu]', '', 'g'), '\p{{L}}') AND NOT regexp_full_match(h, '[0-9A-Fa-f]+') AND regexp_matches(lower(h), '[aeiouy]') AND regexp_matches(regexp_replace(lower(h), '[aeiouy]', '', 'g'), '\p{{L}}') AS wordlike,
+  len(list_filter(range(0, length(tok) // 2), lambda k: regexp_matches(substr(tok, 2 * k + 1, 1), '[A-Za-z]') AND substr(tok, 2 * k + 1, 1) = substr(tok, 2 * k + 2, 1))) AS pairs FROM sx),
+sz AS (SELECT doc_id, pos, run, min(CASE WHEN dbl AND regexp_matches(tok, '[A-Za-z]') THEN i END) AS first FROM sy WHERE paired GROUP BY ALL),
+ta AS (SELECT y.doc_id, y.pos, y.run, first, max(CASE WHEN i = first AND wordlike AND pairs >= CASE WHEN n_toks = 1 THEN 3 ELSE 4 END THEN 1 ELSE 0 END) = 1 OR count(CASE WHEN dbl AND wordlike THEN 1 END) >= 2 AS mend FROM sy y JOIN sz z ON y.doc_id = z.doc_id AND y.pos = z.pos AND y.run = z.run WHERE paired AND i >= first GROUP BY ALL),
+tb AS (SELECT y.doc_id, y.pos, indent || string_agg(CASE WHEN coalesce(mend, false) AND paired AND i >= first THEN CASE WHEN length(tok) = 2 THEN tok[1] ELSE h END ELSE tok END, ' ' ORDER BY i) AS line, count(CASE WHEN mend AND paired AND i >= first THEN 1 END) AS n FROM sy y LEFT JOIN ta ON y.doc_id = ta.doc_id AND y.pos = ta.pos AND y.run = ta.run GROUP BY y.doc_id, y.pos, indent)
+SELECT m.doc_id, string_agg(CASE WHEN coalesce(n, 0) > 0 THEN tb.line ELSE m.line END, chr(10) ORDER BY m.pos) AS text, CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM marked m LEFT JOIN tb ON m.doc_id = tb.doc_id AND m.pos = tb.pos GROUP BY m.doc_id"""
+
 SQL = {
+    "shadow_repair": SHADOW_REPAIR,
     "code_fencing": CODE_FENCING, "fence_repair": FENCE_REPAIR,
     "document_outlines": DOCUMENT_OUTLINES, "hard_split": HARD_SPLIT, "packed_parts": PACKED_PARTS, "heading_promotion": HEADING_PROMOTION, "bullet_repair": BULLET_REPAIR, "wrap_join": WRAP_JOIN,
     "figure_links": FIGURE_LINKS, "title_helpers": TITLE_HELPERS, "language_guess": LANGUAGE_GUESS, "summary_guard": SUMMARY_GUARD,
