@@ -13,26 +13,27 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from marlstone.functions import text as t
+from marlstone.operators import routing
 
 # --- fixed values: texts for empty results, and the keys of a layout server's reply ----------
 NO_TEXT = "_(No text detected in image.)_"
 REPLY_KEYS = ("md_content", "markdown", "md", "content")
 
 
-def called(rows: DataFrame, call: Callable[..., str | None], arguments: Sequence[str], name: str = "result", error: str = "error") -> DataFrame:
-    """Adds what ``call`` gives for the named columns of each row, and why it gave nothing; the argument columns go."""
+def called(rows: DataFrame, call: Callable[..., Any], arguments: Sequence[str], name: str = "result", error: str = "error", binary: bool = False) -> DataFrame:
+    """Adds the text, or bytes, that ``call`` gives for the named columns of each row, and why it gave nothing; the argument columns go."""
     kept = [c for c in rows.columns if c not in arguments]
     rows = rows.select(*kept, *arguments)
-    schema = StructType([*[rows.schema[c] for c in kept], StructField(name, StringType()), StructField(error, StringType())])
+    schema = StructType([*[rows.schema[c] for c in kept], StructField(name, BinaryType() if binary else StringType()), StructField(error, StringType())])
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            results: list[str | None] = []
+            results: list[Any] = []
             errors: list[str | None] = []
             given = [batch.column(len(kept) + k) for k in range(len(arguments))]
             for i in range(batch.num_rows):
@@ -42,11 +43,20 @@ def called(rows: DataFrame, call: Callable[..., str | None], arguments: Sequence
                 except Exception as e:  # the row's failure, not the task's
                     results.append(None)
                     errors.append(f"{type(e).__name__}: {e}")
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(results, pa.string()), pa.array(errors, pa.string())], names=[*kept, name, error])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(results, pa.binary() if binary else pa.string()), pa.array(errors, pa.string())], names=[*kept, name, error])
 
     return rows.mapInArrow(run, schema)
 
 
+def downloaded(urls: DataFrame, fetch: Callable[[str], bytes]) -> DataFrame:
+    """(url, suffix, content, error_code) of urls(url): MS-131 for what may not be fetched or is too large, MS-130 where fetching failed."""
+    rows = urls.select("url", routing.url_suffix(F.col("url")).alias("suffix"), routing.url_guard(F.col("url"), F.lit(0)).alias("barred"))
+    got = called(rows.where("barred is null").withColumn("address", F.col("url")), fetch, ["address"], "content", binary=True)
+    got = got.withColumn("error_code", F.when(F.col("error").isNotNull() | F.col("content").isNull(), "MS-130").when(F.octet_length("content") > routing.URL_BYTES, "MS-131"))
+    got = got.select("url", "suffix", F.when(F.col("error_code").isNull(), F.col("content")).alias("content"), "error_code")
+    return got.unionByName(rows.where("barred is not null").select("url", "suffix", F.lit(None).cast("binary").alias("content"), F.col("barred").alias("error_code")))
+
+
 def recognized_images(images: DataFrame, recognize: Callable[[bytes], str | None]) -> DataFrame:
     """Markdown of images(path, content): a heading with the file's name and the text in it; null with an error where recognition failed."""
     out = called(images, recognize, ["content"], "body")

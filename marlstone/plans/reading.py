@@ -2,17 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections import OrderedDict
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone import patterns as p
 from marlstone.functions import text as t
 from marlstone.operators import quality, routing, sections
 from marlstone.operators.sections import notebook_header
+from marlstone.storage import Scratch
 
 MAX_CHARS = 150_000
 
 
+#: Converted documents that are kept.
+KEPT = 4
+
+
+class Kept:
+    """Converted documents of one session, each written once to the shared folder under what it was made from; the newest KEPT stay."""
+
+    def __init__(self, spark: SparkSession, newest: int = KEPT):
+        self.newest, self.scratch, self.tables = newest, Scratch(spark, "kept"), OrderedDict()
+
+    def get(self, key: tuple[str, float, bool], make: Callable[[], DataFrame]) -> DataFrame:
+        """The table of a key (path, time of change, whether it's cleaned), made where it isn't there."""
+        if key not in self.tables:
+            name = hashlib.sha1(repr(key).encode()).hexdigest()
+            self.tables[key] = name, self.scratch.keep(make(), name)
+            while len(self.tables) > self.newest:
+                _, (old, _) = self.tables.popitem(last=False)
+                self.scratch.drop(old)
+        self.tables.move_to_end(key)
+        return self.tables[key][1]
+
+
 def whole(docs: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     """(doc_id, markdown): texts cut at ``max_chars`` with a note on it, and a warning before what looks like noise."""
     rows = quality.assess(docs)

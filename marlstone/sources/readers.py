@@ -29,6 +29,16 @@ def expanded(spark: SparkSession, patterns: list[str]) -> tuple[list[str], list[
     return list(dict.fromkeys(found)), missing
 
 
+def resolved(spark: SparkSession, path: str) -> tuple[str | None, str | None]:
+    """The whole path of a file, or why it is none: MS-103 where there is nothing, MS-104 for a folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(place):
+        return None, "MS-103"
+    found = system.getFileStatus(place)
+    return (None, "MS-104") if found.isDirectory() else (found.getPath().toString(), None)
+
+
 def texts(spark: SparkSession, *globs: str) -> DataFrame:
     """(path, text) of UTF-8 files, one row each."""
     return spark.read.text(list(globs), wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from marlstone import tracing
 from marlstone.operators import adapters, guards, models, quality, transcripts
-from marlstone.plans import digest
+from marlstone.plans import digest, reading
 from marlstone.sources import readers
 
 
@@ -147,3 +147,33 @@ def test_trace_and_digest(spark, tmp_path):
     assert order == sorted(order)
     empty = digest.markdown(digest.lines(incidents.limit(0), events.limit(0)))
     assert "No errors recorded." in empty and "Debug session" not in empty
+
+
+def test_downloads(spark):
+    rows = spark.createDataFrame([("https://a.b/x/page.PDF?q=1",), ("http://a.b/",), ("ftp://a.b/x",), ("https://a.b/gone",), ("https://a.b/none",)], "url string")
+
+    def fetch(url):
+        if "gone" in url:
+            raise TimeoutError("timed out")
+        return None if "none" in url else b"<p>x"
+
+    got = {r.url: (r.suffix, r.content, r.error_code) for r in adapters.downloaded(rows, fetch).collect()}
+    assert got["https://a.b/x/page.PDF?q=1"] == (".pdf", b"<p>x", None) and got["http://a.b/"] == (".html", b"<p>x", None)
+    assert [got[u][1:] for u in ("ftp://a.b/x", "https://a.b/gone", "https://a.b/none")] == [(None, "MS-131"), (None, "MS-130"), (None, "MS-130")]
+
+
+def test_paths_and_kept_tables(spark, tmp_path):
+    (tmp_path / "b.txt").write_text("x")
+    (tmp_path / "a.txt").write_text("y")
+    assert readers.resolved(spark, str(tmp_path / "a.txt"))[0].endswith("/a.txt") and readers.resolved(spark, str(tmp_path)) == (None, "MS-104") and readers.resolved(spark, str(tmp_path / "c")) == (None, "MS-103")
+    found, missing = readers.expanded(spark, [str(tmp_path / "*.txt"), str(tmp_path / "c*"), str(tmp_path / "b.txt")])
+    assert [x.rsplit("/", 1)[-1] for x in found] == ["a.txt", "b.txt"] and missing == [str(tmp_path / "c*")]
+    kept, made = reading.Kept(spark, 2), []
+
+    def make(n):
+        made.append(n)
+        return spark.range(n)
+
+    for n in (1, 2, 1, 3, 1, 2):
+        assert kept.get(("f", float(n), True), lambda: make(n)).count() == n
+    assert made == [1, 2, 3, 2] and len(kept.tables) == 2
