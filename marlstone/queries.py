@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone import patterns as p
@@ -617,6 +617,163 @@ def route_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.route(rows).select("path", "route")
 
 
+# --- failures, images, marks ---------------------------------------------------------------------
+def pick(values: tuple, c: Column) -> Column:
+    """One of the values by a number; None is null."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (c % len(values) + 1).cast("int"))
+
+
+def pick_sql(values: tuple, c: str) -> str:
+    return "[" + ", ".join("NULL" if v is None else lit(v) if isinstance(v, str) else str(v) for v in values) + f"][{c} % {len(values)} + 1]"
+
+
+ERRNOS, WINERRORS = (28, 36, 13, 1, 30, 2, None), (32, None, 39, 206, None, 112, 5, 33, None, None, None)
+STATUSES, REASONS = (404, None, 500, None, None), ("timed out", "refused", None)
+
+
+@query(f"""WITH e AS (SELECT {pick_sql(ERRNOS, "event_id")} AS errno, {pick_sql(WINERRORS, "user_id")} AS win, value > 500 AS denied FROM events)
+SELECT CASE WHEN win IN (32, 33) THEN 'MS-204' WHEN win IN (39, 112) OR errno = 28 THEN 'MS-202' WHEN win = 206 OR errno = 36 THEN 'MS-203' WHEN denied OR errno IN (13, 1, 30) THEN 'MS-201' ELSE 'MS-299' END AS code, count(*) AS n FROM e GROUP BY 1""")
+def os_error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = routing.classify_os(pick(ERRNOS, F.col("event_id")), pick(WINERRORS, F.col("user_id")), F.col("value") > 500)
+    return table(spark, sf_dir, "events").groupBy(code.alias("code")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH e AS (SELECT {pick_sql(STATUSES, "event_id")} AS status, {pick_sql(REASONS, "user_id")} AS reason, value > 500 AS lost FROM events)
+SELECT CASE WHEN status = 404 THEN 'MS-302' WHEN status IS NOT NULL THEN 'MS-399' WHEN contains(reason, 'timed out') THEN 'MS-303' WHEN lost THEN 'MS-301' ELSE 'MS-399' END AS code, count(*) AS n FROM e GROUP BY 1""")
+def http_error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = routing.classify_http(pick(STATUSES, F.col("event_id")), pick(REASONS, F.col("user_id")), F.col("value") > 500)
+    return table(spark, sf_dir, "events").groupBy(code.alias("code")).agg(F.count("*").alias("n"))
+
+
+@query(_INCIDENTS_SQL + f""", n AS (SELECT *, regexp_matches(message, {lit(routing.NETWORK)}) AS network FROM i)
+SELECT seq, network, CASE WHEN code IN ('MS-102', 'MS-107', 'MS-108', 'MS-109') THEN code WHEN seq % 2 = 0 THEN CASE WHEN network THEN 'MS-111' ELSE 'MS-112' END ELSE 'MS-113' END AS failure FROM n""")
+def reader_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = incidents(spark, sf_dir)
+    route = F.when(F.col("seq") % 2 == 0, "whisper").otherwise("ocr_image")
+    return rows.select("seq", routing.is_network(F.col("message")).alias("network"), routing.route_failure(route, F.col("message")).alias("failure"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'None None' WHEN 2 THEN ' . ' ELSE text END AS t, doc_id * 100 AS size, ['pdf', 'txt', 'png'][doc_id % 3 + 1] AS ext, doc_id % 2 = 0 AS ocr FROM documents),
+w AS (SELECT *, len([x FOR x IN regexp_extract_all(t, '[\\p{{L}}\\p{{N}}_]+') IF x <> 'None']) > 0 AS said FROM d)
+SELECT doc_id, CASE WHEN said THEN NULL WHEN size >= {routing.EMPTY_BYTES} THEN 'EmptyOutputError: the converter produced no text from this ' || format('{{:,}}', size) || '-byte file' WHEN NOT ocr AND ext <> 'txt' THEN 'EmptyOutputError: no text layer, and OCR is turned off' END AS error FROM w""")
+def empty_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id") % 5
+    text = F.when(k == 0, "").when(k == 1, "None None").when(k == 2, " . ").otherwise(F.col("text"))
+    path = F.concat(F.lit("f."), pick(("pdf", "txt", "png"), F.col("doc_id")))
+    return table(spark, sf_dir, "documents").select("doc_id", routing.empty_guard(text, F.col("doc_id") * 100, path, F.col("doc_id") % 2 == 0).alias("error"))
+
+
+_IMAGE_SQL = """WITH g AS (SELECT l_orderkey AS doc_id, l_linenumber % 3 AS page, l_partkey * 10 + l_linenumber AS seq, l_partkey % 400 AS px_w, l_suppkey * 37 % 300 + 60 AS px_h, l_quantity AS x0, l_quantity * 3 AS y0, l_quantity + l_discount * 8000 AS x1, l_quantity * 3 + l_tax * 12000 AS y1 FROM lineitem)"""
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as images on pages of 600 by 800 points."""
+    q = F.col("l_quantity")
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") % 3).alias("page"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("seq"), (F.col("l_partkey") % 400).alias("px_w"), (F.col("l_suppkey") * 37 % 300 + 60).alias("px_h"),
+        q.alias("x0"), (q * 3).alias("y0"), (q + F.col("l_discount") * 8000).alias("x1"), (q * 3 + F.col("l_tax") * 12000).alias("y1"),
+    )
+    return rows.withColumns({"clip_x0": F.lit(0.0), "clip_y0": F.lit(0.0), "clip_x1": F.lit(600.0), "clip_y1": F.lit(800.0)})
+
+
+@query(_IMAGE_SQL + f"""
+SELECT doc_id, page, seq, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY seq) AS INTEGER) AS k FROM g
+WHERE least(px_w, px_h) >= {figures.MIN_PIXELS} AND x1 - x0 >= {figures.MIN_POINTS} AND y1 - y0 >= {figures.MIN_POINTS} AND (x0 + x1) / 2 BETWEEN -{figures.CLIP_SLACK} AND 600 + {figures.CLIP_SLACK} AND (y0 + y1) / 2 BETWEEN -{figures.CLIP_SLACK} AND 800 + {figures.CLIP_SLACK}""")
+def image_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return figures.page_images(images(spark, sf_dir)).select("doc_id", "page", "seq", "k")
+
+
+@query(_IMAGE_SQL + f""", c AS (SELECT doc_id, page, greatest(0, least(x1, 600) - greatest(x0, 0)) * greatest(0, least(y1, 800) - greatest(y0, 0)) >= {figures.SCAN_COVER} * 480000 AS covered FROM g)
+SELECT doc_id, count(DISTINCT CASE WHEN covered THEN page END) >= {figures.SCAN_PAGES} * 2 AS is_scan FROM c GROUP BY doc_id""")
+def scanned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = images(spark, sf_dir)
+    return figures.scans(rows, rows.select("doc_id").distinct().withColumn("total", F.lit(2)))
+
+
+KINDS, ROUTES = ("error", "route", "ui.stall", "log", "pdf.analysis", "other"), ("markitdown", "pdflayout", None)
+
+
+@query(f"""WITH e AS (SELECT {pick_sql(KINDS, "event_id")} AS ev, {pick_sql(ROUTES, "user_id")} AS route, value > 500 AS ok, CASE WHEN user_id % 4 = 0 THEN 'too_little_text' END AS outcome FROM events),
+k AS (SELECT CASE WHEN ev = 'error' THEN 'error' WHEN ev IN ('route', 'pdf.analysis') AND NOT ok AND coalesce(route, '') <> 'markitdown' THEN 'route' WHEN ev = 'route' AND outcome = 'too_little_text' THEN 'thin' WHEN ev = 'ui.stall' THEN 'stall' WHEN ev = 'log' THEN 'library' END AS problem FROM e)
+SELECT problem, count(*) AS n FROM k WHERE problem IS NOT NULL GROUP BY problem""")
+def problem_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(pick(KINDS, F.col("event_id")).alias("ev"), pick(ROUTES, F.col("user_id")).alias("route"), (F.col("value") > 500).alias("ok"), F.when(F.col("user_id") % 4 == 0, "too_little_text").alias("outcome"))
+    return diagnostics.problems(rows).groupBy("problem").agg(F.count("*").alias("n"))
+
+
+@query(_INCIDENTS_SQL + """, c AS (SELECT code, count(*) AS n, arg_max(message, (t, seq)) AS title FROM i GROUP BY code)
+SELECT '| code | n | title |' || chr(10) || '|---|---|---|' || chr(10) || string_agg('| ' || code || ' | ' || n || ' | ' || title || ' |', chr(10) ORDER BY n DESC, code) AS markdown FROM c""")
+def incident_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = diagnostics.by_code(incidents(spark, sf_dir).withColumns({"title": F.col("message"), "ref": F.lit("")}))
+    return diagnostics.markdown_table(rows, ["code", "n", "title"], ((-F.col("n")).alias("k"), F.col("code")))
+
+
+@query("""WITH e AS (SELECT CASE WHEN user_id % 5 = 0 THEN NULL WHEN user_id % 5 < 3 THEN 'error' ELSE 'warning' END AS severity FROM events) SELECT coalesce(severity, 'error') AS severity, count(*) AS n FROM e GROUP BY 1""")
+def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("user_id") % 5
+    return diagnostics.by_severity(table(spark, sf_dir, "events").select(F.when(k == 0, None).when(k < 3, "error").otherwise("warning").alias("severity")))
+
+
+@query(f"""WITH e AS (SELECT 'f' || user_id AS file, event_type AS pass, CAST(event_id % 9 AS BIGINT) AS gone, CASE WHEN user_id % 2 = 0 THEN 0 ELSE 40 END AS lines_in, 60 * (event_id % 200) AS chars FROM events),
+l AS (SELECT *, greatest(1, coalesce(nullif(lines_in, 0), chars // 60)) AS n FROM e) SELECT file, pass, gone AS lines_gone, gone / n AS share FROM l WHERE gone > 0 AND gone / n >= {diagnostics.HEAVY_SHARE}""")
+def heavy_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    passes = F.array(F.struct(F.col("event_type").alias("pass"), (F.col("event_id") % 9).alias("lines_gone")))
+    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("file"), F.when(F.col("user_id") % 2 == 0, 0).otherwise(40).alias("lines_in"), (60 * (F.col("event_id") % 200)).alias("chars_in"), passes.alias("passes"))
+    return diagnostics.heavy_passes(rows)
+
+
+_ALTS = (" a river ", "", "Figure 3: it", "FIGURE", " \t")
+
+
+@query(f"""WITH d AS (SELECT *, {pick_sql(_ALTS, "doc_id")} AS alt, regexp_replace({pick_sql(_ALTS, "doc_id")}, '^\\s+|\\s+$', '', 'g') AS a FROM documents)
+SELECT doc_id, CASE WHEN a = '' THEN '[Figure]' WHEN starts_with(lower(a), 'figure') THEN '[' || a || ']' ELSE '[Figure: ' || a || ']' END AS note,
+  CASE WHEN n_chars >= 3600 THEN lpad(CAST(n_chars // 3600 AS VARCHAR), 2, '0') || ':' ELSE '' END || lpad(CAST(n_chars % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(n_chars % 60 AS VARCHAR), 2, '0') AS stamp,
+  'out/' || source || '.tar.md' AS target, length(lang || lang) = 2 AS pair, CAST(len(regexp_extract_all(text || chr(1) || chr(9) || chr(57345), '[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x9f\\p{{Co}}]')) AS INTEGER) AS garbage,
+  doc_id % 2 = 0 OR NOT regexp_matches(text, '\\S') AS divider FROM d""")
+def text_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    head = F.concat(F.lit("# T\n"), F.when(F.col("doc_id") % 2 == 0, "<!-- x -->").otherwise(text), F.lit("\n"))
+    odd = F.concat(text, F.lit("\x01\t\ue001"))
+    path = readers.output_path(F.concat(F.lit("in/"), F.col("source"), F.lit(".tar.gz")), "out/")
+    return table(spark, sf_dir, "documents").select("doc_id", t.figure_note(pick(_ALTS, F.col("doc_id"))).alias("note"), t.stamp(F.col("n_chars")).alias("stamp"), path.alias("target"), t.is_doubled_pair(F.concat("lang", "lang")).alias("pair"), t.garbage_characters(odd).alias("garbage"), t.is_divider(head).alias("divider"))
+
+
+_PLACES = ("http://127.0.0.1:11434", "http://127.0.0.1:1234/v1", "http://127.0.0.1:1337/", "http://host:8080", "http://host:99", "http://host")
+
+
+@query(f"""WITH e AS (SELECT {pick_sql(_PLACES, "event_id")} AS place, user_id % 3 = 0 AS own FROM events)
+SELECT place, own, CASE WHEN own THEN 'Ollama' WHEN place LIKE '%:11434' THEN 'Ollama' WHEN place LIKE '%:1234/v1' THEN 'LM Studio' WHEN place LIKE '%:1337/' THEN 'Jan' WHEN place LIKE '%:8080' THEN 'LocalAI' ELSE 'OpenAI-compatible local AI' END AS name, count(*) AS n FROM e GROUP BY ALL""")
+def runtime_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(pick(_PLACES, F.col("event_id")).alias("place"), (F.col("user_id") % 3 == 0).alias("own"))
+    name = guards.runtime_name(F.col("place"), F.when(F.col("own"), "ollama").otherwise("openai"))
+    return rows.groupBy("place", "own", name.alias("name")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '.pdf' WHEN page_id % 3 = 1 AND regexp_matches(url, '^[^:]+://[^/]+/([^?#]*/)?[^/?#]*[.][A-Za-z0-9]+([?#]|$)') THEN lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([.][A-Za-z0-9]+)$', 1)) ELSE '.html' END AS suffix,
+  CASE WHEN page_id % 3 = 2 THEN 'MS-131' END AS barred FROM pages""")
+def download_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id") % 3
+    url = F.when(k == 0, "https://a.b/x/y.PDF?q=.txt").when(k == 1, F.col("url")).otherwise("ftp:nothing")
+    return table(spark, sf_dir, "pages").select("page_id", routing.url_suffix(url).alias("suffix"), routing.url_guard(url, F.lit(1)).alias("barred"))
+
+
+@query("""SELECT user_id AS id, event_id, CASE WHEN k = 1 THEN stem ELSE stem || '-' || k END AS out_name FROM (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY path) AS k FROM (SELECT *, 's' || user_id % 7 AS stem, lpad(CAST(event_id AS VARCHAR), 9, '0') AS path FROM events))""")
+def distinct_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), "event_id", F.concat(F.lit("s"), (F.col("user_id") % 7).cast("string")).alias("stem"), F.lpad(F.col("event_id").cast("string"), 9, "0").alias("path"))
+    return readers.distinct_names(rows).select("id", "event_id", "out_name")
+
+
+@query("""SELECT doc_id, text || chr(10) || 'a' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '' ELSE chr(10) END || 'b' AS text FROM documents""")
+def markers_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tail = F.when(F.col("doc_id") % 2 == 0, "\na\n <!-- figure 1.2 --> \n\nb").otherwise("\na\n<!-- figure 3.4 -->\n \n\nb")
+    return table(spark, sf_dir, "documents").select("doc_id", figures.strip_markers(F.concat("text", tail)).alias("text"))
+
+
+@query("""SELECT user_id AS session, max(ts) AS t FROM events GROUP BY user_id ORDER BY t DESC, session LIMIT 5""")
+def newest_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.recent_sessions(table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("ts").alias("t")), 5)
+
+
 # --- page geometry ---------------------------------------------------------------------------
 def glyph_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Turns as pages: a running header, the text in lines of forty characters, and a page number."""
