@@ -53,7 +53,7 @@ def targets(per: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS
     row = running(row, scratch, "levels", [F.col("level"), by_name], {"capped": F.col("cap"), "done": F.col("weight")})
     # the level at which the rest would be shared if exactly the sources before this one were full
     whole = row.agg(F.sum("source_size") * F.lit(total_percent) / F.lit(100.0)).scalar()
-    row = scratch.keep(row.withColumn("share", (whole - F.col("capped")) / (row.agg(F.sum("weight")).scalar() - F.col("done"))), "shares")
+    row = row.withColumn("share", (whole - F.col("capped")) / (row.agg(F.sum("weight")).scalar() - F.col("done")))
     water = row.where("share <= level").agg(F.min(F.struct("level", "share"))["share"]).scalar()
     return row.select("source", "source_size", F.least("cap", F.coalesce(F.col("weight") * water, F.col("cap"))).alias("target"))
 
@@ -61,7 +61,7 @@ def targets(per: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS
 def plan(rows: DataFrame, scratch: Scratch, weights: tuple[int, ...], total_percent: int, max_epochs: int) -> DataFrame:
     """For each source of rows(source, size, ticket): source_size, target, whole (repetitions of every document), cut (last digest that is taken once more)."""
     per = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goal = targets(scratch.keep(per, "per"), scratch, weights, total_percent, max_epochs)
+    goal = targets(per, scratch, weights, total_percent, max_epochs)
     goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     goal = scratch.keep(goal.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "goal")
 
