@@ -1,8 +1,10 @@
 """Queries on inputs longer, or in larger batches, than the given tables have."""
 
 import duckdb
+import pyarrow as pa
 
 import __spark_entry__ as entry
+from marlstone.operators import batches, sections
 
 
 def against_sql(spark, folder, name, **tables):
@@ -22,3 +24,22 @@ def test_page_numbers_under_long_turns(spark, tmp_path):
     turns = [(c, k, "user", words[: 1700 + 20 * k + 331 * (c > 1)]) for c in (1, 2, 3) for k in range(2 + c)]
     got, want = against_sql(spark, tmp_path, "page_furniture", conversations=spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
     assert got == want and {(doc, page) for doc, page, _ in got} == {(doc, page) for doc, page, _, _ in turns}
+
+
+def held(run, texts, at):
+    """Bytes of text in each batch that a pass gives for one large batch."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), *[pa.array(["x"] * len(texts))] * (at - 1), pa.array(texts, pa.string())], names=["doc_id", *[f"c{k}" for k in range(1, at)], "text"])
+    out = list(run(iter([batch])))
+    assert sum(b.num_rows for b in out) >= len(texts)
+    return [b.nbytes for b in out]
+
+
+def test_slices_lose_nothing():
+    texts = ["a" * n if n >= 0 else None for n in (5, -1, 0, 30, 9, 9, 9, 40, -1, 1)]
+    whole = pa.RecordBatch.from_arrays([pa.array(["", *texts], pa.string())], names=["text"])
+    parts = [p.column(0).to_pylist() for p in batches.slices([whole.slice(1), whole.slice(3, 0), whole.slice(11)], 0, 20)]
+    assert sum(parts, []) == texts and all(len(p) == 1 or sum(len(x or "") for x in p) <= 20 for p in parts) and len(parts) == 6
+
+
+def test_sections_of_a_large_batch_are_found_in_slices():
+    assert max(held(sections.splitter("chapters", 200), ["# One\nword\n# Two\n" + "word\n" * 40_000] * 40, 1)) < 3 * batches.SLICE_BYTES
