@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.batches import slices
 
 # --- fixed values -------------------------------------------------------------------
 MIN_PIXELS, MIN_POINTS, CLIP_SLACK = 120, 18.0, 1.0
@@ -92,6 +93,16 @@ def linked(text: str, figures: list[tuple[int, int | None, str, str]]) -> str:
     return "\n".join([*out, *(["", "## Extracted figures", "", *(f"- {x}" for x in loose)] if loose else [])])
 
 
+def link_batches(batches):
+    """(doc_id, text) of batches (doc_id, text, figures)."""
+    import pyarrow as pa
+
+    for batch in slices(batches, 1):
+        found = ([(f["page"], f["k"], f["path"], f["link"]) for f in x or ()] for x in batch.column(2).to_pylist())
+        texts = [None if text is None else linked(text, f) for text, f in zip(batch.column(1).to_pylist(), found)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+
 def insert_links(docs: DataFrame, figures: DataFrame, folder: str = "images") -> DataFrame:
     """(doc_id, text) with links: at a figure's marker, else after its page's anchor, else at the end.
 
@@ -99,13 +110,5 @@ def insert_links(docs: DataFrame, figures: DataFrame, folder: str = "images") ->
     """
     own = figures.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "k", "path", link(folder).alias("link")))).alias("figures"))
 
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            found = ([(f["page"], f["k"], f["path"], f["link"]) for f in x or ()] for x in batch.column(2).to_pylist())
-            texts = [None if text is None else linked(text, f) for text, f in zip(batch.column(1).to_pylist(), found)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
-
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(own, "doc_id", "left")
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string")
+    return rows.mapInArrow(link_batches, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string")

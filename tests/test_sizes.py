@@ -4,7 +4,7 @@ import duckdb
 import pyarrow as pa
 
 import __spark_entry__ as entry
-from marlstone.operators import batches, sections
+from marlstone.operators import batches, figures, sections
 
 
 def against_sql(spark, folder, name, **tables):
@@ -43,3 +43,11 @@ def test_slices_lose_nothing():
 
 def test_sections_of_a_large_batch_are_found_in_slices():
     assert max(held(sections.splitter("chapters", 200), ["# One\nword\n# Two\n" + "word\n" * 40_000] * 40, 1)) < 3 * batches.SLICE_BYTES
+
+
+def test_links_of_a_large_batch_are_set_in_slices():
+    def run(rows):
+        kind = pa.list_(pa.struct([("page", pa.int32()), ("k", pa.int32()), ("path", pa.string()), ("link", pa.string())]))
+        yield from figures.link_batches(pa.RecordBatch.from_arrays([*b.columns, pa.array([[{"page": 1, "k": None, "path": "a", "link": "![a](a)"}]] * b.num_rows, kind)], names=[*b.schema.names, "figures"]) for b in rows)
+
+    assert max(held(run, ["word\n" * 40_000] * 40, 1)) < 2 * batches.SLICE_BYTES
