@@ -5,6 +5,8 @@ import pyarrow as pa
 
 import __spark_entry__ as entry
 from marlstone.operators import batches, figures, sections
+from marlstone.plans import cleaning
+from marlstone.sources import html
 
 
 def against_sql(spark, folder, name, **tables):
@@ -51,3 +53,9 @@ def test_links_of_a_large_batch_are_set_in_slices():
         yield from figures.link_batches(pa.RecordBatch.from_arrays([*b.columns, pa.array([[{"page": 1, "k": None, "path": "a", "link": "![a](a)"}]] * b.num_rows, kind)], names=[*b.schema.names, "figures"]) for b in rows)
 
     assert max(held(run, ["word\n" * 40_000] * 40, 1)) < 2 * batches.SLICE_BYTES
+
+
+def test_a_large_batch_is_cleaned_in_slices():
+    texts = ["plain words\n" * 17_000] * 16
+    assert max(held(cleaning.cleaner(1, None, {}), texts, 1)) < 4 * batches.SLICE_BYTES
+    assert len(held(html.markdown_batches, ["<p>word</p>" * 20_000] * 16, 2)) > 1
