@@ -6,8 +6,9 @@ pages(doc_id, page, quad, clip_x0, clip_y0, clip_x1, clip_y1); page counts from
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
+from typing import TYPE_CHECKING, NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -17,6 +18,9 @@ from marlstone.functions import text as t
 from marlstone.operators import geometry as g
 from marlstone.storage import Scratch
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 # --- fixed values ------------------------------------------------------------------------
 FURNITURE_PAGES, FOLIO_SHARE, MONO_SHARE, MAX_LEVEL = 3, 0.2, 0.35, 4
 FOLIO = r"(?i)^[\[(\-–—|\s]*(?:page\s+)?(\d{1,4}|[ivxlcdm]{1,7})[\])\-–—|\s]*$"
@@ -25,6 +29,8 @@ SEGMENT = f"struct<text:string,x0:double,y0:double,x1:double,y1:double,h:double,
 SEGMENTS = f"doc_id long, page int, segments array<{SEGMENT}>"
 BLOCKS = "doc_id long, page int, kind string, text string, h double"
 DOCUMENTS = "doc_id long, markdown string, title string, author string"
+#: Rows of glyphs that are worked on at a time; a page is never cut.
+GLYPHS = 50_000
 
 
 def lists(values: list, sizes: list[int]):
@@ -34,25 +40,27 @@ def lists(values: list, sizes: list[int]):
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), values)
 
 
-def page_tables(batches) -> Iterator[tuple]:
-    """(doc_id, page, columns) of glyph rows sorted by their first two columns; one page is held at a time."""
+def whole_pages(batches) -> Iterator:
+    """Glyph rows sorted by their first two columns as tables of whole pages, of about GLYPHS rows, or one larger page."""
     import pyarrow as pa
 
-    key, held = None, []
+    held, size = [], 0
     for batch in batches:
-        doc, page = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        cuts = np.flatnonzero((doc[1:] != doc[:-1]) | (page[1:] != page[:-1])) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
-            if a == b:
+        if not batch.num_rows:
+            continue
+        if size >= GLYPHS:
+            doc, page = batch.column(0), batch.column(1)
+            same = (doc.to_numpy(zero_copy_only=False) == held[-1].column(0)[-1].as_py()) & (page.to_numpy(zero_copy_only=False) == held[-1].column(1)[-1].as_py())
+            cut = batch.num_rows if same.all() else int(same.argmin())
+            held.append(batch.slice(0, cut))
+            if cut == batch.num_rows:
                 continue
-            now = int(doc[a]), int(page[a])
-            if now != key and held:
-                yield *key, pa.Table.from_batches(held).combine_chunks()
-                held = []
-            key = now
-            held.append(batch.slice(a, b - a))
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        size += batch.num_rows
     if held:
-        yield *key, pa.Table.from_batches(held).combine_chunks()
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def grouped(batches, n_keys: int) -> Iterator[tuple]:
@@ -71,18 +79,29 @@ def batch_of(rows: list[tuple], ddl: str):
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], types[kind]) for k, (_, kind) in enumerate(fields)], names=[name for name, _ in fields])
 
 
-def segment_batch(keys: list[tuple[int, int]], pages: list[g.Page], marks: list[tuple]):
-    """One row a page, its segments and their words nested."""
+class Sheets(NamedTuple):
+    """Pages with their glyphs, which come in order of their page's number; the other columns have an entry a page."""
+
+    doc_id: pa.Array
+    page: pa.Array
+    quad: np.ndarray
+    clip: np.ndarray
+    glyphs: g.Glyphs
+    number: np.ndarray
+
+
+def segment_batch(sheets: Sheets):
+    """One row a page that has any glyphs, its segments and their words nested."""
     import pyarrow as pa
 
-    cat = lambda parts, k: np.concatenate([p[k] for p in parts])
-    box, span = cat(pages, 1), cat(pages, 7)
-    per = np.concatenate([np.bincount(p.owner, minlength=len(p)) for p in pages])
-    flat = lambda k: pa.array([x for p in pages for x in p[k]], pa.string())
-    words = lists(pa.StructArray.from_arrays([flat(6), pa.array(span[:, 0]), pa.array(span[:, 1])], ["text", "x0", "x1"]), per.tolist())
-    columns = {"text": flat(0), **{n: pa.array(box[:, k]) for k, n in enumerate(("x0", "y0", "x1", "y1"))}, "h": pa.array(cat(pages, 2)), "cw": pa.array(cat(pages, 3)), "mono": pa.array(cat(pages, 4)), "words": words, "figure": flat(5), "edge": pa.array(cat(marks, 0)), "outermost": pa.array(cat(marks, 1))}
-    segments = lists(pa.StructArray.from_arrays(list(columns.values()), list(columns)), [len(p) for p in pages])
-    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int32()), segments], names=["doc_id", "page", "segments"])
+    segs, number = g.all_segments(sheets.glyphs, sheets.number, sheets.quad, sheets.clip)
+    edge, outermost = g.all_edges(segs, number, sheets.clip, sheets.quad)
+    words = lists(pa.StructArray.from_arrays([pa.array(segs.word, pa.string()), pa.array(segs.span[:, 0]), pa.array(segs.span[:, 1])], ["text", "x0", "x1"]), np.bincount(segs.owner, minlength=len(segs)).tolist())
+    columns = {"text": pa.array(segs.text, pa.string()), **{n: pa.array(segs.box[:, k]) for k, n in enumerate(("x0", "y0", "x1", "y1"))}, "h": pa.array(segs.h), "cw": pa.array(segs.cw), "mono": pa.array(segs.mono), "words": words, "figure": pa.array(segs.figure, pa.string()), "edge": pa.array(edge), "outermost": pa.array(outermost)}
+    segments = lists(pa.StructArray.from_arrays(list(columns.values()), list(columns)), np.bincount(number, minlength=len(sheets.page)).tolist())
+    rows = pa.RecordBatch.from_arrays([sheets.doc_id.cast(pa.int64()), sheets.page.cast(pa.int32()), segments], names=["doc_id", "page", "segments"])
+    drawn = np.bincount(sheets.number, minlength=len(sheets.page)) > 0
+    return rows if drawn.all() else rows.filter(pa.array(drawn))
 
 
 def read_page(segments) -> g.Page:
@@ -106,25 +125,27 @@ def page_segments(glyphs: DataFrame, pages: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "page", "idx", "page_quad", "clip_x0", "clip_y0", "clip_x1", "clip_y1", "ch", "x0", "y0", "x1", "y1", "quad", "mono", "space_before", "break_before", "obj")
 
     def run(batches):
-        keys, found, marks, size = [], [], [], 0
-        for doc, page, table in page_tables(batches):
+        import pyarrow as pa
+
+        for table in whole_pages(batches):
             column = lambda k: table[k].to_numpy()  # noqa: E731,B023
-            clip, quad = [table[f"clip_{k}"][0].as_py() for k in ("x0", "y0", "x1", "y1")], table["page_quad"][0].as_py()
-            glyph = g.Glyphs(table["ch"].to_pylist(), np.stack([column(k) for k in ("x0", "y0", "x1", "y1")], axis=1), *(column(k) for k in ("quad", "mono", "space_before", "break_before", "idx", "obj")))
-            segs, _ = g.segments(glyph, quad, clip)
-            keys.append((doc, page))
-            found.append(segs)
-            marks.append(g.edges(segs, clip, quad))
-            size += len(segs)
-            if size > 20_000:
-                yield segment_batch(keys, found, marks)
-                keys, found, marks, size = [], [], [], 0
-        if keys:
-            yield segment_batch(keys, found, marks)
+            new = np.append(True, (column("doc_id")[1:] != column("doc_id")[:-1]) | (column("page")[1:] != column("page")[:-1]))
+            boxes = lambda *names: np.stack([column(k).astype(float) for k in names], axis=1)  # noqa: E731,B023
+            glyph = g.Glyphs(table["ch"].to_pylist(), boxes("x0", "y0", "x1", "y1"), *(column(k) for k in ("quad", "mono", "space_before", "break_before", "idx", "obj")))
+            keys = [table[k].combine_chunks().filter(pa.array(new)) for k in ("doc_id", "page")]
+            yield segment_batch(Sheets(*keys, column("page_quad")[new], boxes("clip_x0", "clip_y0", "clip_x1", "clip_y1")[new], glyph, np.cumsum(new) - 1))
 
     return rows.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "idx").mapInArrow(run, SEGMENTS)
 
 
+def drawn_segments(source: DataFrame, draw: Callable[[Iterator], Iterator[Sheets]]) -> DataFrame:
+    """page_segments() of pages that an engine draws: ``draw`` takes Arrow batches of the source and gives Sheets.
+
+    Glyphs stay in the worker that drew them, so a page is one row throughout and is never dealt out.
+    """
+    return source.mapInArrow(lambda batches: map(segment_batch, draw(batches)), SEGMENTS)
+
+
 def learnt_offsets(folios: DataFrame, total: DataFrame) -> DataFrame:
     """(doc_id, a_off, r_off): the difference of page and printed number that most pages have, in figures and in roman numerals; the one seen first of equals."""
     per = folios.groupBy("doc_id", "arabic", "off").agg(F.count("*").alias("n"), F.min(F.struct("page", "seg")).alias("first"))
@@ -295,9 +316,13 @@ def extract(glyphs: DataFrame, pages: DataFrame, figures: DataFrame | None = Non
     part in what recurs over pages, but keep their numbers.  Segments are
     written once to the shared folder, as both furniture and blocks read them.
     """
-    scratch = Scratch(glyphs.sparkSession, "layout")
     drawn = glyphs if recognized is None else glyphs.join(recognized.select("doc_id", "page"), ["doc_id", "page"], "left_anti")
-    segs = scratch.keep(page_segments(drawn, pages), "segments")
+    return assembled(page_segments(drawn, pages), pages, figures, outline, anchors, metadata, recognized)
+
+
+def assembled(segments: DataFrame, pages: DataFrame, figures: DataFrame | None = None, outline: DataFrame | None = None, anchors: bool = False, metadata: DataFrame | None = None, recognized: DataFrame | None = None) -> DataFrame:
+    """extract() from (doc_id, page, segments), which hold none of the recognized pages."""
+    segs = Scratch(segments.sparkSession, "layout").keep(segments, "segments")
     body = without_furniture(segs, furniture(segs, pages))
     if figures is not None:
         shown = figures if recognized is None else figures.join(recognized.select("doc_id", "page"), ["doc_id", "page"], "left_anti")

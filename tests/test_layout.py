@@ -1,5 +1,6 @@
 """Pages drawn glyph by glyph, and what is read from them."""
 
+import random
 from typing import NamedTuple
 
 import numpy as np
@@ -229,3 +230,37 @@ def test_recognized_pages_and_metadata(spark):
     O = spark.createDataFrame([(1, 0, 1, "Title Page", 0), (1, 1, 1, "Part", 2)], "doc_id long, seq int, level int, title string, page int")
     got = layout.extract(G, P, outline=O).first()
     assert got.title.startswith("Page 0 says") and "# Part" in got.markdown and "Title Page" not in got.markdown
+
+
+def odd_page(rng):
+    """Lines with marks, raised and overlapping glyphs, fixed pitch, wide gaps, copies, and glyphs of another quadrant."""
+    rows, y, quad = [], 900.0, rng.choice((0, 0, 0, 1, 2, 3))
+    even = rng.random() < 0.4
+    for _ in range(rng.randrange(12)):
+        x, h, mono = rng.choice((50.0, 72.0, 200.0)), rng.choice((8.0, 10.0, 10.0, 14.0)), rng.random() < 0.2
+        for k in range(rng.randrange(1, 40)):
+            small = not even and rng.random() < 0.03
+            w = 5.5 if even else rng.choice((5.5, 5.5, 5.0, 0.0))
+            rows.append((rng.choice("abcdefil.•1)-" if even else "abcdefil.•1)- \t\x01"), x, y + small * h / 3, x + w, y + (small / 3 + 1 - small / 2) * h, quad if rng.random() < 0.98 else (quad + 1) % 4, mono, rng.random() < 0.15, k == 0 and rng.random() < 0.3, len(rows), rng.choice((1, 1, 2))))
+            if not even and rng.random() < 0.05:
+                old = rng.choice(rows)
+                rows.append((old[0], old[1] + 0.5, old[2], old[3] + 0.5, *old[4:9], len(rows), 2))
+            x += 6 + rng.choice((0.0, 0.0, 0.0, 0.3, 3.0, 9.5, 20.0)) - (not even) * rng.choice((0.0, 0.0, 0.0, 7.0))
+        y -= 14.0 if even else rng.choice((14.0, 9.0, 5.0, 0.0))
+    columns_ = list(zip(*rows)) or [()] * 11
+    arrays = [np.array(columns_[k], dtype=t) for k, t in zip(range(5, 11), (int, bool, bool, bool, int, int))]
+    return g.Glyphs(list(columns_[0]), np.array([r[1:5] for r in rows], dtype=float).reshape(-1, 4), *arrays), quad, rng.choice(((0.0, 0.0, 500.0, 1000.0), (60.0, 830.0, 300.0, 1000.0)))
+
+
+def test_many_pages_at_once_are_as_one_by_one():
+    rng = random.Random(3)
+    for _ in range(20):
+        pages = [odd_page(rng) for _ in range(20)]
+        glyphs = g.Glyphs([c for p, _, _ in pages for c in p.ch], *(np.concatenate([p[k] for p, _, _ in pages]) for k in range(1, 8)))
+        quad, clip = np.array([q for _, q, _ in pages]), np.array([c for _, _, c in pages])
+        segs, number = g.all_segments(glyphs, np.repeat(np.arange(20), [len(p.ch) for p, _, _ in pages]), quad, clip)
+        marks = g.all_edges(segs, number, clip, quad)
+        for k, page in enumerate(pages):
+            at, want = np.flatnonzero(number == k), g.segments(*page)[0]
+            assert all(np.array_equal(a, b) for a, b in zip(segs.take(at), want))
+            assert all(np.array_equal(a[at], b) for a, b in zip(marks, g.edges(want, page[2], page[1])))

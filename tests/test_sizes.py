@@ -4,7 +4,8 @@ import duckdb
 import pyarrow as pa
 
 import __spark_entry__ as entry
-from marlstone.operators import batches, figures, sections
+from marlstone import queries
+from marlstone.operators import batches, figures, layout, sections
 from marlstone.plans import cleaning
 from marlstone.sources import html
 
@@ -59,3 +60,17 @@ def test_a_large_batch_is_cleaned_in_slices():
     texts = ["plain words\n" * 17_000] * 16
     assert max(held(cleaning.cleaner(1, None, {}), texts, 1)) < 4 * batches.SLICE_BYTES
     assert len(held(html.markdown_batches, ["<p>word</p>" * 20_000] * 16, 2)) > 1
+
+
+def test_drawn_pages_need_no_row_a_glyph(spark, sf_dir):
+    for lift in (0, 140):
+        want = layout.page_segments(*queries.glyph_tables(spark, sf_dir, lift))
+        assert sorted(queries.drawn_pages(spark, sf_dir, lift)[0].collect()) == sorted(want.collect())
+    plan = entry.queries()["page_segments"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan for x in ("Join", "Window", "Sort", "split("))
+
+
+def test_pages_of_a_large_batch_are_drawn_in_slices():
+    turns = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array([0] * 400, pa.int32()), pa.array(["a river runs by " * 100] * 400)], names=["doc_id", "page", "text"])
+    sizes = [len(s.glyphs.ch) for s in queries.drawer()(iter([turns]))]
+    assert max(sizes) < 2 * queries.DRAWN_BYTES and sum(sizes) == 400 * (1200 + len("CollectedConversations1"))
