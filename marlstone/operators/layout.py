@@ -31,6 +31,8 @@ BLOCKS = "doc_id long, page int, kind string, text string, h double"
 DOCUMENTS = "doc_id long, markdown string, title string, author string"
 #: Rows of glyphs that are worked on at a time; a page is never cut.
 GLYPHS = 50_000
+#: Pages of a batch whose segments are read at a time.
+PAGES = 500
 
 
 def lists(values: list, sizes: list[int]):
@@ -104,16 +106,21 @@ def segment_batch(sheets: Sheets):
     return rows if drawn.all() else rows.filter(pa.array(drawn))
 
 
-def read_page(segments) -> g.Page:
-    """A page from the struct array of its segments."""
+def read_pages(column) -> Iterator[g.Page]:
+    """Pages from the list array of their segments."""
+    offsets, segments = np.asarray(column.offsets), column.values
+    segments = segments.slice(offsets[0], offsets[-1] - offsets[0])
+    offsets = (offsets - offsets[0]).tolist()
     field = lambda k: segments.field(segments.type.get_field_index(k))
     number = lambda k: field(k).to_numpy(zero_copy_only=False)
-    words = field("words")
-    inner = words.flatten()
-    return g.Page(
-        field("text").to_pylist(), np.stack([number(k) for k in ("x0", "y0", "x1", "y1")], axis=1), number("h"), number("cw"), number("mono").astype(bool), field("figure").to_pylist(),
-        inner.field(0).to_pylist(), np.stack([inner.field(k).to_numpy(zero_copy_only=False) for k in (1, 2)], axis=1), np.repeat(np.arange(len(segments)), np.diff(np.asarray(words.offsets))),
-    )
+    words, text, figure = field("words"), field("text").to_pylist(), field("figure").to_pylist()
+    box, h, cw, mono = np.stack([number(k) for k in ("x0", "y0", "x1", "y1")], axis=1), number("h"), number("cw"), number("mono").astype(bool)
+    inner, starts = words.flatten(), np.asarray(words.offsets)
+    per, starts = np.diff(starts), starts - starts[0]
+    word, span = inner.field(0).to_pylist(), np.stack([inner.field(k).to_numpy(zero_copy_only=False) for k in (1, 2)], axis=1)
+    for a, b in zip(offsets, offsets[1:]):
+        of = slice(starts[a], starts[b])
+        yield g.Page(text[a:b], box[a:b], h[a:b], cw[a:b], mono[a:b], figure[a:b], word[of], span[of], np.repeat(np.arange(b - a), per[a:b]))
 
 
 def page_segments(glyphs: DataFrame, pages: DataFrame) -> DataFrame:
@@ -252,16 +259,11 @@ def page_blocks(segments: DataFrame, headings: DataFrame | None = None, pages: D
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            offsets = np.asarray(batch.column(5).offsets)
-            inner = batch.column(5).values
+        for batch in (b.slice(k, PAGES) for b in batches for k in range(0, b.num_rows, PAGES)):
             out: list[list[g.Block]] = []
-            for k, (fence, heads_, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)))):
-                if text is not None:
-                    blocks = [g.Block("para", text.strip())] * bool(text.strip())
-                else:
-                    blocks = g.page_blocks(read_page(inner.slice(offsets[k], offsets[k + 1] - offsets[k])), fence)
-                out.append(g.place_headings(blocks, [(h["depth"], h["title"]) for h in heads_ or ()]))
+            for fence, heads_, text, page in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), read_pages(batch.column(5))):
+                blocks = g.page_blocks(page, fence) if text is None else [g.Block("para", text.strip())] * bool(text.strip())
+                out.append(g.place_headings(blocks, [(h["depth"], h["title"]) for h in heads_ or ()]) if heads_ else blocks)
             flat = [b for blocks in out for b in blocks]
             values = pa.StructArray.from_arrays([pa.array([b.kind for b in flat], pa.string()), pa.array([b.text for b in flat], pa.string()), pa.array([float(b.h) for b in flat], pa.float64())], ["kind", "text", "h"])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(values, list(map(len, out)))], names=["doc_id", "page", "blocks"])
@@ -313,8 +315,8 @@ def extract(glyphs: DataFrame, pages: DataFrame, figures: DataFrame | None = Non
 
     With ``figures``, marks stand where they lie, for figures.insert_links().
     Pages in ``recognized`` (doc_id, page, text) read as that text and take no
-    part in what recurs over pages, but keep their numbers.  Segments are
-    written once to the shared folder, as both furniture and blocks read them.
+    part in what recurs over pages, but keep their numbers.  Segments and
+    furniture are written once to the shared folder, as they are read again.
     """
     drawn = glyphs if recognized is None else glyphs.join(recognized.select("doc_id", "page"), ["doc_id", "page"], "left_anti")
     return assembled(page_segments(drawn, pages), pages, figures, outline, anchors, metadata, recognized)
@@ -322,8 +324,9 @@ def extract(glyphs: DataFrame, pages: DataFrame, figures: DataFrame | None = Non
 
 def assembled(segments: DataFrame, pages: DataFrame, figures: DataFrame | None = None, outline: DataFrame | None = None, anchors: bool = False, metadata: DataFrame | None = None, recognized: DataFrame | None = None) -> DataFrame:
     """extract() from (doc_id, page, segments), which hold none of the recognized pages."""
-    segs = Scratch(segments.sparkSession, "layout").keep(segments, "segments")
-    body = without_furniture(segs, furniture(segs, pages))
+    scratch = Scratch(segments.sparkSession, "layout")
+    segs = scratch.keep(segments, "segments")
+    body = without_furniture(segs, scratch.keep(furniture(segs, pages), "furniture"))
     if figures is not None:
         shown = figures if recognized is None else figures.join(recognized.select("doc_id", "page"), ["doc_id", "page"], "left_anti")
         empty = F.array().cast(f"array<{SEGMENT}>")

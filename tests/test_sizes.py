@@ -74,3 +74,8 @@ def test_pages_of_a_large_batch_are_drawn_in_slices():
     turns = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array([0] * 400, pa.int32()), pa.array(["a river runs by " * 100] * 400)], names=["doc_id", "page", "text"])
     sizes = [len(s.glyphs.ch) for s in queries.drawer()(iter([turns]))]
     assert max(sizes) < 2 * queries.DRAWN_BYTES and sum(sizes) == 400 * (1200 + len("CollectedConversations1"))
+
+
+def test_furniture_is_found_once(spark, sf_dir):
+    plan = entry.queries()["page_reading_order"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan for x in ("posexplode", "Window", "split("))
