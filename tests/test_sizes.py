@@ -2,10 +2,12 @@
 
 import duckdb
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from marlstone import queries
-from marlstone.operators import batches, figures, layout, sections
+from marlstone import patterns, queries
+from marlstone.functions import text as t
+from marlstone.operators import batches, figures, layout, rewrites, sections
 from marlstone.plans import cleaning
 from marlstone.sources import html
 
@@ -79,3 +81,23 @@ def test_pages_of_a_large_batch_are_drawn_in_slices():
 def test_furniture_is_found_once(spark, sf_dir):
     plan = entry.queries()["page_reading_order"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert not any(x in plan for x in ("posexplode", "Window", "split("))
+
+
+def test_language_signs_are_counted_once(spark, sf_dir):
+    plan = entry.queries()["language_guess"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == len(patterns.LANGUAGES) + 2  # and two for the share of lines
+
+
+def test_language_signs_are_all_found(spark):
+    signs = [
+        '#include <a>', '# include', '#include"b"', "std::x", "template <T>", "a->b (c)", "cout << x", "func f", "package main", "x := 1", "fmt.Print(", "go  func", "using System.IO;", "namespace A", "Console.Write", "{ get; set; }",
+        "async  Task", "public record", "IActionResult", "[HttpGet", "[HttpPost", "package a.b.c;", "import a.b.c ;", "System.out.print", "@Override", "a extends B", "implements C", "const a =", "let  b=", "=> {", "=>(", "console.log(", "function f(",
+        "require 'a'", "attr_reader", "attr_writer", "puts x", "do |x|", " end ", "def self.go!", "def x(y)", "elsif", "fun f(", "val x:", "val y =", "data class A", "companion object", "import kotlin.x", "import android.y", "def f(a):", "class A:", "import os", "from a import", "elif x", "self.a",
+    ]
+    ends = ["", "a;", "a;  ", "{\t", "}\r", " \n;", ";;\n;", "x; y", " ; ", "; \n\n", "\u0085", "a\n\n{\n", "; \n"]
+    texts = [*signs, *(f"{a}\n{b}" for a, b in zip(signs, signs[1:])), *ends, *(a + "\n" + b for a in ends for b in ends), None]
+    rows = spark.createDataFrame([(x,) for x in texts], "text string")
+    text = F.col("text")
+    for r in rows.select("text", *[n.alias(k) for k, n in t.language_hits(text).items()], *[t.hits(text, p).alias(f"all_{k}") for k, p in patterns.LANGUAGES.items()], t.c_share(text).alias("share"), t.guess_language(text).alias("guess")).collect():
+        assert all(r[k] == r[f"all_{k}"] for k in patterns.LANGUAGES)
+        assert r.text is None or (r.share, r.guess) == (rewrites.c_share(r.text), rewrites.guess_language(r.text))
